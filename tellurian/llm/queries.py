@@ -6,22 +6,81 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tellurian.llm.chat_format import chat_format
 from tellurian.llm.exact_dedup import exact_dedup
+from tellurian.llm.mixing import mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(_table(spark, sf_dir, "conversations"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mix_sources": op3_mix_sources,
+    "op6_chat_format": op6_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op3_mix_sources": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 16) AS key
+            FROM documents),
+        s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+        w AS (
+            SELECT *, [5, 2, 1][((rank - 1) % 3 + 1)::INT] AS weight, source_size * 3 AS most,
+                   (source_size * 3)::DOUBLE / [5, 2, 1][((rank - 1) % 3 + 1)::INT] AS full_at FROM s),
+        l AS (
+            SELECT *, (sum(source_size) OVER () - (sum(most) OVER f - most))::DOUBLE / (sum(weight) OVER () - (sum(weight) OVER f - weight))::DOUBLE AS level
+            FROM w WINDOW f AS (ORDER BY full_at, rank ROWS UNBOUNDED PRECEDING)),
+        g AS (
+            SELECT source, source_size, least(weight * (SELECT level FROM l WHERE level <= full_at ORDER BY full_at, rank LIMIT 1), most::DOUBLE) AS target FROM l),
+        b AS (
+            SELECT *, least(round(target)::BIGINT, source_size * 3) AS budget FROM g),
+        e AS (
+            SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs,
+                   CASE WHEN source_size > 0 THEN budget % source_size ELSE 0 END AS rest FROM b),
+        r AS (
+            SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, e.rest,
+                   sum(d.size) OVER (PARTITION BY d.source, d.key) AS tie,
+                   sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key) AS upto
+            FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+        SELECT doc_id, size, source_size, target,
+               (size * epochs + CASE WHEN upto <= rest THEN size WHEN upto - tie > rest OR tie = 0 THEN 0
+                                     ELSE (rest - (upto - tie)) * size // tie END)::BIGINT AS taken
+        FROM r
+    """,
+    "op6_chat_format": """
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+                   count(*) OVER (PARTITION BY conv_id) AS n
+            FROM conversations),
+        p AS (
+            SELECT *, string_agg(length(role) || ':' || length(text) || ':' || role || text, '')
+                      OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS pre FROM t),
+        f AS (
+            SELECT n, pre, min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE pos = n GROUP BY n, pre),
+        m AS (
+            SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n AND p.pos = f.n AND p.pre = f.pre))
+        SELECT m.conv_id, (t.pos - 1) // 512 AS segment, any_value(m.n) AS n_turns, any_value(m.copies) AS copies,
+               string_agg('<|im_start|>' || t.role || chr(10) || replace(t.text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY t.pos) AS rendered
+        FROM m JOIN t ON t.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY m.conv_id, (t.pos - 1) // 512
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
