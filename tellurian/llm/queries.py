@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tellurian.llm.chat_format import chat_format
 from tellurian.llm.exact_dedup import exact_dedup
 from tellurian.llm.mixing import mix
+from tellurian.llm.order_minhash import edit_probe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_probe(_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
@@ -29,6 +34,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
+    "op5_order_minhash": op5_order_minhash,
     "op6_chat_format": op6_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
 }
