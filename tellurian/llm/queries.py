@@ -10,6 +10,7 @@ from tellurian.llm.chat_format import chat_format
 from tellurian.llm.exact_dedup import exact_dedup
 from tellurian.llm.mixing import mix
 from tellurian.llm.order_minhash import edit_probe
+from tellurian.llm.simhash import simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op5_order_minhash": op5_order_minhash,
     "op6_chat_format": op6_chat_format,
+    "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
