@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tellurian.llm.byte_bpe import bpe_round_trip
 from tellurian.llm.chat_format import chat_format
 from tellurian.llm.exact_dedup import exact_dedup
 from tellurian.llm.mixing import mix
@@ -21,6 +22,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_probe(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +46,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_order_minhash": op5_order_minhash,
     "op6_chat_format": op6_chat_format,
     "op9_simhash": op9_simhash,
