@@ -37,21 +37,25 @@ SEGMENT = 1 << 16
 DECODE_ROWS = 1 << 18
 PLACE = 1 << 24
 
+#: A token's row is keyed by piece << 16 | position; no piece of a query is longer than that.
 ENCODE = f"""
-WITH RECURSIVE t(w, pos, tok, round) AS (
-    SELECT w, pos, tok, 0 FROM start
+WITH RECURSIVE t(k, tok, round) AS (
+    SELECT (w::BIGINT << 16) + pos, tok, 0 FROM start
     UNION ALL
-    SELECT w, pos, CASE WHEN pos = best % {PLACE} THEN (best // {PLACE})::INTEGER ELSE tok END, round + 1
-    FROM (
-        SELECT w, pos, tok, round, before, min(id * {PLACE}::BIGINT + pos) OVER (PARTITION BY w) AS best
+    (WITH pairs AS MATERIALIZED (
+        SELECT k, tok, round, before, CASE WHEN nk >> 16 = k >> 16 THEN id * {PLACE}::BIGINT + (k & 65535) END AS place
         FROM (
-            SELECT w, pos, tok, round, lead(tok) OVER s AS nxt, lag(pos) OVER s AS before
-            FROM t WINDOW s AS (PARTITION BY w ORDER BY pos)
-        ) LEFT JOIN merges ON l = tok AND r = nxt
-    )
-    WHERE best IS NOT NULL AND (before IS NULL OR before <> best % {PLACE})
+            SELECT k, tok, round, lead(tok) OVER s AS nxt, lead(k) OVER s AS nk, lag(k) OVER s AS before
+            FROM t WINDOW s AS (ORDER BY k)
+        ) LEFT JOIN merges ON l = tok AND r = nxt),
+    least AS (SELECT k >> 16 AS w, min(place) AS best FROM pairs WHERE place IS NOT NULL GROUP BY k >> 16)
+    SELECT k, CASE WHEN (k & 65535) = best % {PLACE} THEN (best // {PLACE})::INTEGER ELSE tok END, round + 1
+    FROM pairs JOIN least ON k >> 16 = w
+    WHERE before IS NULL OR before <> (w << 16) + best % {PLACE})
 )
-SELECT w, tok FROM t JOIN (SELECT w, max(round) AS round FROM t GROUP BY w) USING (w, round) ORDER BY w, pos
+SELECT (k >> 16)::INTEGER AS w, tok
+FROM t JOIN (SELECT k >> 16 AS w, max(round) AS final FROM t GROUP BY k >> 16) ON k >> 16 = w AND round = final
+ORDER BY k
 """
 
 DECODE = "SELECT seg, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocab USING (id) GROUP BY seg ORDER BY seg"
