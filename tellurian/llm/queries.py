@@ -12,13 +12,23 @@ from tellurian.llm.exact_dedup import exact_dedup
 from tellurian.llm.language_id import language_id
 from tellurian.llm.mixing import mix
 from tellurian.llm.order_minhash import edit_probe
+from tellurian.llm.quality import quality
 from tellurian.llm.simhash import simhash_dedup
+from tellurian.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,6 +60,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_mix_sources": op3_mix_sources,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_order_minhash": op5_order_minhash,
