@@ -10,6 +10,7 @@ from tellurian.llm.byte_bpe import bpe_round_trip
 from tellurian.llm.chat_format import chat_format
 from tellurian.llm.exact_dedup import exact_dedup
 from tellurian.llm.language_id import language_id
+from tellurian.llm.licences import as_files, scan
 from tellurian.llm.mixing import mix
 from tellurian.llm.order_minhash import edit_probe
 from tellurian.llm.quality import quality
@@ -47,6 +48,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(as_files(_table(spark, sf_dir, "documents")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_order_minhash": op5_order_minhash,
     "op6_chat_format": op6_chat_format,
+    "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
