@@ -1,14 +1,71 @@
-"""Language ID, exact dedup, near dedup, mixing and tokenising, in this order."""
+"""Language ID, exact dedup, near dedup, mixing and tokenising, in this order.
+
+Each stage reads what its predecessor kept and, but for the last, returns the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tellurian.llm import language_id as lid
+from tellurian.llm.byte_bpe import bpe_round_trip
+from tellurian.llm.exact_dedup import exact_dedup
+from tellurian.llm.mixing import mixed_rows
+from tellurian.llm.simhash import simhash_dedup
+from tellurian.llm.store import materialise
+
+#: Below this mean position probability no language is recognised.
+LEAST_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is recognised: those without a letter and those that fit none go."""
+    names = docs.columns
+    found = lid.identify(docs, lid.fit_on(docs), keep=tuple(names))
+    return found.where((F.col("lang_pred") != lid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*names)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id stays."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__kept"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept"))).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest id stays."""
+    kept = simhash_dedup(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+    return docs.join(kept, docs["doc_id"] == F.col("__kept")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as the source mix asks for, which may be never."""
+    return mixed_rows(docs)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the mixed corpus."""
+    import public_tokenizers
+
+    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("tokenise", tokenise),
+]
+
+#: Neither the network nor the merges can be said in SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Applies the stages to ``documents``."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``, each written as Parquet and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
