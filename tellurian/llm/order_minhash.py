@@ -25,39 +25,30 @@ LOW = (1 << POS) - 1
 HIGH = ((1 << 63) - 1) & ~LOW
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluates ``value`` once for all its uses in ``body``."""
-    return F.transform(F.array(value), body)[0]
+def _occurrence(ranked: Column, x: Column, at: Column) -> Column:
+    """How many earlier elements of a sorted array share the hash of the one at ``at``.
 
-
-def _run_start(ranked: Column, at: Column) -> Column:
-    """Index of the first element with the hash of the one at ``at``, by bisection of a sorted array."""
-    want = ranked[at].bitwiseAND(F.lit(HIGH))
-    first = F.struct(F.lit(0).alias("lo"), at.alias("hi"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = ranked[mid].bitwiseAND(F.lit(HIGH)) < want
-        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi")))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(POS)), first, halve, lambda s: s["lo"])
+    They stand directly before it, so their number is found by doubling steps:
+    four for short runs, all 24 for long ones.
+    """
+    same = lambda d: F.get(ranked, at - d).bitwiseXOR(x) <= LOW
+    climb = lambda top: F.aggregate(F.lit([1 << k for k in range(top - 1, -1, -1)]), F.lit(0), lambda d, step: F.when(same(d + step), d + step).otherwise(d))
+    return F.when(same(F.lit(16)), climb(POS)).otherwise(climb(4))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the fingerprint of a text column: 64 hex words of 8 digits, ``-`` for an empty bin.
 
     A null text counts as empty; a text of no words has an empty fingerprint
-    string.  Texts of fewer than k words are one k-mer.
+    string.  The last k - 1 words begin shorter k-mers, so that a text of fewer
+    than k words has some too.
     """
     keep = df.columns
     step = lambda d, **cols: d.select(*keep, *[c.alias(n) for n, c in cols.items()])
     d = step(df, w=F.split(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"))
     n = F.size("w")
     w = F.col("w")
-    hashed = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - K, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get(w, i + j) if j else F.get(w, i) for j in range(K)]).bitwiseAND(F.lit(HIGH)).bitwiseOR(F.least(i, F.lit(LOW)).cast("long")),
-    )
+    hashed = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, K)]).bitwiseAND(F.lit(HIGH)).bitwiseOR(i.bitwiseAND(F.lit(LOW))))
     blank = (n == 1) & (w[0] == "")
     d = step(d, h=F.when(blank, F.array().cast("array<bigint>")).otherwise(hashed))
     d = step(d, s=F.sort_array("h"))
@@ -65,15 +56,15 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     numbered = F.transform(
         s,
         lambda x, j: F.when(
-            (j > 0) & (F.get(s, j - 1).bitwiseAND(F.lit(HIGH)) == x.bitwiseAND(F.lit(HIGH))),
-            F.xxhash64(x.bitwiseAND(F.lit(HIGH)), j - _run_start(s, j)).bitwiseAND(F.lit(HIGH)).bitwiseOR(x.bitwiseAND(F.lit(LOW))),
+            F.get(s, j - 1).bitwiseXOR(x) <= LOW,
+            F.xxhash64(x.bitwiseAND(F.lit(HIGH)), _occurrence(s, x, j)).bitwiseAND(F.lit(HIGH)).bitwiseOR(x.bitwiseAND(F.lit(LOW))),
         ).otherwise(x),
     )
     d = step(d, o=numbered)
     d = step(d, s=F.sort_array("o"))
     shift = 63 - (BINS.bit_length() - 1)
     bin_of = lambda x: F.shiftright(x, shift)
-    picked = F.filter(s, lambda x, j: (j < ELL) | (bin_of(F.get(s, j - ELL)) != bin_of(x)))
+    picked = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - ELL).bitwiseXOR(x) >= (1 << shift), F.lit(True)))
     d = step(d, p=picked)
     # The picked elements are in bin order; a bin's one or two stand together.
     p = F.col("p")
@@ -88,9 +79,9 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     signed = F.transform(p, lambda x, j: F.struct(bin_of(x).cast("int").alias("b"), tuple_hash(x, j).alias("t"), ((j == 0) | (bin_of(F.get(p, j - 1)) != bin_of(x))).alias("lead")))
     d = step(d, t=F.filter(signed, lambda x: x["lead"]))
     cells = F.map_from_arrays(F.col("t.b"), F.transform("t.t", lambda t: F.lower(F.lpad(F.right(F.hex(t), F.lit(8)), 8, "0"))))
-    d = step(d, m=cells, k=F.size("t"))
-    bins = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.col("m")[b.cast("int")], F.lit("-")))
-    return step(d, **{out: F.when(F.col("k") == 0, "").otherwise(F.array_join(bins, " "))})
+    # One array holds the map, so that it is built once a text and not once a bin.
+    filled = F.transform(F.array(cells), lambda m: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(m[b], F.lit("-"))))[0]
+    return step(d, **{out: F.when(F.size("t") == 0, "").otherwise(F.array_join(filled, " "))})
 
 
 def likeness(a: Column, b: Column) -> Column:
