@@ -172,7 +172,7 @@ def mstp_sparse(spark, d):
 # --- horizons -----------------------------------------------------------------------------------
 
 
-@query(f"SELECT * FROM ({o.ray_values(16, 10)}) t(k, dr, dc, dist)")
+@query(f"SELECT * FROM ({o.ray_values(16, 10, 9)}) t(k, dr, dc, dist)")
 def ray_geometry(spark, d):
     return horizon.ray_table(spark, 16, 10).withColumn("dist", F.round("dist", 9))
 
@@ -346,13 +346,13 @@ def resample_bilinear(spark, d):
 
 _HOW = {"average": "avg(z)", "min": "min(z)", "max": "max(z)", "sum": "sum(z)", "median": "median(z)", "q1": "quantile_cont(z, 0.25::DOUBLE)", "q3": "quantile_cont(z, 0.75::DOUBLE)", "rms": "sqrt(avg(z * z))"}
 for _how, _sql in _HOW.items():
-    query(s.ctes("sparse") + f" SELECT r // 4 AS r, (c // 4)::INT AS c, round({_sql}, 6) AS z FROM sparse GROUP BY ALL", name=f"resample_{_how}")(
-        lambda spark, d, h=_how: rounded(change.resample_aggregate(s.dem_sparse(spark, d), 4, h))
+    query(s.ctes("dem") + f" SELECT r // 4 AS r, (c // 4)::INT AS c, round({_sql}, 4) AS z FROM dem GROUP BY ALL", name=f"resample_{_how}")(
+        lambda spark, d, h=_how: rounded(change.resample_aggregate(s.dem_dense(spark, d), 4, h), digits=4)
     )
 
 
 @query(s.ctes("labels_at") + """, n AS (SELECT r // 4 AS r, (c // 4)::INT AS c, label, count(*) AS n FROM labels_at GROUP BY ALL)
-    SELECT r, c, z FROM (SELECT r, c, label AS z, row_number() OVER (PARTITION BY r, c ORDER BY n DESC, label) AS at FROM n) WHERE at = 1""")
+    SELECT r, c, z FROM (SELECT r, c, label AS z, row_number() OVER (PARTITION BY r, c ORDER BY n DESC, label) AS nth FROM n) WHERE nth = 1""")
 def resample_mode(spark, d):
     return change.resample_aggregate(s.label_grid(spark, d).select("r", "c", F.col("label").alias("z")), 4, "mode")
 
@@ -548,7 +548,7 @@ def checksums(spark, d):
 
 
 @query(s.ctes("sparse") + """ SELECT max(r) + 1 AS rows, (max(c) + 1)::BIGINT AS cols, round(min(z), 6) AS min, round(max(z), 6) AS max, round(avg(z), 6) AS mean, round(stddev_pop(z), 6) AS std,
-    round((count(*) - count(z)) * 100.0::DOUBLE / count(*), 6) AS nodata_percent, round((max(r) + 1) * (max(c) + 1) * 4 / 1048576.0::DOUBLE, 6) AS memory_mb, 'light' AS workload, 'flat_agricultural' AS preset,
+    round((count(*) - count(z)) * 100.0::DOUBLE / count(*), 6) AS nodata_percent, round((max(r) + 1) * (max(c) + 1) * 4 / 1048576.0::DOUBLE, 6) AS memory_mb, 'light' AS workload, 'upland_steep' AS preset,
     4 AS fine_px, 20 AS small_px, 100 AS broad_px FROM sparse""")
 def preflight(spark, d):
     return rounded(records.preflight(s.dem_sparse(spark, d), 0.5))

@@ -57,7 +57,7 @@ def _deviation(radius: int, name: str) -> str:
     frame = f"ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING"
     return f""", {name}_h AS (SELECT r, c, f, sum(f) OVER w AS s1, sum(f * f) OVER w AS s2, count(*) OVER w AS n FROM f WINDOW w AS (PARTITION BY r ORDER BY c {frame})),
     {name}_v AS (SELECT r, c, f, sum(s1) OVER w AS s1, sum(s2) OVER w AS s2, sum(n) OVER w AS n FROM {name}_h WINDOW w AS (PARTITION BY c ORDER BY r {frame})),
-    {name} AS (SELECT r, c, CASE WHEN sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0)) < 0.001 THEN 0 ELSE (f - s1 / n) / sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0)) END AS d FROM {name}_v)"""
+    {name} AS MATERIALIZED (SELECT r, c, CASE WHEN sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0)) < 0.001 THEN 0 ELSE (f - s1 / n) / sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0)) END AS d FROM {name}_v)"""
 
 
 def deviation(surface: str, radius: int) -> str:
@@ -74,8 +74,8 @@ def mstp(surface: str, local: int, meso: int, broad: int) -> str:
     return ctes(surface) + _CELLS.format(t=surface) + _position(local, meso, broad) + " SELECT * FROM pos"
 
 
-def ray_values(directions: int, radius: int) -> str:
-    return "VALUES " + ", ".join(f"({k}, {r}, {c}, {round(d, 9)!r}::DOUBLE)" for k, ray in enumerate(rays(directions, radius)) for r, c, d in ray)
+def ray_values(directions: int, radius: int, digits: int = 17) -> str:
+    return "VALUES " + ", ".join(f"({k}, {r}, {c}, {round(d, digits)!r}::DOUBLE)" for k, ray in enumerate(rays(directions, radius)) for r, c, d in ray)
 
 
 def _tops(name: str, directions: int, radius: int, floor: float, sign: int = 1) -> str:
@@ -99,8 +99,8 @@ def openness(surface: str, directions: int, radius: int, negative: bool) -> str:
 
 def _dominance(name: str, low: float, high: float, step: float, angle: float, observer: float) -> str:
     values = "VALUES " + ", ".join(f"({r}, {c}, {d!r}::DOUBLE)" for r, c, d in annulus(low, high, step, angle))
-    return f""", {name} AS MATERIALIZED (SELECT a.r, a.c, degrees(avg(atan((a.z + {observer}::DOUBLE - b.z) / dist))) AS v FROM f a CROSS JOIN m CROSS JOIN ({values}) o(dr, dc, dist)
-        JOIN f b ON b.r = greatest(least(a.r + dr, r1), r0) AND b.c = greatest(least(a.c + dc, c1), c0) GROUP BY a.r, a.c)"""
+    return f""", {name}_q AS MATERIALIZED (SELECT r, c, z, greatest(least(r + dr, r1), r0) AS r2, greatest(least(c + dc, c1), c0) AS c2, dist FROM f, m, ({values}) o(dr, dc, dist)),
+    {name} AS MATERIALIZED (SELECT q.r, q.c, degrees(avg(atan((q.z + {observer}::DOUBLE - b.z) / dist))) AS v FROM {name}_q q JOIN f b ON b.r = q.r2 AND b.c = q.c2 GROUP BY q.r, q.c)"""
 
 
 def dominance(surface: str, low: float, high: float, step: float, angle: float, observer: float) -> str:
@@ -175,15 +175,15 @@ def fusion(mode: str, opacity: float) -> str:
 _GRID = """, e AS (SELECT min(x) - 1 AS left_x, max(y) + 1 AS top_y, trunc((max(x) - min(x) + 2) / 2)::BIGINT + 1 AS cols, trunc((max(y) - min(y) + 2) / 2)::BIGINT + 1 AS rows FROM cloud)"""
 IDW = (
     ctes("cloud") + _GRID + """, g AS (SELECT i.range AS r, j.range::INT AS c, left_x + (j.range + 0.5::DOUBLE) * 2 AS cx, top_y - (i.range + 0.5::DOUBLE) * 2 AS cy FROM e, range(e.rows) i, range(e.cols) j),
-    n AS (SELECT g.r, g.c, z, (x - cx) * (x - cx) + (y - cy) * (y - cy) AS d2, row_number() OVER (PARTITION BY g.r, g.c ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), z, x, y) AS at
+    n AS (SELECT g.r, g.c, z, (x - cx) * (x - cx) + (y - cy) * (y - cy) AS d2, row_number() OVER (PARTITION BY g.r, g.c ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), z, x, y) AS nth
         FROM g JOIN cloud ON x BETWEEN cx - 10 AND cx + 10 AND y BETWEEN cy - 10 AND cy + 10 WHERE (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 100)
-    SELECT g.r, g.c, round(sum(n.z / (d2 + 1)) / sum(1 / (d2 + 1)), 5) AS z FROM g LEFT JOIN n ON n.r = g.r AND n.c = g.c AND at <= 12 GROUP BY g.r, g.c"""
+    SELECT g.r, g.c, round(sum(n.z / (d2 + 1)) / sum(1 / (d2 + 1)), 5) AS z FROM g LEFT JOIN n ON n.r = g.r AND n.c = g.c AND nth <= 12 GROUP BY g.r, g.c"""
 )
 OUTLIERS = (
     ctes("cloud") + """, k AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d, b.id AS id2
         FROM cloud a JOIN cloud b ON b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4 AND a.id <> b.id),
-    n AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d, id2) AS at FROM k WHERE d <= 4),
-    m AS (SELECT id, avg(d) AS mean_distance FROM n WHERE at <= 8 GROUP BY id), l AS (SELECT avg(mean_distance) + 2 * stddev_samp(mean_distance) AS most FROM m)
+    n AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d, id2) AS nth FROM k WHERE d <= 4),
+    m AS (SELECT id, avg(d) AS mean_distance FROM n WHERE nth <= 8 GROUP BY id), l AS (SELECT avg(mean_distance) + 2 * stddev_samp(mean_distance) AS most FROM m)
     SELECT c.id, round(mean_distance, 6) AS mean_distance, mean_distance IS NULL OR mean_distance > most AS is_outlier FROM cloud c CROSS JOIN l LEFT JOIN m ON m.id = c.id"""
 )
 
