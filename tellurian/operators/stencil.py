@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 
 from tellurian.operators.grid import GridStats, grid_stats
 
-ALONG_ROW = Window.partitionBy("r").orderBy("c")
-ALONG_COLUMN = Window.partitionBy("c").orderBy("r")
+
+def along_row():
+    return Window.partitionBy("r").orderBy("c")
+
+
+def along_column():
+    return Window.partitionBy("c").orderBy("r")
+
 
 
 def filled(cells: DataFrame, stats: GridStats | None = None) -> DataFrame:
@@ -32,8 +38,8 @@ def _sides(df: DataFrame, names: Sequence[str], w, before: str, after: str) -> D
 
 def neighbourhood(df: DataFrame, value: str) -> DataFrame:
     """Adds value_w, value_e and, of each of the three, _n and _s: all eight neighbours."""
-    df = _sides(df, [value], ALONG_ROW, "w", "e")
-    return _sides(df, [value, f"{value}_w", f"{value}_e"], ALONG_COLUMN, "n", "s")
+    df = _sides(df, [value], along_row(), "w", "e")
+    return _sides(df, [value, f"{value}_w", f"{value}_e"], along_column(), "n", "s")
 
 
 def gradients(cells: DataFrame, cellsize: float, method: str = "horn", stats: GridStats | None = None) -> DataFrame:
@@ -166,6 +172,6 @@ def mstp(cells: DataFrame, local: int = 5, meso: int = 50, broad: int = 500, lig
 
 def integral_image(cells: DataFrame) -> DataFrame:
     """Running sums of the filled value and its square over all cells above and to the left."""
-    run_c, run_r = (w.rowsBetween(Window.unboundedPreceding, Window.currentRow) for w in (ALONG_ROW, ALONG_COLUMN))
+    run_c, run_r = (w.rowsBetween(Window.unboundedPreceding, Window.currentRow) for w in (along_row(), along_column()))
     d = filled(cells).withColumns({"s1": F.sum("f").over(run_c), "s2": F.sum(F.col("f") * F.col("f")).over(run_c)})
     return d.select("r", "c", F.sum("s1").over(run_r).alias("sum_z"), F.sum("s2").over(run_r).alias("sum_sq"))
