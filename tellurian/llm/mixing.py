@@ -98,9 +98,11 @@ def base_table(docs: DataFrame, id_col: str, text_col: str, source_col: str, see
     )
 
 
-def _taken(size: Column, key: Column) -> Column:
-    part = F.when(key < F.col("cut_key"), size).when(key == F.col("cut_key"), F.floor(F.col("cut_words") * size / F.col("cut_size"))).otherwise(0)
-    return (size * F.col("epochs") + part).cast("long")
+def _taken(size: Column, key: Column, plan: str) -> Column:
+    """Words taken of a document; ``plan`` is the prefix of the columns of its source's row in the table of cuts."""
+    cut = lambda n: F.col(f"{plan}{n}")
+    part = F.when(key < cut("cut_key"), size).when(key == cut("cut_key"), F.floor(cut("cut_words") * size / cut("cut_size"))).otherwise(0)
+    return (size * cut("epochs") + part).cast("long")
 
 
 def mix(
@@ -120,7 +122,7 @@ def mix(
     return (
         base.alias("b")
         .join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-        .select("b.doc_id", "b.source", "b.size", "p.source_size", "p.target", _taken(F.col("b.size"), F.col("b.key")).alias("taken"), "p.epochs")
+        .select("b.doc_id", "b.source", "b.size", "p.source_size", "p.target", _taken(F.col("b.size"), F.col("b.key"), "p.").alias("taken"), "p.epochs")
     )
 
 
@@ -136,9 +138,10 @@ def mixed_rows(
     """
     names = docs.columns
     base = materialise(base_table(docs, id_col, text_col, source_col, seed), "mix-base")
-    plan = materialise(cuts(base, weights, cap), "mix-cuts").withColumnsRenamed({"source": "__source"})
+    plan = materialise(cuts(base, weights, cap), "mix-cuts")
+    plan = plan.select([F.col(n).alias(f"__cut_{n}") for n in plan.columns])
     keyed = docs.withColumns({"__size": words(F.col(text_col)), "__key": random_key(F.col(id_col), seed)})
-    joined = keyed.join(plan, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    times = F.when(F.col("__size") > 0, F.floor(_taken(F.col("__size"), F.col("__key")) / F.col("__size") + 0.5)).otherwise(0).cast("int")
+    joined = keyed.join(plan, F.col(source_col).cast("string").eqNullSafe(F.col("__cut_source")))
+    times = F.when(F.col("__size") > 0, F.floor(_taken(F.col("__size"), F.col("__key"), "__cut_") / F.col("__size") + 0.5)).otherwise(0).cast("int")
     repeated = joined.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return repeated.select(*[F.col(f"`{n}`") for n in names])
