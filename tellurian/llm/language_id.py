@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellurian.llm.sampling import fold, smallest
+from tellurian.llm.sampling import fold, smallest, texts_of
 from tellurian.llm.store import text_batches
 
 RUN = 16
@@ -238,8 +238,9 @@ def _held_out(doc_id: Column) -> Column:
 
 def fit_on(docs: DataFrame, sample: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Gru | None:
     """A network from ``sample`` labelled rows outside the held-out fold (crc32 of the id as text, mod 4 = 2)."""
-    open_rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~_held_out(F.col("doc_id"))).where("lang IS NOT NULL AND text IS NOT NULL")
-    return train([(r.text, r.lang) for r in smallest(open_rows, sample).collect()])
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    chosen = smallest(d.select("doc_id", "lang").where(~_held_out(F.col("doc_id"))).where("lang IS NOT NULL"), sample)
+    return train([(r.text, r.lang) for r in texts_of(d, chosen) if r.text])
 
 
 def identify(docs: DataFrame, net: Gru | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -11,9 +11,17 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def smallest(df: DataFrame, n: int, doc_id: str = "doc_id") -> DataFrame:
-    """The ``n`` rows whose ids have the smallest hashes: a random sample that reruns agree on."""
-    return df.orderBy(F.xxhash64(F.lit("sample"), F.col(doc_id)), doc_id).limit(n)
+def smallest(df: DataFrame, n: int, key: str = "doc_id", total: int | None = None) -> DataFrame:
+    """The ``n`` distinct keys with the smallest hashes, a row of each: a random sample that reruns agree on.
+
+    Hashes are uniform, so a threshold with ample room is applied first; without
+    it every task would send its own ``n`` candidates.
+    """
+    h = F.xxhash64(F.lit("sample"), F.col(key))
+    total = df.count() if total is None else total
+    if total > 16 * n:
+        df = df.where(h < int(-(1 << 63) + (1 << 64) * 4.0 * n / total))
+    return df.dropDuplicates([key]).orderBy(h, key).limit(n)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, per_class: int) -> list[tuple[str, int]]:
@@ -24,5 +32,14 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, held_out: Col
     """
     open_rows = labels.where(~held_out).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = smallest(open_rows.where("label = 1"), per_class).unionByName(smallest(open_rows.where("label = 0"), per_class)).dropDuplicates(["doc_id"])
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()
-    return [(r.text or "", r.label) for r in sorted(found, key=lambda r: (r.doc_id, r.label, r.text or ""))]
+    return [(r.text or "", r.label) for r in texts_of(docs, chosen)]
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame) -> list:
+    """Rows (doc_id, text, and the other columns of ``chosen``) in order of id; ids that repeat give one row.
+
+    ``chosen`` has distinct ids, as few as the caller's bound.
+    """
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    once = found.groupBy(*chosen.columns).agg(F.min("text").alias("text"))
+    return sorted(once.collect(), key=lambda r: r.doc_id)

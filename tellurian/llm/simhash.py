@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tellurian.llm.sampling import smallest
 from tellurian.llm.store import materialise, text_batches
 
 RADIUS = 3
@@ -218,7 +219,7 @@ def link_edges(points: DataFrame, radius: int = RADIUS, shard_points: int = SHAR
     reach = radius // 2
     n = points.count()
     levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(1, n / shard_points))))))
-    rows = points.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect() if levels else []
+    rows = smallest(points, sample, "fp", n).collect() if levels else []
     fps = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
     trees = [TopTree(h, levels) for h in _halves(fps)]
     routed = points.mapInArrow(_router(trees, reach), "shard int, home boolean, fp long")
