@@ -6,7 +6,7 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurian.llm import language_id as lid
@@ -27,16 +27,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where((F.col("lang_pred") != lid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*names)
 
 
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of its own for each row, written once so that all readers see the same keys."""
+    return materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def only(docs: DataFrame, keyed: DataFrame, best: Column, groups: DataFrame) -> DataFrame:
+    """Of each group of (row key, group) pairs the row whose struct ``best`` is least, as rows of ``docs``."""
+    ranked = groups.toDF("__row", "__group").join(keyed.select("__row", "doc_id"), "__row")
+    kept = ranked.groupBy("__group").agg(F.min(best)["__row"].alias("__row")).select("__row")
+    return keyed.join(kept, "__row", "left_semi").select(*docs.columns)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept"))).select(*docs.columns)
+    """Of equal texts one row stays, that with the largest id; a null id ranks below all others."""
+    keyed = with_row_keys(docs)
+    best = F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), F.col("__row"))
+    return only(docs, keyed, best, exact_dedup(keyed, "__row").select("doc_id", "keep_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    kept = simhash_dedup(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs["doc_id"] == F.col("__kept")).select(*docs.columns)
+    """Of each group of linked fingerprints one row stays, that with the smallest id; a null id ranks behind all others."""
+    keyed = with_row_keys(docs)
+    best = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
+    return only(docs, keyed, best, simhash_dedup(keyed, "__row").select("doc_id", "component_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,18 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], spark.read.parquet(f"{SF}/documents.parquet").schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_dedup_stages_keep_one_row_of_each_group(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    words = [f"{w} {i} " * 30 for i, w in enumerate(("river", "stone", "house", "green", "walks", "paper"))]
+    row = lambda i, text, lang="en": tuple({"doc_id": i, "text": text, "lang": lang, "source": "s", "n_chars": len(text or "")}[c] for c in schema.names)
+    given = [row(1, words[0])] * 3 + [row(2, words[1]), row(2, words[2]), row(None, words[3]), row(None, words[4]), row(None, words[0]), row(None, words[5], "fr"), row(None, words[5])]
+    docs = spark.createDataFrame(given, schema)
+    want = sorted([(1, words[0]), (2, words[1]), (2, words[2]), (None, words[3]), (None, words[4]), (None, words[5])], key=str)
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == want
+    again = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_copies(spark, docs, SF), SF)
+    assert sorted(((r.doc_id, r.text) for r in again.collect()), key=str) == want
