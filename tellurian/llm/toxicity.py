@@ -6,6 +6,11 @@ intersection of the word's Levenshtein automaton with the trie; its states are
 sets of (trie node, errors) pairs, built on demand and kept, so that most words
 die within three letters at the price of a dictionary look-up each.
 
+Words are letter runs.  Where a token holds digits or symbols, or single letters
+follow one another, it is also read whole, inner signs counting as letters, and
+with its signs left out; such a reading replaces its letter runs where it is
+nearer to the lexicon than they are.
+
 A hit is then judged in its window: inside quotation marks, or beside words that
 report speech, it counts as quotation; otherwise as abuse, more so when hits
 crowd together or address the reader.  A logistic model over these sums gives
@@ -16,6 +21,8 @@ from __future__ import annotations
 
 import math
 import re
+import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,6 +48,12 @@ ADDRESS = frozenset("you your youre u tu vous ton votre toi du dich dein ihr euc
 QUOTES = "\"“”«»„‟"
 
 _WORD = re.compile(r"[^\W\d_]+")
+_OUTER = string.punctuation + "“”«»„‟‘’…–—¡¿·"
+_SIGNS = re.compile(r"[\W_]+")
+#: Whole tokens, their parts between joints, and runs of single letters, digits among them.
+_TOKEN = re.compile(r"\S+")
+_PART = re.compile(r"[^\s\-'’/.,;:…()\[\]{}<>|\\–—?\"“”«»„‟]+")
+_SPELT = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]{1,3}[^\W_](?![^\W_])){2,}")
 
 
 def allowed_errors(length: int) -> int:
@@ -183,9 +196,43 @@ class Reader:
         self.lexicon = lexicon
         self.seen: dict[str, tuple[str, int] | None] = {}
 
+    def _read(self, word: str) -> tuple[str, int] | None:
+        if word not in self.seen:
+            self.seen[word] = self.lexicon.match(word)
+        return self.seen[word]
+
+    def _whole(self, token: str) -> tuple[str, int] | None:
+        """The nearest entry of a token read with its inner signs or without them; None if it is letters only."""
+        core = token.strip(_OUTER)
+        if not core or core.isalpha() or not _WORD.search(core):
+            return None
+        found = [h for h in (self._read(core), self._read(_SIGNS.sub("", core))) if h]
+        return min(found, key=lambda h: h[1]) if found else None
+
+    def _disguised(self, lowered: str) -> list[tuple[int, int, tuple[str, int]]]:
+        """(start, end, hit) of the tokens that hit as a whole, without overlaps: fewest errors first, then the longest."""
+        found = []
+        # Most tokens are letters only, which the cheap test passes over before positions are looked for.
+        odd = {t for t in set(lowered.split()) if not t.isalpha() and not t.strip(_OUTER).isalpha()}
+        if any(self._whole(t) or any(map(self._whole, _PART.findall(t))) for t in odd):
+            for m in _TOKEN.finditer(lowered):
+                if m.group() in odd:
+                    spans = [m.span(), *((m.start() + x.start(), m.start() + x.end()) for x in _PART.finditer(m.group()))]
+                    found += [(a, b, h) for a, b in spans if (h := self._whole(lowered[a:b]))]
+        for m in _SPELT.finditer(lowered):
+            joined = _SIGNS.sub("", m.group())
+            if _WORD.search(joined) and (h := self._read(joined)):
+                found.append((*m.span(), h))
+        kept: list[tuple[int, int, tuple[str, int]]] = []
+        for a, b, h in sorted(found, key=lambda x: (x[2][1], x[0] - x[1], x[0])):
+            if all(b <= c or d <= a for c, d, _ in kept):
+                kept.append((a, b, h))
+        return sorted(kept)
+
     def features(self, text: str) -> np.ndarray:
         """Abusive weight, quoted weight, misspelt weight, density, address, crowding of one whole text."""
-        words = words_of(text)
+        lowered = text.lower()
+        words = _WORD.findall(lowered)
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
         seen, match = self.seen, self.lexicon.match
@@ -193,15 +240,20 @@ class Reader:
             if w not in seen:
                 seen[w] = match(w)
         out = np.zeros(6)
-        hits = [(i, h) for i, h in enumerate(map(seen.__getitem__, words)) if h]
-        if not hits:
+        found: list[tuple[str, int] | None] = list(map(seen.__getitem__, words))
+        disguised = self._disguised(lowered)
+        if not disguised and not any(found):
             return out
-        spans = list(_WORD.finditer(text.lower()))
+        starts = [m.start() for m in _WORD.finditer(lowered)]
+        for a, b, hit in reversed(disguised):
+            lo, hi = bisect_left(starts, a), bisect_left(starts, b)
+            if all(h is None or h[1] > hit[1] for h in found[lo:hi]):
+                words[lo:hi], found[lo:hi], starts[lo:hi] = [lowered[a:b]], [hit], [a]
+        hits = [(i, h) for i, h in enumerate(found) if h]
         inside, quoted, at = False, [], 0
-        lowered = text.lower()
         for i, _ in hits:
-            inside ^= sum(lowered.count(q, at, spans[i].start()) for q in QUOTES) % 2 == 1
-            at = spans[i].start()
+            inside ^= sum(lowered.count(q, at, starts[i]) for q in QUOTES) % 2 == 1
+            at = starts[i]
             quoted.append(inside)
         last = -10 * WINDOW
         for (i, (entry, errors)), within in zip(hits, quoted, strict=True):

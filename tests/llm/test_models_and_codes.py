@@ -203,6 +203,17 @@ def test_quotation_is_told_from_abuse():
     assert 0 < misspelt[0] < abuse[0] and misspelt[2] > 0 and stem[0] > 0 and not clean.any()
 
 
+def test_signs_inside_words_do_not_hide_them():
+    reader = toxicity.Reader(toxicity.Lexicon({"idiot": 5.0, "stupid": 5.0, "moron": 5.0, "disgusting": 5.0}, {}))
+    for text in ("id1ot", "stup1d", "mor0n", "disgust1ng", "st*pid", "s.t.u.p.i.d", "(id1ot!)", "what a st*pid, idea", "so s t u p i d it is", "s_t_u_p_i_d", "un l'id1ot", "stu-pid"):
+        assert reader.features(text)[0] > 0, text
+    quoted = reader.features('they said "id1ot" once')
+    assert quoted[0] == 0 and quoted[1] > 0
+    assert np.array_equal(reader.features("you stupid-looking idiot."), reader.features("you stupid looking idiot"))
+    for text in ("room 101, 2.5 km", "a b c d e", "1 2 3 4 5", "mail x.y@example.com", "well-known l'homme don't", ""):
+        assert not reader.features(text).any(), text
+
+
 @pytest.mark.parametrize("name,label,least", [("op1_toxicity", "toxic", 0.9), ("op2_quality", "quality", 0.9)])
 def test_held_out_accuracy(spark, name, label, least):
     sf = SF.replace("0.001", "0.1")
