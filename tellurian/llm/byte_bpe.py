@@ -3,8 +3,15 @@
 Encoding works on the distinct pieces of a stretch of documents.  A recursive
 query holds one row per (piece, position, token): each round joins neighbouring
 tokens to the merge table, takes every piece's leftmost pair of minimum rank,
-contracts it and drops pieces without one, to a fixpoint.  Decoding joins token
-rows to the vocabulary and aggregates the bytes in order.
+contracts it and drops pieces without one, to a fixpoint.  A query makes at most
+``ROUNDS`` rounds; pieces that are not at their fixpoint then go on in the next
+one from where they stand, so that memory is bounded by bytes x rounds and not
+by all rounds of the longest piece.  Decoding joins token rows to the vocabulary
+and aggregates the bytes in order.
+
+Two kinds of piece need no recursion: a piece that is a token stands for itself
+(the library's rule too), and one of more than ``LONG_PIECE`` bytes, which would
+take a round over all its rows for each of its merges, goes by a heap.
 
 The merge table holds every split of every token into two tokens, with the
 token's rank, so that adjacent tokens merge exactly if their bytes are a token.
@@ -20,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurian.llm.store import text_batches
+from tellurian.llm.store import text_slices
 
-#: A query takes pieces of so many bytes together; text is gathered to this much.
+#: A query takes pieces of so many bytes together and makes so many rounds; text is gathered to this much.
 QUERY_BYTES = 1 << 18
+ROUNDS = 12
 GATHER_BYTES = 4 << 20
 #: Pieces kept from one stretch of documents to the next.
 CACHE_PIECES = 150_000
@@ -38,22 +47,23 @@ DECODE_ROWS = 1 << 18
 PLACE = 1 << 24
 
 #: A token's row is keyed by piece << 16 | position; no piece of a query is longer than that.
+#: Of each piece the rows of its last round come out, with the number of that round.
 ENCODE = f"""
 WITH RECURSIVE t(k, tok, round) AS (
-    SELECT (w::BIGINT << 16) + pos, tok, 0 FROM start
+    SELECT k, tok, 0 FROM start
     UNION ALL
     (WITH pairs AS MATERIALIZED (
         SELECT k, tok, round, before, CASE WHEN nk >> 16 = k >> 16 THEN id * {PLACE}::BIGINT + (k & 65535) END AS place
         FROM (
             SELECT k, tok, round, lead(tok) OVER s AS nxt, lead(k) OVER s AS nk, lag(k) OVER s AS before
-            FROM t WINDOW s AS (ORDER BY k)
+            FROM t WHERE round < {ROUNDS} WINDOW s AS (ORDER BY k)
         ) LEFT JOIN merges ON l = tok AND r = nxt),
     least AS (SELECT k >> 16 AS w, min(place) AS best FROM pairs WHERE place IS NOT NULL GROUP BY k >> 16)
     SELECT k, CASE WHEN (k & 65535) = best % {PLACE} THEN (best // {PLACE})::INTEGER ELSE tok END, round + 1
     FROM pairs JOIN least ON k >> 16 = w
     WHERE before IS NULL OR before <> (w << 16) + best % {PLACE})
 )
-SELECT (k >> 16)::INTEGER AS w, tok
+SELECT k, tok, round
 FROM t JOIN (SELECT k >> 16 AS w, max(round) AS final FROM t GROUP BY k >> 16) ON k >> 16 = w AND round = final
 ORDER BY k
 """
@@ -129,20 +139,25 @@ class Codec:
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         starts = np.cumsum(sizes) - sizes
         tok = self.single[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        w = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
-        pos = (np.arange(len(tok)) - np.repeat(starts, sizes)).astype(np.int32)
-        db.register("start", pa.table({"w": w, "pos": pos, "tok": tok}))
-        found = db.execute(ENCODE).fetchnumpy()
-        db.unregister("start")
-        at = np.searchsorted(found["w"], np.arange(len(raw) + 1))
-        ids = np.asarray(found["tok"]).astype("<u4")
-        self.cache.update((p, ids[at[i] : at[i + 1]].tobytes()) for i, p in enumerate(pieces))
-
-    def learn(self, wanted: set[str]) -> None:
-        """Puts the ids of all these pieces into the cache."""
+        k = (np.repeat(np.arange(len(raw), dtype=np.int64), sizes) << 16) + np.arange(len(tok)) - np.repeat(starts, sizes)
+        while len(k):
+            db.register("start", pa.table({"k": k, "tok": tok}))
+            found = db.execute(ENCODE).fetchnumpy()
+            db.unregister("start")
+            k, tok = np.asarray(found["k"]), np.asarray(found["tok"])
+            done = np.asarray(found["round"]) < ROUNDS
+            ids = tok[done].astype("<u4")
+            w = k[done] >> 16
+            edges = [0, *(np.flatnonzero(np.diff(w)) + 1).tolist(), len(w)]
+            self.cache.update((pieces[w[lo]], ids[lo:hi].tobytes()) for lo, hi in zip(edges, edges[1:], strict=False) if lo < hi)
+            k, tok = k[~done], tok[~done]
+
+    def learn(self, wanted: set[str]) -> list[str]:
+        """Puts the ids of all these pieces into the cache; returns the long ones, which should not stay there."""
         if len(self.cache) > CACHE_PIECES:
             self.older, self.cache = self.cache, {}
         pieces, raw, size = [], [], 0
+        long: list[str] = []
         for p in wanted:
             if p in self.cache:
                 continue
@@ -154,6 +169,7 @@ class Codec:
                 self.cache[p] = whole.to_bytes(4, "little")
             elif len(b) > LONG_PIECE:
                 self.cache[p] = self.merge_long(b)
+                long.append(p)
             else:
                 pieces.append(p)
                 raw.append(b)
@@ -163,6 +179,7 @@ class Codec:
                     pieces, raw, size = [], [], 0
         if pieces:
             self._query(pieces, raw)
+        return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -174,9 +191,11 @@ class Codec:
                 size += len(texts[to])
                 to += 1
             split = [self.pattern.findall(t) for t in texts[at:to]]
-            self.learn({p for ps in split for p in ps})
+            long = self.learn({p for ps in split for p in ps})
             of = self.cache.__getitem__
             out.extend(b"".join(map(of, ps)) for ps in split)
+            for p in long:
+                del self.cache[p]
             at = to
         return out
 
@@ -228,8 +247,11 @@ def _ids_array(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
 
 
-def _rows(ids: pa.Array) -> list[bytes]:
-    return [np.array(x or [], dtype="<u4").tobytes() for x in ids.to_pylist()]
+def _rows(ids: pa.ListArray) -> list[bytes]:
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    flat = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype("<i4")
+    edges = [0, *np.cumsum(sizes).tolist()]
+    return [flat[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,11 +260,10 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     A null or empty text has no tokens.  Rows are independent, so that repeated
     rows repeat; other columns are ignored; an empty table gives an empty result.
     """
-    text_batches(docs.sparkSession)
     shared = _share(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, 1):
             rows = _codec(shared).encode([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), _ids_array(rows)], ["doc_id", "ids"])
 
@@ -251,7 +272,6 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, bytes: what the ids stand for; null ids stand for nothing.  Unknown ids are passed over."""
-    text_batches(encoded.sparkSession)
     shared = _share(encoded.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,12 +286,11 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
     Both steps share one worker, so that ids need not travel between two.
     """
-    text_batches(docs.sparkSession)
     shared = _share(docs.sparkSession, path, pattern)
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, 1):
             codec = _codec(shared)
             rows = codec.encode([t or "" for t in b.column(1).to_pylist()])
             back = codec.decode(rows)

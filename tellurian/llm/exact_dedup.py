@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurian.llm.store import materialise, text_batches
+from tellurian.llm.store import materialise, text_slices
 
 WINDOW_BYTES = 16 << 20
 WINDOW_ROWS = 8192
@@ -61,7 +61,7 @@ def _scanner(key_of: Callable[[bytes], int]) -> Callable[[Iterator[pa.RecordBatc
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 36
         rows, classes, chains, size = [], [], {}, 0
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 text = text or b""
                 key = key_of(text)
@@ -135,7 +135,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     current, chain = None, []
-    for b in batches:
+    for b in text_slices(batches, 5):
         for bucket, key, cls, best, n, text, sha in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if current != (bucket, key):
                 if chain:
@@ -167,8 +167,6 @@ def exact_dedup(
     of rows that repeat both id and text exactly one stays.  Any other column of
     ``docs`` is ignored, an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
     rows = materialise(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scanner(key_of), SCAN),
         "exact-scan",

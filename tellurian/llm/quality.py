@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellurian.llm.sampling import fold, labelled_texts
-from tellurian.llm.store import text_batches
+from tellurian.llm.store import text_slices
 
 SLOTS = 1 << 16
 BINS = 12
@@ -137,11 +137,10 @@ _FEATURES = Features()
 
 def score_texts(docs: DataFrame, machine: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score in 0..1 of every whole text; a null text counts as empty, rows are independent."""
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, 1):
             rows = [_FEATURES.of((t or "").encode()) for t in b.column(1).to_pylist()]
             if rows:
                 owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])

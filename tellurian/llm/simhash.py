@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellurian.llm.sampling import smallest
-from tellurian.llm.store import materialise, text_batches
+from tellurian.llm.store import materialise, text_slices
 
 RADIUS = 3
 SHINGLE = 3
@@ -60,7 +60,7 @@ def text_fingerprint(text: bytes | None, k: int = SHINGLE) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in text_slices(batches, 1):
         texts = b.column(1).cast(pa.binary()).to_pylist()
         found = np.array([text_fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], ["doc_id", "fp"])
@@ -68,7 +68,6 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
-    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 

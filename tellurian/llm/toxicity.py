@@ -11,9 +11,10 @@ follow one another, it is also read whole, inner signs counting as letters, and
 with its signs left out; such a reading replaces its letter runs where it is
 nearer to the lexicon than they are.
 
-A hit is then judged in its window: inside quotation marks, or beside words that
-report speech, it counts as quotation; otherwise as abuse, more so when hits
-crowd together or address the reader.  A logistic model over these sums gives
+A hit is then judged in its window: inside a pair of quotation marks, or beside
+words that report speech, it counts as quotation; otherwise as abuse, more so
+when hits crowd together or address the reader.  A mark that is never closed, or
+closed too far away, quotes nothing.  A logistic model over these sums gives
 the document's score.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import string
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellurian.llm.sampling import fold, labelled_texts
-from tellurian.llm.store import text_batches
+from tellurian.llm.store import text_slices
 
 SAMPLE_PER_CLASS = 3000
 WINDOW = 6
@@ -46,8 +48,11 @@ CACHE_WORDS = 400_000
 REPORTING = frozenset("said says say wrote writes called calls quote quoted word term slur dit dire mot écrit appelle cité sagte sagt schrieb nannte wort zitat dijo dice escribió llamó palabra cita".split())
 ADDRESS = frozenset("you your youre u tu vous ton votre toi du dich dein ihr euch tú vos usted ustedes".split())
 QUOTES = "\"“”«»„‟"
+#: A quotation that is not closed within so many characters is none.
+QUOTE_REACH = 600
 
 _WORD = re.compile(r"[^\W\d_]+")
+_QUOTE = re.compile(f"[{QUOTES}]")
 _OUTER = string.punctuation + "“”«»„‟‘’…–—¡¿·"
 _SIGNS = re.compile(r"[\W_]+")
 #: Whole tokens, their parts between joints, and runs of single letters, digits among them.
@@ -153,6 +158,28 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def quoted_spans(text: str, reach: int = QUOTE_REACH) -> list[tuple[int, int]]:
+    """(start, end) between paired quotation marks.
+
+    A mark opens where a word follows and none ends before it, and closes where
+    it is the other way round, so that an inch sign opens nothing; between two
+    blanks its shape decides.  The last mark that opened is the one that closes.
+    """
+    spans, at = [], None
+    for m in _QUOTE.finditer(text):
+        here = m.start()
+        before, after = text[here - 1 : here] if here else " ", text[here + 1 : here + 2] or " "
+        bound, free = before.isspace() or before in "([{-–—:", not after.isspace() and after not in ")]}.,;:!?"
+        opens = m.group() in "«„“" or (m.group() == '"' and at is None) if bound and not free else bound and free
+        if opens:
+            at = here
+        elif at is not None:
+            if here - at <= reach:
+                spans.append((at, here))
+            at = None
+    return spans
+
+
 def learn_lexicon(rows: list[tuple[str, int]]) -> Lexicon:
     """Terms and stems that toxic documents hold far more often than others.
 
@@ -250,11 +277,10 @@ class Reader:
             if all(h is None or h[1] > hit[1] for h in found[lo:hi]):
                 words[lo:hi], found[lo:hi], starts[lo:hi] = [lowered[a:b]], [hit], [a]
         hits = [(i, h) for i, h in enumerate(found) if h]
-        inside, quoted, at = False, [], 0
-        for i, _ in hits:
-            inside ^= sum(lowered.count(q, at, starts[i]) for q in QUOTES) % 2 == 1
-            at = starts[i]
-            quoted.append(inside)
+        spans = quoted_spans(lowered)
+        begins = [a for a, _ in spans]
+        place = [bisect_left(begins, starts[i]) - 1 for i, _ in hits]
+        quoted = [k >= 0 and starts[i] < spans[k][1] for k, (i, _) in zip(place, hits, strict=True)]
         last = -10 * WINDOW
         for (i, (entry, errors)), within in zip(hits, quoted, strict=True):
             near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
@@ -319,15 +345,14 @@ _READERS: dict[str, Reader] = {}
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, hits: abusive, quoted and misspelt weights of every whole text."""
-    text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((str(id(model)), model))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, m = shared.value
         if name not in _READERS:
             _READERS.clear()
             _READERS[name] = Reader(m.lexicon)
-        for b in batches:
+        for b in text_slices(batches, 1):
             rows = [_READERS[name].features(t or "") for t in b.column(1).to_pylist()]
             if rows:
                 x = np.stack(rows)

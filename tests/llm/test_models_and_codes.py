@@ -53,6 +53,14 @@ def test_bpe_tables(spark):
     assert byte_bpe.bpe_round_trip(spark.createDataFrame([], DOCS), PATH, PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("letters,length", [("eatnor", 250), ("абвгдеёжз", 125), ("acgt", 250)])
+def test_many_long_words_fit_the_memory_limit(letters, length):
+    rng = np.random.default_rng(4)
+    text = " ".join("".join(rng.choice(list(letters), length)) for _ in range(450))
+    got = byte_bpe.Codec(RANKS, PATTERN).encode([text])
+    assert got == [packed(ENCODING.encode_ordinary(text))]
+
+
 def test_bpe_query(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = QUERIES["op4_byte_bpe"](spark, SF).collect()
@@ -119,18 +127,65 @@ def test_gradients_match_finite_differences():
         assert (up - down) / 2e-4 == pytest.approx(g[name][at], rel=5e-2, abs=1e-5)
 
 
+def test_chunks_carry_their_state(monkeypatch):
+    """Reading in chunks equals reading whole texts plainly, as long as a text is one chunk, and nearly so beyond."""
+    rng = np.random.default_rng(1)
+    net = language_id.Gru(["a", "b", "c"], hidden=5)
+    texts = [bytes(rng.choice(list(b"abcXYZ .\xc3\xa9"), n)) for n in (1, 7, 40, 40, 3, 90)] + [b""]
+
+    def plain(text):
+        x = language_id._bytes_of(text)[None]
+        prob = net.probabilities(x)[:, 0]
+        counted = language_id._IS_LETTER[x[0]]
+        return prob[counted].mean(axis=0) if counted.any() else np.zeros(3)
+
+    want = np.stack([plain(t) if t else np.zeros(3) for t in texts])
+    assert net.pool(texts) == pytest.approx(want, abs=1e-5)
+    assert net.pool(texts[::-1])[::-1] == pytest.approx(want, abs=1e-5)
+    monkeypatch.setattr(language_id, "CHUNK", 16)
+    monkeypatch.setattr(language_id, "CONTEXT", 16)
+    monkeypatch.setattr(language_id, "ROWS", 4)
+    assert net.pool(texts) == pytest.approx(want, abs=2e-3)
+
+
+def test_word_order_and_digits_reach_the_network(spark):
+    """What stands across a blank or among digits changes the states: the text is not a bag of words."""
+    net = language_id.Gru(["a", "b"], hidden=6)
+    one, two, three = net.pool([b"ab cd ef", b"ef ab cd", b"ab9cd!ef"])
+    assert np.abs(one - two).max() > 1e-4 and np.abs(one - three).max() > 1e-4
+
+
+def test_two_models_in_one_session(spark):
+    d = spark.createDataFrame([(i, "the cat and the dog sat") for i in range(8)], DOCS).repartition(4)
+    swapped = [language_id.train([("the cat and the dog " * 9, x), ("le chat et la maison " * 9, y)] * 20, steps=40, batch=32) for x, y in (("en", "fr"), ("fr", "en"))]
+    for net, want in zip([*swapped, *swapped], ["en", "fr"] * 2, strict=True):
+        assert {r.lang_pred for r in language_id.identify(d, net).collect()} == {want}
+    for term, hit in (("cat", True), ("zebra", False), ("dog", True)):
+        model = toxicity.Model(toxicity.Lexicon({term: 5.0}, {}))
+        assert all((r.abusive > 0) == hit for r in toxicity.score_texts(d, model).collect())
+
+
 def test_language_query(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = QUERIES["op8_language_id"](spark, SF).collect()
     assert len(got) == len(docs)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
+    # Brute force: the same network over each whole text on its own.
+    net = language_id.fit_on(spark.read.parquet(f"{SF}/documents.parquet"))
+    for r in got:
+        text = docs[r.doc_id].text or ""
+        if not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        prob = net.pool([text.encode()])[0]
+        assert r.lang_pred == net.languages[prob.argmax()] and r.score == pytest.approx(prob.max(), abs=1e-4)
     held = [r.lang_pred == docs[r.doc_id].lang for r in got if r.held_out]
     assert np.mean(held) > 0.9
 
 
 def test_language_awkward(spark):
     rows = [("the cat and the dog", "en"), ("le chat et la maison", "fr")] * 20
-    net = language_id.train(rows, steps=60, batch=64)
+    net = language_id.train([(t + " ", k) for t, k in rows], steps=60, batch=64)
     d = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !!"), (4, "the dog"), (4, "the dog"), (None, "日本"), (6, "the cat " * 40_000)], DOCS).withColumns({"score": F.lit("s"), "lang_pred": F.lit(1)})
     got = language_id.identify(d, net).collect()
     assert [r.lang_pred for r in got if r.doc_id in (1, 2, 3)] == ["und"] * 3
@@ -220,3 +275,13 @@ def test_held_out_accuracy(spark, name, label, least):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = QUERIES[name](spark, sf).join(labels, "doc_id").where("held_out")
     assert got.select(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0] > least
+
+
+def test_open_quotation_marks_quote_nothing():
+    reader = toxicity.Reader(toxicity.Lexicon({"scoundrel": 5.0}, {}))
+    for text in ('a 6" pipe ' + "stone " * 60 + "you scoundrel there", 'he began "so ' + "stone " * 200 + "you scoundrel there", '" scoundrel', 'scoundrel "', '"a" scoundrel "b"', 'a 6" and 7" scoundrel'):
+        f = reader.features(text)
+        assert f[0] > 0 and f[1] == 0, text
+    for text in ('"scoundrel"', "« scoundrel »", "„ein scoundrel“", "“a scoundrel”", "»scoundrel«", 'a 6" pipe, "the scoundrel", 7"', '("scoundrel")', '"no!" and "scoundrel."'):
+        f = reader.features(text)
+        assert f[0] == 0 and f[1] > 0, text
