@@ -1,13 +1,25 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-DataFrame functions only.  A file's passages are its lines that speak of a
-licence, long lines cut to the 200 characters on either side of each mention.
-Term weights are inverse document frequencies over all passages of all files,
-counted for the templates' vocabulary; other terms weigh like unseen ones.  Each
-passage is compared with every template inside its row, so that texts are never
-shuffled.  A file without a licence of its own takes that of the licence file in
-its nearest ancestor directory: distinct directories are unfolded into their
-ancestors, joined to the licence files' directories, and the deepest wins.
+DataFrame functions only.  A file's passages are its units (lines and sentences),
+its paragraphs (lines joined up to a blank one, comment signs falling away with
+all other signs) and, of a file that is named like a licence, the whole text.
+
+*Weights.*  Document frequencies are counted for every term over the units of all
+files.  A term weighs (1 + ln tf) x idf with idf = ln((1 + N) / (1 + df)) + 1,
+at most ``MOST_IDF``: a holder's name then weighs no more than the rarest word of
+a licence, whatever the size of the corpus.  It also bounds what is broadcast:
+terms below that ceiling have df > N / e^7, of which there are at most 1,100 for
+each distinct term that a unit has on average.
+
+*Candidates.*  A passage can reach the threshold T with a template only if their
+common terms hold T^2 of the template's squared length.  So it must hold a term
+from outside the template's lightest terms that stay below T^2 together; the
+passages without any such term are left out before anything moves, which loses
+none.  The others' terms are counted, weighed and compared with all templates.
+
+*Inheritance.*  A file without a licence of its own takes that of the licence
+file in its nearest ancestor directory: distinct directories are unfolded into
+their ancestors, joined to the licence files' directories, and the deepest wins.
 """
 
 from __future__ import annotations
@@ -16,126 +28,156 @@ import json
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellurian.llm.licence_texts import TEMPLATES
 from tellurian.llm.store import materialise
 
 THRESHOLD = 0.5
-REACH = 200
-MENTIONS = ("licen", "copyright", "rights reserved", "spdx")
-MENTION = r"(?i)licen[sc]|copyright|rights reserved|spdx"
+MOST_IDF = 8.0
+#: Declares nothing where another licence stands beside it.
+WEAKEST = "Proprietary"
 TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
-LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\..*)?$"
-
-#: Openings of headers and licence files.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT License"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"),
-    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms are permitted under the BSD 3 Clause License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0, the Creative Commons Attribution License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0, Attribution ShareAlike."),
-    ("Proprietary", "Copyright. All rights reserved."),
-)
-
-
-def passages(text: Column) -> Column:
-    """Lines that mention a licence, the long ones cut around each mention."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    near = rf"(?i).{{0,{REACH}}}?(?:licen[sc]|copyright|rights reserved|spdx).{{0,{REACH}}}"
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(MENTION))
-    cut = F.flatten(F.transform(lines, lambda x: F.when(F.char_length(x) <= 3 * REACH, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(near), F.lit(0)))))
-    mentioned = lowered.contains(MENTIONS[0])
-    for m in MENTIONS[1:]:
-        mentioned = mentioned | lowered.contains(m)
-    return F.when(mentioned, cut).otherwise(F.array().cast("array<string>"))
+UNIT = r"\n|(?<=[.!?])(?<!\bv\.)[ \t]+"
+PARAGRAPH = r"\n[\s#*/;%!>|-]*\n"
+LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\..*)?$"
 
 
 def terms(passage: Column) -> Column:
-    return F.regexp_extract_all(F.lower(passage), F.lit(TERM), F.lit(0))
+    return F.regexp_extract_all(passage, F.lit(TERM), F.lit(0))
 
 
-def weights(counts: dict[str, int], total: int) -> tuple[dict[str, tuple[float, list[float]]], float]:
-    """term -> (idf, its normalised weight in each template), and the idf of any other term."""
-    idf = lambda df: math.log((1 + total) / (1 + df)) + 1
-    bags = [Counter(re.findall(TERM, t.lower())) for _, t in TEMPLATES]
-    vocabulary = sorted(set().union(*bags))
-    rows = [{w: n * idf(counts.get(w, 0)) for w, n in bag.items()} for bag in bags]
-    norms = [math.sqrt(sum(x * x for x in row.values())) for row in rows]
-    return {w: (idf(counts.get(w, 0)), [row.get(w, 0.0) / norm for row, norm in zip(rows, norms, strict=True)]) for w in vocabulary}, idf(0)
+def units(text: Column) -> Column:
+    """Lines and sentences of a lower-cased text."""
+    return F.split(text, UNIT)
 
 
-def best_match(found: Column, table: dict[str, tuple[float, list[float]]], other: float) -> Column:
-    """(cosine, licence) of the passage and template that are nearest, null without passages."""
-    known = F.from_json(F.lit(json.dumps({w: {"i": i, "w": ws} for w, (i, ws) in table.items()})), "map<string, struct<i: double, w: array<double>>>")
-    names = F.lit([name for name, _ in TEMPLATES])
+def passages(text: Column, is_licence: Column) -> Column:
+    """Units, paragraphs of more than one, and the whole text of a licence file."""
+    several = F.filter(F.split(text, PARAGRAPH), lambda p: p.contains("\n") | p.contains(". "))
+    return F.concat(units(text), several, F.when(is_licence, F.array(text)).otherwise(F.array().cast("array<string>")))
 
-    def vector(ts: Column) -> Column:
-        return F.transform(F.array_distinct(ts), lambda t: F.struct(F.size(F.filter(ts, lambda u: u == t)).cast("double").alias("n"), F.try_element_at(known, t).alias("k")))
 
-    def scored(v: Column) -> Column:
-        weight = lambda x: x["n"] * F.coalesce(x["k"]["i"], F.lit(other))
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + weight(x) * weight(x)))
-        each = F.transform(
-            F.sequence(F.lit(0), F.lit(len(TEMPLATES) - 1)),
-            lambda k: F.struct((F.aggregate(v, F.lit(0.0), lambda a, x: a + weight(x) * F.coalesce(x["k"]["w"][k], F.lit(0.0))) / F.greatest(norm, F.lit(1e-12))).alias("cosine"), (-k).alias("k")),
-        )
-        top = F.array_max(each)
-        return F.struct(top["cosine"].alias("cosine"), names[-top["k"]].alias("licence"))
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(t, df): how many units hold each term; the empty term counts the units."""
+    found = F.flatten(F.transform(units(F.col("low")), lambda u: F.concat(F.array(F.lit("")), F.array_distinct(terms(u)))))
+    return texts.select(F.explode(found).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
 
-    return F.array_max(F.transform(F.transform(found, lambda p: vector(terms(p))), scored))
 
+def idf(df: float, total: int) -> float:
+    return min(MOST_IDF, math.log((1 + total) / (1 + df)) + 1)
 
-def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """doc_id, path, licence, cosine, origin, licence_dir: one row per file.
 
-    ``origin`` is ``own`` where a passage of the file reaches a cosine of 0.5 to
-    a template, ``inherited`` where an ancestor directory (the nearest, its own
+def template_weights(counts: dict[str, int], total: int, templates: Sequence[tuple[str, str]] = TEMPLATES) -> list[dict[str, float]]:
+    """The terms of each template with their weights, of length one together."""
+    out = []
+    for _, text in templates:
+        row = {w: (1 + math.log(n)) * idf(counts.get(w, 0), total) for w, n in Counter(re.findall(TERM, text.lower())).items()}
+        norm = math.sqrt(sum(x * x for x in row.values()))
+        out.append({w: x / norm for w, x in row.items()})
+    return out
+
+
+def telling_terms(rows: list[dict[str, float]], threshold: float = THRESHOLD) -> set[str]:
+    """Terms of which a passage must hold one to come within the threshold of any template."""
+    out: set[str] = set()
+    for row in rows:
+        light = 0.0
+        for w, x in sorted(row.items(), key=lambda r: (r[1], r[0])):
+            light += x * x
+            if light >= threshold * threshold:
+                out.add(w)
+    return out
+
+
+def best_matches(found: DataFrame, counts: DataFrame, total: int, rows: list[dict[str, float]], names: list[str], threshold: float) -> DataFrame:
+    """row -> licence, cosine, licences: the best of a row's candidate passages and all licences that they reach.
+
+    ``found`` has row and candidates, an array of passages' terms.
+    """
+    spark = found.sparkSession
+    # Terms below the ceiling: a bounded number, see the module's head.
+    known = counts.where((F.col("t") != "") & (F.col("df") + 1 > (total + 1) * math.exp(1 - MOST_IDF)))
+    known = known.select("t", (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    vocabulary = sorted(set().union(*rows))
+    table = F.lit(json.dumps([{"t": w, "share": [r.get(w, 0.0) for r in rows]} for w in vocabulary]))
+    shares = spark.range(1).select(F.inline(F.from_json(table, "array<struct<t: string, share: array<double>>>")))
+    held = found.select("row", F.posexplode("candidates").alias("passage", "ts")).select("row", "passage", F.explode("ts").alias("t")).groupBy("row", "passage", "t").agg(F.count(F.lit(1)).alias("n"))
+    weighed = held.join(F.broadcast(known), "t", "left").join(F.broadcast(shares), "t", "left")
+    w = (1 + F.log("n")) * F.coalesce("idf", F.lit(idf(0, total)))
+    weighed = weighed.select("row", "passage", "share", w.alias("w"))
+    dots = [F.sum(F.col("w") * F.coalesce(F.get("share", F.lit(k)), F.lit(0.0))).alias(f"d{k}") for k in range(len(rows))]
+    sums = weighed.groupBy("row", "passage").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+    each = F.array(*[F.struct((F.col(f"d{k}") / F.col("norm")).alias("cosine"), F.lit(-k).alias("k")) for k in range(len(rows))])
+    top = sums.select("row", F.array_max(each).alias("top"))
+    top = top.select("row", F.round("top.cosine", 9).alias("cosine"), F.element_at(F.lit(names), 1 - F.col("top.k")).alias("licence"))
+    reached = F.col("cosine") >= threshold
+    order = F.struct(reached & (F.col("licence") != WEAKEST), F.col("cosine"), F.col("licence"))
+    return top.groupBy("row").agg(F.max(order).alias("best"), F.sort_array(F.collect_set(F.when(reached, F.col("licence")))).alias("licences")).select(
+        "row", F.when(F.col("best.cosine") >= threshold, F.col("best.licence")).alias("own"), F.col("best.cosine").alias("cosine"), "licences"
+    )
+
+
+def scan(
+    files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text",
+    templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
+) -> DataFrame:
+    """doc_id, path, licence, licences, cosine, origin, licence_dir: one row per file.
+
+    ``origin`` is ``own`` where a passage of the file reaches the threshold with a
+    template, ``inherited`` where an ancestor directory (the nearest, its own
     included) holds a licence file that does, else ``none`` with null licence.
-    Of several licence files in a directory the nearest to a template counts,
-    ties by the greater name.  Null texts have no passages, a null path lies in the root;
-    rows that repeat are rows of their own; other columns are ignored; an empty
-    table gives an empty result.
+    ``licences`` are all that a file's passages reach, each passage counting for
+    its nearest template; ``licence`` is the nearest of them, a bare reservation
+    of rights only where nothing else is found.  Of several licence files in a
+    directory the nearest to a template counts, ties by the greater name.
+
+    Null and empty texts have no terms and no cosine; a null path lies in the
+    root; rows that repeat are rows of their own, alike in all they get; a text of
+    any length is read whole; other columns are ignored, whatever their names;
+    an empty table gives an empty result.
     """
-    given = files.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), passages(F.col(text_col)).alias("found"))
-    found = materialise(given, "licence-passages")
-    table, _ = weights({}, 1)
-    vocabulary = F.lit(sorted(table))
-    seen = found.select(F.explode("found").alias("p"))
-    counted = seen.select(F.explode(F.array_intersect(terms(F.col("p")), vocabulary)).alias("t")).groupBy("t").count()
-    counts = {r[0]: r[1] for r in counted.collect()}  # at most the templates' vocabulary
-    table, other = weights(counts, seen.count())
+    path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit(""))
     name, folder = F.regexp_extract("path", r"[^/]*$", 0), F.regexp_replace("path", r"/?[^/]*$", "")
-    best = found.select("doc_id", "path", folder.alias("dir"), name.rlike(LICENCE_FILE).alias("is_licence"), best_match(F.col("found"), table, other).alias("best"))
-    own = F.when(F.col("best.cosine") >= THRESHOLD, F.col("best.licence"))
-    rows = materialise(best.select("doc_id", "path", "dir", "is_licence", own.alias("own"), F.col("best.cosine").alias("cosine")), "licence-files")
-    declared = rows.where("is_licence AND own IS NOT NULL").groupBy(F.col("dir").alias("licence_dir")).agg(F.max(F.struct("cosine", "own")).alias("d"))
+    given = files.select(F.col(f"`{id_col}`").alias("doc_id"), path.alias("path"), F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("low"))
+    counts = materialise(term_counts(given.select("low")), "licence-terms")
+    vocabulary = sorted({w for _, t in templates for w in re.findall(TERM, t.lower())})
+    of = {r.t: r.df for r in counts.where(F.col("t").isin("", *vocabulary)).collect()}  # at most the templates' terms
+    total = of.pop("", 0)
+    rows = template_weights(of, total, templates)
+    telling = sorted(telling_terms(rows, threshold))
+    given = given.withColumn("is_licence", name.rlike(LICENCE_FILE))
+    read = F.transform(passages(F.col("low"), F.col("is_licence")), terms)
+    candidates = F.filter(read, lambda ts: F.exists(ts, lambda t: t.isin(telling)))
+    found = given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", folder.alias("dir"), "is_licence", candidates.alias("candidates"))
+    found = materialise(found, "licence-passages")
+    best = best_matches(found.where(F.size("candidates") > 0), counts, total, rows, [n for n, _ in templates], threshold)
+    rated = materialise(found.select("row", "doc_id", "path", "dir", "is_licence").join(best, "row", "left"), "licence-files")
+    declared = rated.where("is_licence AND own IS NOT NULL").groupBy(F.col("dir").alias("licence_dir")).agg(F.max(F.struct("cosine", "own")).alias("d"))
     declared = declared.select("licence_dir", F.col("d.own").alias("licence"))
     parts = F.split("dir", "/")
-    steps = rows.where("own IS NULL").select("dir").distinct()
+    steps = rated.where("own IS NULL").select("dir").distinct()
     steps = steps.select("dir", F.posexplode(F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("up", "licence_dir"))
     nearest = steps.join(declared, "licence_dir").groupBy("dir").agg(F.min(F.struct("up", "licence", "licence_dir")).alias("near"))
-    joined = rows.join(nearest, "dir", "left")
+    joined = rated.join(nearest, "dir", "left")
     inherited = F.col("own").isNull() & F.col("near").isNotNull()
     return joined.select(
-        "doc_id", "path", F.coalesce("own", F.col("near.licence")).alias("licence"), F.round("cosine", 6).alias("cosine"),
+        "doc_id", "path", F.coalesce("own", F.col("near.licence")).alias("licence"), F.coalesce("licences", F.array().cast("array<string>")).alias("licences"), F.round("cosine", 6).alias("cosine"),
         F.when(F.col("own").isNotNull(), "own").when(inherited, "inherited").otherwise("none").alias("origin"),
         F.when(inherited, F.col("near.licence_dir")).alias("licence_dir"),
     )
 
 
 def as_files(docs: DataFrame) -> DataFrame:
-    """Documents as files: source/lang/shard/id.txt, and short texts that mention a licence as LICENSE-like files."""
-    short = F.char_length("text") <= 600
-    name = F.when(short & F.lower("text").contains("licen"), F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    shard = F.concat(F.lit("part-"), F.pmod("doc_id", F.lit(8)).cast("string"))
+    """Documents as files source/lang/part-k/name: every eighth id is named LICENSE, the others by their id.
+
+    The name does not depend on the text.  Null sources, languages and ids have
+    names of their own; rows that repeat share a path.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    name = F.when(F.pmod("doc_id", F.lit(8)) == 0, F.concat(F.lit("LICENSE."), key)).otherwise(F.concat(key, F.lit(".txt")))
+    shard = F.concat(F.lit("part-"), F.coalesce(F.pmod(F.floor(F.col("doc_id") / 8), F.lit(8)).cast("string"), F.lit("none")))
     return docs.select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), shard, name).alias("path"))
