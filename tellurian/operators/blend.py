@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellurian.operators import horizon, stencil
+from tellurian.operators.grid import grid_stats
+from tellurian.operators.lineage import cut
 
 
 
@@ -56,8 +58,10 @@ def percentile_stretch(df: DataFrame, value: str, low: float = 0.02, high: float
 
 
 def deviation_stretch(df: DataFrame, value: str, deviations: float = 2.0) -> tuple[float, float]:
-    """Display range: mean -/+ deviations, inside the data's own range."""
+    """Display range: mean -/+ deviations, inside the data's own range; (0, 0) without any value."""
     low, high, mean, std = df.agg(F.min(value), F.max(value), F.avg(value), F.stddev_pop(value)).first()
+    if low is None:
+        return 0.0, 0.0
     return max(low, mean - deviations * std), min(high, mean + deviations * std)
 
 
@@ -93,14 +97,16 @@ def mosaic(*layers: DataFrame) -> DataFrame:
 
 def vat(cells: DataFrame, cellsize: float, svf_radius: int = 50, open_radius: int = 50) -> DataFrame:
     """Hillshade x inverted slope, overlaid with openness, times sky view, each at half opacity."""
-    rays = horizon.layers(cells, cellsize, {"svf": ("svf", {"radius": svf_radius}), "opn": ("openness", {"radius": open_radius})})
+    s = grid_stats(cells)
+    rays = horizon.layers(cells, cellsize, {"svf": ("svf", {"radius": svf_radius}), "opn": ("openness", {"radius": open_radius})}, stats=s)
     total = F.lit(0.0)
     for a in (315.0, 45.0, 135.0, 225.0):
         total = total + stencil.shade_of(a, 45.0)
-    near = stencil.gradients(cells, cellsize).select(
+    near = stencil.gradients(cells, cellsize, stats=s).select(
         "r", "c", F.when(F.col("z").isNotNull(), total / 4 * 255.0).alias("shade"), F.when(F.col("z").isNotNull(), stencil.slope_of()).alias("slope")
     )
-    d = aligned(near, rays)
+    # Read twice, for the extremes and for the result.
+    d = cut(aligned(near, rays))
     e = extremes(d, "shade", "slope", "opn", "svf")
     out = d.select("r", "c", *[(unit_range(F.col(n), *e[n]) * 255.0).alias(n) for n in e]).withColumn("slope", 255.0 - F.col("slope"))
     # One projection a blend: nested, each would repeat the one below it several times.
@@ -111,7 +117,8 @@ def vat(cells: DataFrame, cellsize: float, svf_radius: int = 50, open_radius: in
 
 def red_relief(cells: DataFrame, cellsize: float, radius: int = 20) -> DataFrame:
     """Local relief times inverted slope at half opacity; a constant layer counts as 0."""
-    d = aligned(stencil.local_relief(cells, radius), stencil.slope(cells, cellsize))
+    s = grid_stats(cells)
+    d = cut(aligned(stencil.local_relief(cells, radius, s), stencil.slope(cells, cellsize, stats=s)))
     e = extremes(d, "slrm", "slope")
     flat = lambda n: e[n][0] is None or e[n][1] <= e[n][0]
     relief = F.when(F.col("slrm").isNotNull(), F.lit(0.0)) if flat("slrm") else unit_range(F.col("slrm"), *e["slrm"]) * 255.0
@@ -138,12 +145,13 @@ def e4mstp(d: DataFrame) -> DataFrame:
 
 def e4mstp_of(cells: DataFrame, cellsize: float, radius: int = 10, local: int = 5, meso: int = 50, broad: int = 500, far: int = 50, ld: tuple[float, float] = (10.0, 20.0)) -> DataFrame:
     """The whole composite from elevations: all ray layers in one scan."""
+    s = grid_stats(cells)
     rays = horizon.layers(cells, cellsize, {
         "svf_s": ("svf", {"radius": radius}), "svf_l": ("svf", {"radius": far}), "o_pos": ("openness", {"radius": radius}),
         "o_neg": ("openness", {"radius": radius, "negative": True}), "ld": ("local_dominance", {"min_radius": ld[0], "max_radius": ld[1]}),
-    })
-    position = stencil.mstp(cells, local, meso, broad).select("r", "c", (F.col("red") / 255.0).alias("mstp_r"), (F.col("green") / 255.0).alias("mstp_g"), (F.col("blue") / 255.0).alias("mstp_b"))
-    d = aligned(rays, stencil.slope(cells, cellsize), position)
+    }, stats=s)
+    position = stencil.mstp(cells, local, meso, broad, stats=s).select("r", "c", (F.col("red") / 255.0).alias("mstp_r"), (F.col("green") / 255.0).alias("mstp_g"), (F.col("blue") / 255.0).alias("mstp_b"))
+    d = aligned(rays, stencil.slope(cells, cellsize, stats=s), position)
     unit = d.withColumns({"o_pos": clip(F.col("o_pos") / 180.0, 0.0, 1.0), "o_neg": clip(F.col("o_neg") / 180.0, 0.0, 1.0), "ld": F.col("ld") / 255.0, "s": clip(F.col("slope") / 90.0, 0.0, 1.0)})
     return e4mstp(unit)
 
@@ -176,8 +184,10 @@ def pca(d: DataFrame, names: tuple[str, ...] = ("svf", "opn", "slope", "ld"), co
 
 
 def pca_of(cells: DataFrame, cellsize: float, radius: int = 10) -> DataFrame:
-    rays = horizon.layers(cells, cellsize, {"svf": ("svf", {"radius": radius}), "opn": ("openness", {"radius": radius}), "ld": ("local_dominance", {})})
-    return pca(aligned(rays, stencil.slope(cells, cellsize)))
+    s = grid_stats(cells)
+    rays = horizon.layers(cells, cellsize, {"svf": ("svf", {"radius": radius}), "opn": ("openness", {"radius": radius}), "ld": ("local_dominance", {})}, stats=s)
+    # Read three times: moments, percentiles, result.
+    return pca(cut(aligned(rays, stencil.slope(cells, cellsize, stats=s))))
 
 
 def report_statistics(cells: DataFrame, value: str = "z") -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tellurian.operators.lineage import cut
+from tellurian.operators.nearest import nearest as nearest_points
+
 #: Fixed value: no side of a gridded surface may have more cells.
 MAX_SIDE = 20_000
 
@@ -24,46 +29,101 @@ def grid_geometry(points: DataFrame, cellsize: float) -> tuple[float, float, int
     return x0 - cellsize / 2, y1 + cellsize / 2, rows, cols
 
 
-def grid_idw(points: DataFrame, cellsize: float, radius: float | None = None, nearest: int = 12, smoothing: float = 1.0) -> DataFrame:
+#: A tile is made smaller until the densest one has no more points than this.
+TILE_POINTS = 1 << 20
+
+
+def _tile_side(points: DataFrame, side: float, least: float) -> float:
+    """``side`` halved until the densest square holds at most ``TILE_POINTS``, by one small aggregate."""
+    square = lambda n: F.floor(F.col(n) / side)
+    densest = points.groupBy(square("x").alias("sx"), square("y").alias("sy")).count().agg(F.max("count")).first()[0] or 0
+    while densest > TILE_POINTS and side / 2 >= least:
+        densest, side = densest / 4, side / 2
+    return side
+
+
+def grid_idw(points: DataFrame, cellsize: float, radius: float | None = None, nearest: int = 12, smoothing: float = 1.0, tile: int = 64) -> DataFrame:
     """(r, c, z): inverse squared distance of the nearest points within the radius, else NULL.
 
-    A range join by buckets as wide as the radius: a cell looks at the points of
-    its own bucket and of the eight around it.
+    Points are sent once to each tile of cells that they can reach (one shuffle)
+    and looked up there by rings of buckets, so that a cell meets about as many
+    points as it uses and not all of its neighbourhood.  Every tile also gets a
+    marker without coordinates, and so answers for its cells even without points.
     """
     left, top, rows, cols = grid_geometry(points, cellsize)
     reach = radius or 5.0 * cellsize
-    cells = points.sparkSession.range(rows).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
-    cells = cells.withColumns({"cx": left + (F.col("c") + 0.5) * cellsize, "cy": top - (F.col("r") + 0.5) * cellsize})
-    bucket = lambda n: F.floor(F.col(n) / reach)
-    around = F.sequence(F.lit(-1), F.lit(1))
-    asked = cells.withColumns({"bx": bucket("cx"), "by": bucket("cy")}).withColumn("bx", F.explode(F.transform(around, lambda k: F.col("bx") + k)))
-    asked = asked.withColumn("by", F.explode(F.transform(around, lambda k: F.col("by") + k)))
-    p = points.select("x", "y", "z", bucket("x").alias("bx"), bucket("y").alias("by"))
-    d2 = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
-    near = asked.join(p, ["bx", "by"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach)
-    first = Window.partitionBy("r", "c").orderBy("d2", "z", "x", "y")
-    w = 1.0 / (F.col("d2") + smoothing * smoothing)
-    made = near.withColumn("at", F.row_number().over(first)).where(F.col("at") <= nearest).groupBy("r", "c").agg((F.sum(F.col("z") * w) / F.sum(w)).alias("z"))
-    return cells.select("r", "c").join(made, ["r", "c"], "left")
+    tile = max(1, int(_tile_side(points, tile * cellsize, cellsize) / cellsize))
+    place = lambda v: F.floor(v / cellsize / tile)
+    span = lambda v, n: F.sequence(F.greatest(place(v - reach), F.lit(0)), F.least(place(v + reach), F.lit((n - 1) // tile)))
+    p = points.select("x", "y", "z").where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    sent = p.withColumn("tile_c", F.explode(span(F.col("x") - left, cols))).withColumn("tile_r", F.explode(span(top - F.col("y"), rows)))
+    marks = points.sparkSession.range((rows - 1) // tile + 1).select(F.lit(None).cast("double").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit((cols - 1) // tile).cast("long"))).alias("tile_c"), F.col("id").alias("tile_r"))
+    marks = marks.select("x", F.col("x").alias("y"), F.col("x").alias("z"), "tile_c", "tile_r")
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(pdf["tile_r"].iat[0]) * tile, int(pdf["tile_c"].iat[0]) * tile
+        r, c = (a.ravel() for a in np.mgrid[r0 : min(r0 + tile, rows), c0 : min(c0 + tile, cols)])
+        x, y, z = (pdf[n].to_numpy(float) for n in "xyz")
+        known = ~np.isnan(x)
+        x, y, z = x[known], y[known], z[known]
+        q, at, d2 = nearest_points(x, y, z, left + (c + 0.5) * cellsize, top - (r + 0.5) * cellsize, nearest, reach)
+        w = 1.0 / (d2 + smoothing * smoothing)
+        with np.errstate(invalid="ignore"):
+            out = np.bincount(q, w * z[at], len(r)) / np.bincount(q, w, len(r))
+        return pd.DataFrame({"r": r, "c": c.astype(np.int32), "z": out})
+
+    made = sent.unionByName(marks).groupBy("tile_r", "tile_c").applyInPandas(fill, "r long, c int, z double")
+    return made.select("r", "c", F.when(~F.isnan("z"), F.col("z")).alias("z"))
+
+
+def _rater(neighbours: int, reach: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Mean distances of a tile's own queries; settled are those whose neighbours are all within ``reach``."""
+
+    def rate(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, z = (pdf[n].to_numpy(float) for n in "xyz")
+        mine = pdf["own"].to_numpy(bool)
+        # The queries stand first, so that their numbers are those of their points.
+        order = np.argsort(~mine, kind="stable")
+        x, y, z, n = x[order], y[order], z[order], int(mine.sum())
+        q, _, d2 = nearest_points(x, y, z, x[:n], y[:n], neighbours, reach, z[:n], skip_self=True)
+        found = np.bincount(q, minlength=n)
+        with np.errstate(invalid="ignore"):
+            mean = np.bincount(q, np.sqrt(d2), n) / found
+        return pd.DataFrame({"id": pdf["id"].to_numpy()[order][:n], "mean_distance": mean, "settled": (found >= neighbours) | ~np.isfinite(reach)})
+
+    return rate
 
 
 def outliers(points: DataFrame, bucket: float, neighbours: int = 8, multiplier: float = 2.0) -> DataFrame:
-    """(id, mean_distance, is_outlier): mean distance to the nearest points against the cloud's.
+    """(id, mean_distance, is_outlier): mean distance in space to the nearest points, against the cloud's.
 
-    Neighbours are looked for within one bucket's width; a point with none there
-    is an outlier.
+    A round sends the points to each square tile of the plane that they lie within
+    ``bucket`` of; a query is answered where its neighbours are all nearer than
+    that.  The others go into the next round, with tiles and reach eight times as
+    wide, until one tile holds everything: a sparse part costs more rounds, not
+    every point.  A point that has no other at all is an outlier.
     """
-    p = points.select("id", "x", "y", "z", F.floor(F.col("x") / bucket).alias("bx"), F.floor(F.col("y") / bucket).alias("by"))
-    around = F.sequence(F.lit(-1), F.lit(1))
-    asked = p.withColumn("bx", F.explode(F.transform(around, lambda k: F.col("bx") + k))).withColumn("by", F.explode(F.transform(around, lambda k: F.col("by") + k)))
-    other = p.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), "bx", "by")
-    d = F.sqrt(sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in (("x", "x2"), ("y", "y2"), ("z", "z2"))), F.lit(0.0)))
-    near = asked.join(other, ["bx", "by"]).where("id <> id2").withColumn("d", d).where(F.col("d") <= bucket)
-    nearest = near.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("d", "id2"))).where(F.col("at") <= neighbours)
-    means = nearest.groupBy("id").agg(F.avg("d").alias("mean_distance"))
-    mean, std = means.agg(F.avg("mean_distance"), F.stddev_samp("mean_distance")).first()
+    p = cut(points.select("id", "x", "y", "z").where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"))
+    x0, x1, y0, y1, z0, z1 = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.min("z"), F.max("z")).first()
+    done = None
+    asked, reach = p.select("id"), bucket
+    while True:
+        whole = x0 is None or reach >= np.hypot(np.hypot(x1 - x0, y1 - y0), z1 - z0)
+        side = _tile_side(p, 4 * reach, reach)
+        span = lambda n, r=reach, w=side: F.sequence(F.floor((F.col(n) - r) / w), F.floor((F.col(n) + r) / w))
+        marked = p.join(asked.withColumn("query", F.lit(True)), "id", "left") if done is not None else p.withColumn("query", F.lit(True))
+        own = (F.floor(F.col("x") / side) == F.col("tx")) & (F.floor(F.col("y") / side) == F.col("ty")) & F.coalesce("query", F.lit(False))
+        sent = marked.withColumn("tx", F.explode(span("x"))).withColumn("ty", F.explode(span("y"))).withColumn("own", own)
+
+        rated = cut(sent.groupBy("tx", "ty").applyInPandas(_rater(neighbours, np.inf if whole else reach), "id long, mean_distance double, settled boolean"))
+        part = rated.where("settled").select("id", F.when(~F.isnan("mean_distance"), F.col("mean_distance")).alias("mean_distance"))
+        done = part if done is None else done.unionByName(part)
+        asked, reach = rated.where("NOT settled").select("id"), reach * 8
+        if whole or asked.isEmpty():
+            break
+    mean, std = done.agg(F.avg("mean_distance"), F.stddev_samp("mean_distance")).first()
     limit = float("inf") if mean is None else mean + multiplier * (std or 0.0)
-    found = points.select("id").join(means, "id", "left")
+    found = points.select("id").join(done, "id", "left")
     return found.select("id", "mean_distance", (F.col("mean_distance").isNull() | (F.col("mean_distance") > limit)).alias("is_outlier"))
 
 

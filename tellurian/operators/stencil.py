@@ -66,8 +66,8 @@ def slope_of(units: str = "degrees") -> Column:
     raise ValueError(f"Unknown slope units: {units}")
 
 
-def slope(cells: DataFrame, cellsize: float, units: str = "degrees", method: str = "horn") -> DataFrame:
-    g = gradients(cells, cellsize, method)
+def slope(cells: DataFrame, cellsize: float, units: str = "degrees", method: str = "horn", stats: GridStats | None = None) -> DataFrame:
+    g = gradients(cells, cellsize, method, stats)
     return g.select("r", "c", F.when(F.col("z").isNotNull(), slope_of(units)).alias("slope"))
 
 
@@ -121,51 +121,73 @@ def _mirrored(df: DataFrame, axis: str, first: int, last: int, radius: int) -> D
 
 
 def box_mean(df: DataFrame, value: str, radius: int, stats: GridStats) -> DataFrame:
-    """Mean over (2 radius + 1)^2 cells with mirrored edges, one axis after the other."""
+    """Mean over (2 radius + 1)^2 cells with mirrored edges, one axis after the other.
+
+    A mean is a difference of running sums, so that a cell costs the same at any
+    radius; the edges add ``radius`` cells on either side of a row or column.
+    """
     out = df.select("r", "c", F.col(value).alias("m"))
     for axis, other, first, last in (("r", "c", stats.first_r, stats.last_r), ("c", "r", stats.first_c, stats.last_c)):
-        w = Window.partitionBy(other).orderBy(axis).rowsBetween(-radius, radius)
-        wide = _mirrored(out, axis, first, last, radius)
-        out = wide.select("r", "c", F.avg("m").over(w).alias("m")).where(F.col(axis).between(first, last))
+        line = Window.partitionBy(other).orderBy(axis)
+        wide = _mirrored(out, axis, first, last, radius).withColumn("run", F.sum("m").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        total = F.lead("run", radius).over(line) - F.coalesce(F.lag("run", radius + 1).over(line), F.lit(0.0))
+        out = wide.select("r", "c", (total / (2 * radius + 1)).alias("m")).where(F.col(axis).between(first, last))
     return out
 
 
-def local_relief(cells: DataFrame, radius: int = 20) -> DataFrame:
+def local_relief(cells: DataFrame, radius: int = 20, stats: GridStats | None = None) -> DataFrame:
     """Elevation less its box mean."""
     if radius < 1:
         raise ValueError("radius must be at least 1")
-    s = grid_stats(cells)
+    s = stats or grid_stats(cells)
     d = filled(cells, s)
     mean = box_mean(d, "f", radius, s)
     return d.join(mean, ["r", "c"]).select("r", "c", F.when(F.col("z").isNotNull(), F.col("f") - F.col("m")).alias("slrm"))
 
 
-def _window_sums(df: DataFrame, names: Sequence[str], radius: int, axis: str, other: str) -> DataFrame:
-    """Sums over the cells within radius along an axis, clipped at the edges, by running sums."""
-    w = Window.partitionBy(other).orderBy(axis)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(other)
-    d = df.withColumns({f"__{n}": F.sum(n).over(run) for n in names} | {f"__t_{n}": F.sum(n).over(whole) for n in names})
-    upto = lambda n: F.coalesce(F.lead(f"__{n}", radius).over(w), F.col(f"__t_{n}"))
-    before = lambda n: F.coalesce(F.lag(f"__{n}", radius + 1).over(w), F.lit(0.0))
-    return d.withColumns({n: upto(n) - before(n) for n in names}).drop(*[f"__{n}" for n in names], *[f"__t_{n}" for n in names])
-
-
-def deviation(d: DataFrame, radius: int, name: str) -> DataFrame:
-    """(r, c, name): standardised deviation from the clipped window's mean; flat windows give 0."""
-    s = d.select("r", "c", "f", F.col("f").alias("s1"), (F.col("f") * F.col("f")).alias("s2"), F.lit(1.0).alias("n"))
-    s = _window_sums(_window_sums(s, ("s1", "s2", "n"), radius, "c", "r"), ("s1", "s2", "n"), radius, "r", "c")
-    mean = F.col("s1") / F.col("n")
-    std = F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0)))
-    return s.select("r", "c", F.when(std < 0.001, 0.0).otherwise((F.col("f") - mean) / std).alias(name))
+def _running_windows(df: DataFrame, sums: dict[str, tuple[str, int]], axis: str, other: str) -> DataFrame:
+    """Sums over the cells within a radius along an axis, clipped at the edges, by running sums.
+
+    ``sums`` maps a new column to (column, radius); all of them share one shuffle.
+    """
+    line = Window.partitionBy(other).orderBy(axis)
+    sources = sorted({n for n, _ in sums.values()})
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = df.withColumns({f"__{n}": F.sum(n).over(upto) for n in sources} | {f"__t_{n}": F.sum(n).over(Window.partitionBy(other)) for n in sources})
+    window = lambda n, radius: F.coalesce(F.lead(f"__{n}", radius).over(line), F.col(f"__t_{n}")) - F.coalesce(F.lag(f"__{n}", radius + 1).over(line), F.lit(0.0))
+    return d.withColumns({out: window(n, radius) for out, (n, radius) in sums.items()}).drop(*[f"__{n}" for n in sources], *[f"__t_{n}" for n in sources])
+
+
+def deviations(d: DataFrame, radii: dict[str, int], stats: GridStats) -> DataFrame:
+    """(r, c, z, a column per radius): standardised deviation from the clipped window's mean; flat windows give 0.
+
+    ``d`` has z and the filled value f.  The windows of all radii share two
+    shuffles, one along rows and one along columns; how many cells a window has
+    follows from its place.
+    """
+    s = d.select("r", "c", "z", "f", (F.col("f") * F.col("f")).alias("ff"))
+    s = _running_windows(s, {f"{n}_{k}": (k, radius) for n, radius in radii.items() for k in ("f", "ff")}, "c", "r")
+    s = _running_windows(s, {f"{n}_{k}": (f"{n}_{k}", radius) for n, radius in radii.items() for k in ("f", "ff")}, "r", "c")
+    span = lambda x, first, last, radius: F.least(F.col(x) + radius, F.lit(last)) - F.greatest(F.col(x) - radius, F.lit(first)) + 1
+    out = []
+    for name, radius in radii.items():
+        n = span("r", stats.first_r, stats.last_r, radius) * span("c", stats.first_c, stats.last_c, radius)
+        mean = F.col(f"{name}_f") / n
+        std = F.sqrt(F.greatest(F.col(f"{name}_ff") / n - mean * mean, F.lit(0.0)))
+        out.append(F.when(std < 0.001, 0.0).otherwise((F.col("f") - mean) / std).alias(name))
+    return s.select("r", "c", "z", *out)
+
+
+def deviation(cells: DataFrame, radius: int, name: str) -> DataFrame:
+    """(r, c, name): the deviation within one radius."""
+    s = grid_stats(cells)
+    return deviations(filled(cells, s), {name: radius}, s).select("r", "c", name)
 
 
-def mstp(cells: DataFrame, local: int = 5, meso: int = 50, broad: int = 500, lightness: float = 1.0) -> DataFrame:
+def mstp(cells: DataFrame, local: int = 5, meso: int = 50, broad: int = 500, lightness: float = 1.0, stats: GridStats | None = None) -> DataFrame:
     """red, green, blue in 0..255 from the broad, meso and local deviation; nodata is black."""
-    d = filled(cells)
-    out = d.select("r", "c", "z")
-    for name, radius in (("red", broad), ("green", meso), ("blue", local)):
-        out = out.join(deviation(d, radius, name), ["r", "c"])
+    s = stats or grid_stats(cells)
+    out = deviations(filled(cells, s), {"red": broad, "green": meso, "blue": local}, s)
     byte = lambda n: F.when(F.col("z").isNull(), 0).otherwise(F.greatest(F.least(127 + F.col(n) * 50.0 * lightness, F.lit(255.0)), F.lit(0.0)).cast("int")).alias(n)
     return out.select("r", "c", byte("red"), byte("green"), byte("blue"))
 

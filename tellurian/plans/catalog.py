@@ -156,7 +156,7 @@ def integral_image(spark, d):
 
 @query(o.deviation("dem", 5))
 def window_deviation(spark, d):
-    return rounded(stencil.deviation(stencil.filled(s.dem_dense(spark, d)), 5, "dev"), digits=5)
+    return rounded(stencil.deviation(s.dem_dense(spark, d), 5, "dev"), digits=5)
 
 
 @query(o.mstp("dem", 5, 50, 500))
@@ -192,11 +192,16 @@ def sky_view_sparse(spark, d):
     return rounded(horizon.sky_view_factor(s.dem_sparse(spark, d), s.CELL))
 
 
-@query()
+@query(o.sky_view_noise("dem", 16, 10, 2))
 def sky_view_noise(spark, d):
     return rounded(horizon.sky_view_factor(s.dem_dense(spark, d), s.CELL, noise=2))
 
 
+@query(o.anisotropic_noise("dem", 16, 10, 315.0, 0.5, 3))
+def anisotropic_noise(spark, d):
+    return rounded(horizon.anisotropic_sky_view(s.dem_dense(spark, d), s.CELL, noise=3))
+
+
 @query(o.anisotropic("dem", 16, 10, 315.0, 0.5))
 def anisotropic_sky_view(spark, d):
     return rounded(horizon.anisotropic_sky_view(s.dem_dense(spark, d), s.CELL))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from tellurian.operators.horizon import annulus, rays
+from tellurian.operators.horizon import ANISOTROPIC_SLACK, annulus, rays
 from tellurian.sources.surfaces import ctes
 
 _CELLS = ", m AS (SELECT avg(z) AS mean, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM {t}), f AS MATERIALIZED (SELECT r, c, z, coalesce(z, mean) AS f FROM {t}, m)"
@@ -93,6 +93,28 @@ def anisotropic(surface: str, directions: int, radius: int, azimuth: float, weig
     return ctes(surface) + _CELLS.format(t=surface) + _tops("t", directions, radius, 0.0) + f" SELECT t.r, t.c, round(sum({w} * (1 - top)) / sum({w}), 6) AS asvf FROM t GROUP BY t.r, t.c"
 
 
+def _settled(name: str, directions: int, radius: int, ahead: int, slack: float) -> str:
+    """name(r, c, k, top): the horizon along each ray that single spikes do not make, by a walk over its samples."""
+    values = ", ".join(f"({k}, {i}, {r}, {c}, {d!r}::DOUBLE)" for k, ray in enumerate(rays(directions, radius)) for i, (r, c, d) in enumerate(ray))
+    dz = "(coalesce(b.f, mean) - a.f)"
+    return f""", {name}_s AS MATERIALIZED (SELECT *, max(s) OVER (PARTITION BY r, c, k ORDER BY i ROWS BETWEEN 1 FOLLOWING AND {ahead} FOLLOWING) AS behind, count(*) OVER (PARTITION BY r, c, k) AS n FROM (
+        SELECT a.r, a.c, k, i, {dz} / sqrt({dz} * {dz} + dist * dist) AS s FROM f a CROSS JOIN m CROSS JOIN (VALUES {values}) o(k, i, dr, dc, dist) LEFT JOIN f b ON b.r = a.r - dr AND b.c = a.c - dc)),
+    {name}_w(r, c, k, i, n, top, resume) AS (SELECT DISTINCT r, c, k, 0, n, 0.0::DOUBLE, 0 FROM {name}_s UNION ALL
+        SELECT w.r, w.c, w.k, w.i + 1, w.n, CASE WHEN s > top AND resume <= w.i AND (w.i + {ahead} >= w.n OR behind >= s - {slack!r}::DOUBLE) THEN s ELSE top END,
+            CASE WHEN s > top AND resume <= w.i AND NOT (w.i + {ahead} >= w.n OR coalesce(behind >= s - {slack!r}::DOUBLE, false)) THEN w.i + {ahead} + 1 ELSE resume END
+        FROM {name}_w w JOIN {name}_s s ON s.r = w.r AND s.c = w.c AND s.k = w.k AND s.i = w.i),
+    {name} AS MATERIALIZED (SELECT r, c, k, top FROM {name}_w WHERE i = n)"""
+
+
+def sky_view_noise(surface: str, directions: int, radius: int, noise: int) -> str:
+    return ctes(surface) + _CELLS.format(t=surface) + _settled("t", directions, radius, noise, 0.0) + " SELECT t.r, t.c, round(1 - avg(top), 6) AS svf FROM t GROUP BY t.r, t.c"
+
+
+def anisotropic_noise(surface: str, directions: int, radius: int, azimuth: float, weight: float, noise: int) -> str:
+    w = f"(1 + {weight}::DOUBLE * cos(2 * pi() * k / {directions} - radians({azimuth}::DOUBLE)))"
+    return ctes(surface) + _CELLS.format(t=surface) + _settled("t", directions, radius, noise - 1, ANISOTROPIC_SLACK) + f" SELECT t.r, t.c, round(sum({w} * (1 - top)) / sum({w}), 6) AS asvf FROM t GROUP BY t.r, t.c"
+
+
 def openness(surface: str, directions: int, radius: int, negative: bool) -> str:
     return ctes(surface) + _CELLS.format(t=surface) + _tops("t", directions, radius, -1.0, -1 if negative else 1) + " SELECT r, c, round(degrees(avg(pi() / 2 - asin(least(top, 1)))), 6) AS openness FROM t GROUP BY r, c"
 
@@ -179,10 +201,13 @@ IDW = (
         FROM g JOIN cloud ON x BETWEEN cx - 10 AND cx + 10 AND y BETWEEN cy - 10 AND cy + 10 WHERE (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 100)
     SELECT g.r, g.c, round(sum(n.z / (d2 + 1)) / sum(1 / (d2 + 1)), 5) AS z FROM g LEFT JOIN n ON n.r = g.r AND n.c = g.c AND nth <= 12 GROUP BY g.r, g.c"""
 )
+#: Neighbours within 4 first; the few points that have less than eight there are compared with all.
 OUTLIERS = (
-    ctes("cloud") + """, k AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d, b.id AS id2
-        FROM cloud a JOIN cloud b ON b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4 AND a.id <> b.id),
-    n AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d, id2) AS nth FROM k WHERE d <= 4),
+    ctes("cloud") + """, near AS MATERIALIZED (SELECT id, d FROM (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d
+        FROM cloud a JOIN cloud b ON b.x BETWEEN a.x - 4 AND a.x + 4 AND b.y BETWEEN a.y - 4 AND a.y + 4 AND a.id <> b.id) WHERE d <= 4),
+    sparse AS MATERIALIZED (SELECT c.* FROM cloud c LEFT JOIN (SELECT id, count(*) AS n FROM near GROUP BY id) k ON k.id = c.id WHERE coalesce(n, 0) < 8),
+    far AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM sparse a JOIN cloud b ON a.id <> b.id),
+    n AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS nth FROM (SELECT * FROM near WHERE id NOT IN (SELECT id FROM sparse) UNION ALL SELECT * FROM far)),
     m AS (SELECT id, avg(d) AS mean_distance FROM n WHERE nth <= 8 GROUP BY id), l AS (SELECT avg(mean_distance) + 2 * stddev_samp(mean_distance) AS most FROM m)
     SELECT c.id, round(mean_distance, 6) AS mean_distance, mean_distance IS NULL OR mean_distance > most AS is_outlier FROM cloud c CROSS JOIN l LEFT JOIN m ON m.id = c.id"""
 )
