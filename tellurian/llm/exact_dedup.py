@@ -4,14 +4,17 @@
    bounded windows, comparing bytes, so that a group of millions of copies
    reaches the index as one entry per window and never as one row per copy.
    Each local class gets a number; the row to be kept carries the text.
-2. *Directory.*  Entry bytes are counted by the leading bits of the key (at
-   most 2**16 counters reach the driver).  Starting from one bucket, overfull
+2. *Directory.*  Entry bytes are counted by the leading 18 bits of the key (at
+   most 262,144 counters reach the driver).  Starting from one bucket, overfull
    buckets split on their next bit and the directory doubles whenever a bucket
-   is as deep as the directory itself.
+   is as deep as the directory itself.  A bucket holds 16 MiB, and beyond
+   32,768 buckets so much more that the counters still tell eight parts of one:
+   no bucket is larger than that, but for texts that share those 18 bits.
 3. *Owner tasks.*  A bucket is a contiguous key range and belongs to one task.
-   It reads its entries in key order, chains texts that share a key, compares
-   their bytes and writes index entries (class, kept document, group size) to
-   the shared folder.  Memory holds the chain of one key at a time.
+   It reads its entries in key order (a sort that spills), chains texts that
+   share a key, compares their bytes and writes index entries (class, kept
+   document, group size) to the shared folder.  Memory holds the chain of one
+   key at a time, whatever the bucket's size.
 4. Rows meet their class by its number, which no more than one window of rows
    carries, so that this join has no hot key.
 """
@@ -23,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurian.llm.store import materialise, text_slices
@@ -31,7 +34,8 @@ from tellurian.llm.store import materialise, text_slices
 WINDOW_BYTES = 16 << 20
 WINDOW_ROWS = 8192
 BUCKET_BYTES = 16 << 20
-MAX_DEPTH = 16
+MAX_DEPTH = 18
+MOST_BUCKETS = 1 << 15
 
 SCAN = "doc_id long, cls long, lead boolean, key long, n long, best long, text binary, sha string"
 INDEX = "bucket int, key long, chain int, cls long, wins boolean, keep_id long, group_size long, text_sha256 string"
@@ -153,6 +157,31 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch()
 
 
+def _buckets(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, key_of: Callable[[bytes], int]) -> tuple[DataFrame, int, list[int], DataFrame]:
+    """Scanned rows, the directory (its depth and slots), and the entries as their buckets' owners read them."""
+    rows = materialise(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scanner(key_of), SCAN),
+        "exact-scan",
+    )
+    entries = rows.where("lead").select("key", "cls", "best", "n", "text", "sha")
+    cell = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 64 - MAX_DEPTH)
+    cells = {r[0]: r[1] for r in entries.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("text") + 64)).collect()}
+    depth, slots = build_directory(cells, max(bucket_bytes, sum(cells.values()) // MOST_BUCKETS))
+    owned = entries.withColumn("bucket", _bucket_of("key", depth, slots)).repartitionById(max(slots) + 1, "bucket").sortWithinPartitions("bucket", "key", "cls")
+    return rows, depth, slots, owned
+
+
+def _bucket_of(key: str, depth: int, slots: list[int]) -> Column:
+    """The bucket of a key's directory slot."""
+    slot = F.shiftrightunsigned(F.col(key).bitwiseXOR(F.lit(-(1 << 63))), 64 - depth).cast("int") if depth else F.lit(0)
+    return (F.element_at(_directory(slots), slot + 1) if depth else F.lit(0)).cast("int")
+
+
+def _directory(slots: list[int]) -> Column:
+    """The directory as one constant array, of 262,144 slots at most."""
+    return F.split(F.lit(",".join(map(str, slots))), ",").cast("array<int>")
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -167,20 +196,36 @@ def exact_dedup(
     of rows that repeat both id and text exactly one stays.  Any other column of
     ``docs`` is ignored, an empty table gives an empty result.
     """
-    rows = materialise(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scanner(key_of), SCAN),
-        "exact-scan",
-    )
-    entries = rows.where("lead").select("key", "cls", "best", "n", "text", "sha")
-    cell = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 64 - MAX_DEPTH)
-    cells = {r[0]: r[1] for r in entries.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("text") + 64)).collect()}
-    depth, slots = build_directory(cells, bucket_bytes)
-    slot = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 64 - depth).cast("int") if depth else F.lit(0)
-    bucket = F.element_at(F.lit(slots), slot + 1) if depth else F.lit(0)
-    owned = entries.withColumn("bucket", bucket.cast("int")).repartitionById(max(slots) + 1, "bucket").sortWithinPartitions("bucket", "key", "cls")
+    rows, _, _, owned = _buckets(docs, id_col, text_col, bucket_bytes, key_of)
     index = materialise(owned.select("bucket", "key", "cls", "best", "n", "text", "sha").mapInArrow(_own, INDEX), "exact-index")
     return (
         rows.select("doc_id", "cls", "lead")
         .join(index.select("cls", "wins", "keep_id", "group_size", "text_sha256"), "cls")
         .select("doc_id", "keep_id", "group_size", (F.col("lead") & F.col("wins")).alias("kept"), "text_sha256")
     )
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> None:
+    """Writes an index that outlives the session: ``path/directory`` and ``path/buckets``.
+
+    The directory has a row per slot (slot, bucket, depth); the buckets hold one
+    row per distinct text (key, text, keep_id, group_size), a folder for each.
+    """
+    spark = docs.sparkSession
+    _, depth, slots, owned = _buckets(docs, id_col, text_col, bucket_bytes, sha_key)
+    slot = F.posexplode(_directory(slots)).alias("slot", "bucket")
+    spark.range(1).select(slot, F.lit(depth).alias("depth")).write.parquet(f"{path}/directory")
+    index = materialise(owned.select("bucket", "key", "cls", "best", "n", "text", "sha").mapInArrow(_own, INDEX), "exact-index")
+    texts = owned.select("cls", "text").join(index.where("wins"), "cls")
+    texts.select("bucket", "key", "text", "keep_id", "group_size").repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/buckets")
+
+
+def lookup(spark: SparkSession, path: str, text: str | None) -> DataFrame:
+    """keep_id, group_size of one text in a written index, no row if it is not there: reads one slot and one bucket."""
+    given = (text or "").encode()
+    key = sha_key(given)
+    slots = spark.read.parquet(f"{path}/directory")
+    depth = slots.select("depth").first()[0]
+    bucket = slots.where(F.col("slot") == (key >> (64 - depth) if depth else 0)).first()["bucket"]
+    found = spark.read.parquet(f"{path}/buckets").where((F.col("bucket") == bucket) & (F.col("key") == key - (1 << 63)))
+    return found.where(F.col("text") == F.lit(given)).select("keep_id", "group_size")

@@ -294,12 +294,14 @@ def identify(docs: DataFrame, net: Gru | None, id_col: str = "doc_id", text_col:
             else:
                 found, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             rest = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.string()), pa.array(sure, pa.float64())], [*b.schema.names[:-1], pred, score])
-
-    columns = [F.col(f"`{c}`") for c in keep] or [F.col(id_col).alias("doc_id")]
-    given = docs.select(*columns, F.col(f"`{text_col}`").cast("string").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    return given.mapInArrow(run, f"{fields}, `{pred}` string, `{score}` double")
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.string()), pa.array(sure, pa.float64())], [*b.schema.names[:-1], "lang", "score"])
+
+    names = keep or ("doc_id",)
+    columns = [F.col(f"`{c}`") for c in keep] or [F.col(id_col)]
+    # Inner names, since a kept one may hold anything.
+    given = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    return given.mapInArrow(run, f"{fields}, lang string, score double").toDF(*names, pred, score)
 
 
 def language_id(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:

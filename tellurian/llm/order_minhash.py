@@ -7,7 +7,11 @@ texts agree in a bin if they share its smallest k-mers *and* their order, which
 follows edit distance rather than set overlap.
 
 Each step is its own projection over a packed array (39 bits of hash, 24 bits of
-position), so that sorting runs on primitive arrays in generated code.
+position), so that sorting runs on primitive arrays in generated code.  Both
+widths are part of the definition: two different k-mers of a text are taken for
+one with a chance of 1 in 5e11 a pair (their occurrences are then numbered
+together, alike for equal texts), and the order of two picked k-mers more than
+2**24 words into a text is that of their positions modulo 2**24.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ K = 3
 ELL = 2
 BINS = 64
 POS = 24
+RANGE_ROWS = 1 << 20
 LOW = (1 << POS) - 1
 HIGH = ((1 << 63) - 1) & ~LOW
 
@@ -95,12 +100,12 @@ def likeness(a: Column, b: Column) -> Column:
 def successors(ids: DataFrame) -> DataFrame:
     """rid, next_rid: each row's next in descending order of rid, the last one's the first.
 
-    ``rid`` is unique.  Rows are range-partitioned and the partition numbers
-    fixed in a table; neighbours are found inside a partition, and only the first
-    row of each partition meets the others.
+    ``rid`` is unique.  Rows are range-partitioned, at most about ``RANGE_ROWS`` to
+    a partition, and the partition numbers fixed in a table; neighbours are found
+    inside a partition, and only the first row of each partition meets the others.
     """
     order = F.col("rid").desc()
-    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), ids.count() // RANGE_ROWS)
     ranged = materialise(ids.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "omh-order")
     inside = Window.partitionBy("part").orderBy(order)
     linked = materialise(ranged.select("rid", "part", F.lead("rid").over(inside).alias("next"), F.row_number().over(inside).alias("at")), "omh-links")

@@ -46,11 +46,12 @@ def smallest_of_each(df: DataFrame, n: int, by: str, key: str = "doc_id") -> Dat
     """:func:`smallest` for each value of ``by``, so that a rare value is never missing.
 
     The threshold is a value's own, so that the rows which are ranked are a few
-    times ``n`` for each value, however many it has.
+    times ``n`` for each value, however many it has.  ``by`` is a class to learn:
+    its values, a row each, are as many as a classifier's outputs.
     """
     totals = df.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("__total"))
     limits = totals.select("__by", F.when(F.col("__total") > 16 * n, _below(F.lit(float(n)), F.col("__total"))).alias("__below"))
-    near = df.join(limits, F.col(by) == F.col("__by")).where(F.col("__below").isNull() | (sample_hash(key) < F.col("__below"))).drop("__by", "__below")
+    near = df.join(F.broadcast(limits), F.col(by) == F.col("__by")).where(F.col("__below").isNull() | (sample_hash(key) < F.col("__below"))).drop("__by", "__below")
     order = Window.partitionBy(by).orderBy(sample_hash(key), key)
     return near.dropDuplicates([by, key]).withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= n).drop("__at")
 

@@ -7,12 +7,16 @@ with radius 1 instead of 3; candidates are checked on all 64 bits.  This keeps
 the search exact, and triangle bounds prune far more at radius 1.
 
 * The top of each tree is built from a bounded sample: at every node a vantage
-  point and the median distance of the sample to it.  Every fingerprint descends
+  point and the median distance of the sample to it.  Its depth follows from the
+  number of fingerprints; below the levels that a sample can tell about, vantage
+  points are pseudo-random and the radius is the median of random halves, which
+  SimHash halves are like.  Every fingerprint descends
   to one home shard (distance at most the median: left), and as a query it also
   enters the sibling wherever its distance is within 1 of the boundary.
 * A shard task continues the tree on its own points, splitting the points and
   the queries that can reach them, down to small leaves that are compared in
-  blocks.  It answers with a spanning forest of the links it found, never with
+  blocks.  Points that share one half and so cannot be split by it are split by
+  the other half, with radius 3.  It answers with a spanning forest of the links it found, never with
   the pairs: at most one edge per query.
 * Components over the edges are found by alternating large-star and small-star
   steps, each written to the shared folder.
@@ -31,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellurian.llm.sampling import smallest
-from tellurian.llm.store import materialise, text_slices
+from tellurian.llm.store import discard, materialise, text_slices
 
 RADIUS = 3
 SHINGLE = 3
 SAMPLE = 1 << 15
 SHARD_POINTS = 8192
-MAX_LEVELS = 11
+#: Nodes with fewer sampled points take a vantage point by rule.
+LEAST_SAMPLE = 16
+LEAF_POINTS = 48
 LEAF_CELLS = 1 << 21
 
 
@@ -83,8 +89,11 @@ class TopTree:
             parts = []
             for at, g in enumerate(groups):
                 node = (1 << level) - 1 + at
-                if len(g) == 0:
-                    parts += [g, g]
+                if len(g) < LEAST_SAMPLE:
+                    v, m = np.uint32(xxhash.xxh32_intdigest(node.to_bytes(8, "little"))), 16
+                    d = np.bitwise_count(g ^ v)
+                    self.vantage[node], self.median[node] = v, m
+                    parts += [g[d <= m], g[d > m]]
                     continue
                 v = g[len(g) // 2]
                 d = np.bitwise_count(g ^ v)
@@ -150,18 +159,19 @@ class Forest:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-def search(points: np.ndarray, queries: np.ndarray, all_fp: np.ndarray, half: np.ndarray, reach: int, radius: int, forest: Forest) -> None:
+def search(points: np.ndarray, queries: np.ndarray, all_fp: np.ndarray, half: np.ndarray, reach: int, radius: int, forest: Forest, other: np.ndarray | None = None) -> None:
     """Joins every query to every point within ``radius`` of it, given that their halves differ by ``reach`` at most.
 
     ``points`` and ``queries`` are positions in ``all_fp``; the vantage-point
-    tree is continued on them without being kept.
+    tree is continued on them without being kept.  ``other`` holds the other
+    halves, on which points with equal halves are split.
     """
     stack = [(points, queries)]
     while stack:
         pts, qs = stack.pop()
         if not len(pts) or not len(qs):
             continue
-        if len(pts) > 48:
+        if len(pts) > LEAF_POINTS:
             v = half[pts[len(pts) // 2]]
             dp = np.bitwise_count(half[pts] ^ v).astype(np.int16)
             m = int(np.median(dp))
@@ -171,6 +181,10 @@ def search(points: np.ndarray, queries: np.ndarray, all_fp: np.ndarray, half: np
                 dq = np.bitwise_count(half[qs] ^ v).astype(np.int16)
                 stack += [(pts[dp <= m], qs[dq - reach <= m]), (pts[dp > m], qs[dq + reach > m])]
                 continue
+            if other is not None:
+                # All at one distance of a point among them: its halves are equal.
+                search(pts, qs, all_fp, other, radius, radius, forest)
+                continue
         step = max(1, LEAF_CELLS // len(pts))
         for at in range(0, len(qs), step):
             q = qs[at : at + step]
@@ -183,10 +197,10 @@ def _shard_tasks(shards: int, reach: int, radius: int):
     """Edges (fp, root) of each shard; a task's rows come sorted by shard."""
 
     def solve(shard: int, fps: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
-        half = _halves(fps)[0 if shard < shards else 1]
+        half, other = _halves(fps) if shard < shards else _halves(fps)[::-1]
         forest = Forest(len(fps))
         everything = np.arange(len(fps))
-        search(everything[home], everything, fps, half, reach, radius, forest)
+        search(everything[home], everything, fps, half, reach, radius, forest, other)
         top = forest.find(everything)
         linked = top != everything
         return pa.RecordBatch.from_arrays([pa.array(fps[linked].view(np.int64)), pa.array(fps[top[linked]].view(np.int64))], ["a", "b"])
@@ -217,7 +231,7 @@ def link_edges(points: DataFrame, radius: int = RADIUS, shard_points: int = SHAR
     """a, b: edges that connect distinct fingerprints exactly as all links do."""
     reach = radius // 2
     n = points.count()
-    levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(1, n / shard_points))))))
+    levels = max(0, int(np.ceil(np.log2(max(1, n / shard_points)))))
     rows = smallest(points, sample, "fp", n).collect() if levels else []
     fps = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
     trees = [TopTree(h, levels) for h in _halves(fps)]
@@ -245,6 +259,7 @@ def components(edges: DataFrame) -> DataFrame:
         # A star forest, and the same one as before: every node's only edge leads to a root.
         deep = after.join(after.select(F.col("u").alias("x")).distinct(), F.col("v") == F.col("x"), "left_semi")
         many = after.groupBy("u").count().where("count > 1")
+        discard(e)
         e = after
         if deep.isEmpty() and many.isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -61,23 +61,32 @@ def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = reserve(spark, label)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tellurian_path = path
+    return table
 
 
-def drop(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes these tables of ours."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(conf).delete(at, True)
-        if p in _written(spark):
-            _written(spark).remove(p)
+def discard(table: DataFrame) -> None:
+    """Deletes one materialised table, which nothing may read any more."""
+    _delete(table.sparkSession, table._tellurian_path)
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Deletes all tables written so far, but for those that ``keep`` reads; results built on the others must be written before."""
-    kept = [] if keep is None else [f.rstrip("/") for f in keep.inputFiles()]
-    drop(spark, [p for p in _written(spark) if not any(p.removeprefix("file:").lstrip("/") in f for f in kept)])
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written(spark).remove(path)
+
+
+def mark(spark: SparkSession) -> int:
+    """How many tables stand now; see :func:`release`."""
+    return len(_written(spark))
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the tables written since that mark, but for ``keep``; results that read them must have been written."""
+    kept = getattr(keep, "_tellurian_path", None)
+    for path in [p for p in _written(spark)[since:] if p != kept]:
+        _delete(spark, path)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int = TEXT_SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tellurian.llm import simhash
-from tellurian.llm.exact_dedup import build_directory, exact_dedup
+from tellurian.llm.exact_dedup import build_directory, exact_dedup, lookup, write_index
 from tellurian.llm.queries import SQL, op10_exact_dedup
 from tests.conftest import SF, duck_rows, rows
 
@@ -149,3 +149,39 @@ def test_top_tree_reaches_all_neighbours():
     ((row, shard, _),) = tree.route(query, 1)
     reached = set(zip(row.tolist(), shard.tolist(), strict=True))
     assert all((i, s) in reached for i, s in at_home.items())
+
+
+def test_a_written_index_answers_from_one_bucket(spark, tmp_path):
+    d = awkward(spark)
+    for name, size in (("small", 64), ("whole", 1 << 20)):
+        path = f"file://{tmp_path}/{name}"
+        write_index(d, path, bucket_bytes=size)
+        want = brute_exact([(r.doc_id, r.text) for r in d.collect()])
+        for text, (keep, n) in want.items():
+            assert [tuple(r) for r in lookup(spark, path, text or None).collect()] == [(keep, n)]
+        assert lookup(spark, path, "not there").count() == 0
+
+
+def test_points_that_share_a_half(spark):
+    """10,000 fingerprints with one upper half: split on the lower one, exactly."""
+    rng = np.random.default_rng(8)
+    low = np.unique(rng.integers(0, 1 << 32, 9000, dtype=np.uint64))
+    near = low[:500] ^ (np.uint64(1) << rng.integers(0, 32, 500, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 500, dtype=np.uint64))
+    fps = np.unique(np.concatenate([low, near])) | np.uint64(0xABCD1234 << 32)
+    half, other = simhash._halves(fps)
+    forest = simhash.Forest(len(fps))
+    everything = np.arange(len(fps))
+    simhash.search(everything, everything, fps, half, 1, 3, forest, other)
+    want = simhash.Forest(len(fps))
+    for at in range(0, len(fps), 500):
+        i, j = np.nonzero(np.bitwise_count(fps[at : at + 500, None] ^ fps[None, :]) <= 3)
+        want.union(i + at, j)
+    assert np.array_equal(forest.find(everything), want.find(everything))
+
+
+def test_deep_trees_need_no_larger_sample():
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 2**32, 3000, dtype=np.uint32)
+    tree = simhash.TopTree(points[:64], 9)
+    ((row, shard, home),) = tree.route(points, 0)
+    assert home.all() and np.bincount(shard).max() < 60 and len(np.unique(shard)) > 400

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tellurian.llm import mixing, simhash
@@ -67,3 +69,38 @@ def test_dedup_stages_keep_one_row_of_each_group(spark):
         assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == want
     again = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_copies(spark, docs, SF), SF)
     assert sorted(((r.doc_id, r.text) for r in again.collect()), key=str) == want
+
+
+def test_stages_take_any_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows and columns with the stages' inner names."""
+    text = "the river runs past the old stone house and on to the town "
+    given = [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0), (None, text + "again", "en", None, 1), (None, None, None, None, None), (4, "le fleuve passe devant la vieille maison et la ville " * 4000, "fr", "t", 9), (5, " \n\t", "fr", "t", 3), (6, "12 34 !!", "fr", "t", 8)]
+    given += [(100 + i, f"{text}{i} times over and {i} again", "en", "s", 1) for i in range(12)] + [(200 + i, f"le chat {i} dort dans la maison de {i} voisins", "fr", "t", 1) for i in range(12)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ("score", "lang_pred", "key", "fp", "cls", "best", "size", "row", "a.b", "component_id", "keep_id")
+    for n in clash:
+        docs = docs.withColumn(n, F.lit(n))
+    after = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        after[name] = Counter((r.doc_id, r.text) for r in got.collect())
+        assert set(after[name]) <= {(i, t) for i, t, *_ in given}
+    assert not any(t is None or not any(map(str.isalpha, t)) for _, t in after["language_id"])
+    assert after["language_id"][1, text] == 2 and (4, given[6][1]) in after["language_id"]
+    distinct = {t or "" for _, t, *_ in given}
+    assert Counter(t or "" for _, t in after["exact_dedup"].elements()) == Counter(distinct)
+    assert after["exact_dedup"][3, ""] == 1 and after["exact_dedup"][1, text] == 1
+    blank = [t for _, t in after["near_dedup"].elements() if not (t or "").split()]
+    assert len(blank) == 1 and all(n == 1 for n in after["near_dedup"].values())
+    assert not any(t is None or not t.split() for _, t in after["mix_sources"])
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert tokens.count() == len(given) and tokens.where("doc_id IN (2, 3)").agg(F.sum("n_tokens")).first()[0] == 0
+
+
+def test_run_leaves_only_its_last_table(spark):
+    from tellurian.llm import store
+
+    since = store.mark(spark)
+    corpus_pipeline.run(spark, SF)
+    assert store.mark(spark) == since + 1
