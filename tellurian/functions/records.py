@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 import json
+import math
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Parameters of recipe algorithms and their JSON types.
@@ -29,22 +32,22 @@ def recipe_errors(doc: Column) -> Column:
     version, algorithms = field("$.recipe_version"), field("$.algorithms")
     object_like = lambda c: F.ltrim(c).startswith("{")
     errors = [
-        F.when(version.isNull(), "Missing required field: 'recipe_version'"),
-        F.when(algorithms.isNull(), "Missing required field: 'algorithms'"),
-        F.when(~version.rlike(r"^\d+\.\d+\.\d+$"), F.format_string("Invalid recipe_version '%s'", version)),
-        F.when(algorithms.isNotNull() & ~object_like(algorithms), "'algorithms' must be a JSON object"),
-        F.when((field("$.landscape_type") != "") & ~field("$.landscape_type").isin(*LANDSCAPES), F.format_string("Unknown landscape_type '%s'", field("$.landscape_type"))),
+        F.when(version.isNull(), "recipe_version: not given"),
+        F.when(algorithms.isNull(), "algorithms: not given"),
+        F.when(~version.rlike(r"^\d+\.\d+\.\d+$"), F.concat(F.lit("recipe_version: three numbers expected, found "), version)),
+        F.when(algorithms.isNotNull() & ~object_like(algorithms), "algorithms: object expected"),
+        F.when((field("$.landscape_type") != "") & ~field("$.landscape_type").isin(*LANDSCAPES), F.concat(F.lit("landscape_type: unknown "), field("$.landscape_type"))),
     ]
     for name, parameters in RECIPE_PARAMETERS.items():
         given = field(f"$.algorithms.{name}")
-        errors.append(F.when(given.isNotNull() & ~object_like(given), f"Parameters for '{name}' must be a JSON object"))
-        errors.append(F.when(field(f"$.algorithms.{name}.enabled").isNotNull() & ~field(f"$.algorithms.{name}.enabled").isin("true", "false"), f"'{name}.enabled' must be boolean"))
+        errors.append(F.when(given.isNotNull() & ~object_like(given), f"{name}: object expected"))
+        errors.append(F.when(field(f"$.algorithms.{name}.enabled").isNotNull() & ~field(f"$.algorithms.{name}.enabled").isin("true", "false"), f"{name}.enabled: true or false expected"))
         for parameter, kind in parameters.items():
             value = field(f"$.algorithms.{name}.{parameter}")
             form = r"^-?\d+$|^true$|^false$" if kind == "int" else r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$|^true$|^false$"
-            errors.append(F.when(value.isNotNull() & ~value.rlike(form), f"'{name}.{parameter}' must be {'integer' if kind == 'int' else 'number'}"))
+            errors.append(F.when(value.isNotNull() & ~value.rlike(form), f"{name}.{parameter}: {'whole number' if kind == 'int' else 'number'} expected"))
     whole = F.array_compact(F.array(*errors))
-    return F.when(object_like(F.coalesce(doc, F.lit(""))), whole).otherwise(F.array(F.lit("Recipe must be a JSON object")))
+    return F.when(object_like(F.coalesce(doc, F.lit(""))), whole).otherwise(F.array(F.lit("recipe: object expected")))
 
 
 def recipe_presets(doc: dict) -> dict:
@@ -94,6 +97,117 @@ def preflight(cells: DataFrame, cellsize: float) -> DataFrame:
     )
 
 
+def preflight_text(row: dict, source: str, crs: str, warnings: tuple[str, ...] = ()) -> str:
+    """A preflight row as plain text."""
+    size = "large: clip it or look at a coarser preview first" if row["workload"] == "large" else row["workload"]
+    lines = [
+        "PREFLIGHT", f"source: {source}", f"coordinate system: {crs}", f"grid: {row['cols']:,} x {row['rows']:,} cells, {row['rows'] * row['cols']:,} in all",
+        f"elevation: {row['min']:.2f} to {row['max']:.2f}, mean {row['mean']:.2f}, deviation {row['std']:.2f}", f"nodata: {row['nodata_percent']:.1f} %",
+        f"memory: {row['memory_mb']:.1f} MiB a layer", f"workload: {size}", "", f"preset: {row['preset']}",
+        *[f"{n}: {row[k]} px" for n, k in (("fine features", "fine_px"), ("small features", "small_px"), ("broad features", "broad_px"))],
+    ]
+    return "\n".join([*lines, *(["", "WARNINGS", *(f"- {w}" for w in warnings)] if warnings else []), ""])
+
+
+@dataclass(frozen=True)
+class E4mstpSettings:
+    """Controls of the e4MSTP composite; see :meth:`checked`."""
+
+    openness_radius: int = 10
+    directions: int = 16
+    ld_min_radius: int = 10
+    ld_max_radius: int = 20
+    ld_angle: float = 15.0
+    observer: float = 1.7
+    local: int = 3
+    meso: int = 20
+    broad: int = 100
+    tile: int = 1024
+
+    def checked(self) -> E4mstpSettings:
+        """Itself, or an error for the first rule that it breaks."""
+        rules = {
+            "the ring of local dominance must be open": self.ld_min_radius < self.ld_max_radius,
+            "radii must rise from local over meso to broad": self.local < self.meso < self.broad,
+            "openness needs a radius of one and four directions": self.openness_radius >= 1 and self.directions >= 4,
+            "angle and eye height must be positive": self.ld_angle > 0 and self.observer > 0,
+            "tiles have 256 cells a side at least": self.tile >= 256,
+        }
+        for rule, holds in rules.items():
+            if not holds:
+                raise ValueError(rule)
+        return self
+
+    @property
+    def halo(self) -> int:
+        """How many cells around a tile the composite looks at."""
+        return max(self.openness_radius, self.ld_max_radius, self.broad)
+
+
+def saved_bookmark(bookmarks: DataFrame, name: str, extent: tuple[float, float, float, float], crs: str, at: str) -> DataFrame:
+    """Bookmarks (name, x_min, y_min, x_max, y_max, crs, at) with one more, which replaces that of the same name."""
+    name, crs = name.strip(), crs.strip()
+    if not name or not crs:
+        raise ValueError("A bookmark needs a name and a coordinate system")
+    if len(extent) != 4 or extent[0] >= extent[2] or extent[1] >= extent[3]:
+        raise ValueError("A bookmark's extent is x_min, y_min, x_max, y_max")
+    new = bookmarks.sparkSession.range(1).select(F.lit(name).alias("name"), *[F.lit(float(v)).alias(n) for n, v in zip(("x_min", "y_min", "x_max", "y_max"), extent, strict=True)], F.lit(crs).alias("crs"), F.lit(at).cast("timestamp").alias("at"))
+    return bookmarks.where(F.col("name") != name).unionByName(new)
+
+
+def renamed_bookmark(bookmarks: DataFrame, old: str, new: str, at: str) -> DataFrame:
+    """The bookmark under another name, as the newest; an error if there is none."""
+    row = bookmarks.where(F.col("name") == old).first()
+    if row is None:
+        raise ValueError(f"Unknown bookmark: {old}")
+    return saved_bookmark(bookmarks.where(F.col("name") != old), new, (row["x_min"], row["y_min"], row["x_max"], row["y_max"]), row["crs"], at)
+
+
+def removed_bookmark(bookmarks: DataFrame, name: str) -> DataFrame:
+    return bookmarks.where(F.col("name") != name)
+
+
+def label_names(text: str) -> list[str]:
+    """Class names of a label file: a list, or an object by number whose gaps are named class_n; others give none."""
+    try:
+        given = json.loads(text)
+    except ValueError:
+        return []
+    if isinstance(given, list):
+        return [str(x) for x in given]
+    numbered = {int(k): str(v) for k, v in given.items() if re.fullmatch(r"\d+", k)} if isinstance(given, dict) else {}
+    return [numbered.get(i, f"class_{i}") for i in range(max(numbered, default=-1) + 1)]
+
+
+def plain(value: object) -> object:
+    """A value as JSON can hold it: numbers and texts as they are, containers by their members, anything else as text."""
+    if value is None or isinstance(value, (bool, int, str)):
+        return value
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    if isinstance(value, dict):
+        return {str(k): plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple, set, frozenset)):
+        return [plain(v) for v in (sorted(value, key=str) if isinstance(value, (set, frozenset)) else value)]
+    return plain(value.item()) if hasattr(value, "item") else str(value)
+
+
+def capabilities(spark: SparkSession) -> DataFrame:
+    """(name, available, detail): which optional parts can be used here; a broken one counts as missing."""
+    rows = []
+    for name, module in (("model inference", "onnxruntime"), ("array kernels", "numpy"), ("columnar exchange", "pyarrow"), ("frame kernels", "pandas")):
+        try:
+            rows.append((name, True, importlib.import_module(module).__version__))
+        except Exception as error:  # any failure to load means that the part is not there
+            rows.append((name, False, str(error)))
+    return spark.createDataFrame(rows, "name string, available boolean, detail string")
+
+
+def first_warnings(warnings: DataFrame) -> DataFrame:
+    """(run, message, at): each message of a run once, where it first came up."""
+    return warnings.groupBy("run", "message").agg(F.min("at").alias("at"))
+
+
 def geometry_warnings(crs: Column, is_geographic: Column, pixel_w: Column, pixel_h: Column) -> Column:
     """Array of warnings about a grid's geometry."""
     longest, shortest = F.greatest(F.abs(pixel_w), F.abs(pixel_h)), F.least(F.abs(pixel_w), F.abs(pixel_h))

@@ -71,8 +71,10 @@ def safe_float(value: Column, default: float) -> Column:
 
 
 def azimuths(text: Column) -> Column:
-    """Sun azimuths from a comma-separated list."""
-    return F.transform(F.split(text, ","), lambda x: F.trim(x).cast("double"))
+    """Sun azimuths from a comma-separated list: blank entries are passed over, an entry that is no number is an error in any mode."""
+    wrong = lambda x: F.raise_error(F.concat(F.lit("Not an azimuth: "), x)).cast("double")
+    given = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(given, lambda x: F.coalesce(x.try_cast("double"), wrong(x)))
 
 
 def crs_id(authority: Column, code: Column, wkt: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tellurian.operators import horizon, stencil
 from tellurian.operators.grid import grid_stats
 from tellurian.operators.lineage import cut
+from tellurian.operators.quantiles import quantiles
 
 
 
@@ -51,7 +52,7 @@ def unit_range(x: Column, low: float | None, high: float | None, flat: float = 0
 
 def percentile_stretch(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """(r, c, byte): 2-98 percentile stretch; a constant layer is 127, nodata 24."""
-    a, b = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high)))).first()[0] or (None, None)
+    a, b = quantiles(df, value, (low, high)) or (None, None)
     x = F.col(value)
     scaled = F.lit(127) if a is None or b <= a else (clip((x - a) / (b - a), 0.0, 1.0) * 255.0).cast("int")
     return df.select("r", "c", F.when(x.isNull(), 24).otherwise(scaled).alias("byte"))
@@ -81,9 +82,9 @@ def aligned(*layers: DataFrame) -> DataFrame:
     return out
 
 
-def stacked(layers: DataFrame) -> DataFrame:
-    """Long (r, c, band, v) to one column per band."""
-    return layers.groupBy("r", "c").pivot("band").agg(F.first("v"))
+def stacked(layers: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Long (r, c, band, v) to one column per band; with their names given, the bands need not be looked for first."""
+    return layers.groupBy("r", "c").pivot("band", names).agg(F.first("v"))
 
 
 def mosaic(*layers: DataFrame) -> DataFrame:
@@ -156,46 +157,65 @@ def e4mstp_of(cells: DataFrame, cellsize: float, radius: int = 10, local: int =
     return e4mstp(unit)
 
 
-def pca(d: DataFrame, names: tuple[str, ...] = ("svf", "opn", "slope", "ld"), components: int = 3) -> DataFrame:
-    """pc1, pc2, pc3 in 0..255: leading components of standardised layers, 2-98 percentile stretch.
+def moments(d: DataFrame, names: tuple[str, ...]) -> tuple[list[float], list[float], np.ndarray] | None:
+    """Means, population deviations (1 for a constant layer) and the covariance of the standardised layers, in one aggregate.
 
-    Moments come from one aggregate, the 4 x 4 eigenvectors from numpy on the
-    driver; a component's sign makes its largest weight positive.
+    Cells where any layer is null are left out; None if none is left.
     """
     whole = d.where(" AND ".join(f"{n} IS NOT NULL" for n in names))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     row = whole.agg(*[F.avg(n) for n in names], *[F.stddev_pop(n) for n in names], *[F.covar_samp(a, b) for a, b in pairs]).first()
     k = len(names)
     if row[0] is None:
-        return d.select("r", "c", *[F.lit(0.0).alias(f"pc{i + 1}") for i in range(components)])
-    mean, std = row[:k], [s or 1.0 for s in row[k : 2 * k]]
+        return None
+    std = [s or 1.0 for s in row[k : 2 * k]]
     cov = np.zeros((k, k))
     for (a, b), v in zip(pairs, row[2 * k :], strict=True):
         i, j = names.index(a), names.index(b)
         cov[i, j] = cov[j, i] = (v or 0.0) / (std[i] * std[j])
+    return list(row[:k]), std, cov
+
+
+def pca(d: DataFrame, names: tuple[str, ...] = ("svf", "opn", "slope", "ld"), components: int = 3) -> DataFrame:
+    """pc1, pc2, pc3 in 0..255: leading components of standardised layers, 2-98 percentile stretch.
+
+    Moments come from one aggregate, the 4 x 4 eigenvectors from numpy on the
+    driver; a component's sign makes its largest weight positive.
+    """
+    found = moments(d, names)
+    if found is None:
+        return d.select("r", "c", *[F.lit(0.0).alias(f"pc{i + 1}") for i in range(components)])
+    mean, std, cov = found
     _, vectors = np.linalg.eigh(cov)
     weights = vectors[:, ::-1][:, :components].T
     weights = [w * np.sign(w[np.abs(w).argmax()]) for w in weights]
     total = lambda w: sum(((F.col(n) - m) / s * float(x) for n, m, s, x in zip(names, mean, std, w, strict=True)), F.lit(0.0))
     p = d.select("r", "c", *[total(w).alias(f"pc{i + 1}") for i, w in enumerate(weights)])
-    limits = p.agg(*[F.percentile(f"pc{i + 1}", F.array(F.lit(0.02), F.lit(0.98))) for i in range(components)]).first()
+    limits = [quantiles(p, f"pc{i + 1}", (0.02, 0.98)) or (0.0, 0.0) for i in range(components)]
     stretch = lambda n, lim: clip((F.col(n) - lim[0]) / (lim[1] - lim[0]) * 255.0, 0.0, 255.0) if lim[1] > lim[0] else F.when(F.col(n).isNotNull(), F.lit(0.0))
     return p.select("r", "c", *[stretch(f"pc{i + 1}", limits[i]).alias(f"pc{i + 1}") for i in range(components)])
 
 
-def pca_of(cells: DataFrame, cellsize: float, radius: int = 10) -> DataFrame:
+def pca_layers(cells: DataFrame, cellsize: float, radius: int = 10) -> DataFrame:
+    """(r, c, svf, opn, ld, slope): the layers whose components are taken."""
     s = grid_stats(cells)
     rays = horizon.layers(cells, cellsize, {"svf": ("svf", {"radius": radius}), "opn": ("openness", {"radius": radius}), "ld": ("local_dominance", {})}, stats=s)
-    # Read three times: moments, percentiles, result.
-    return pca(cut(aligned(rays, stencil.slope(cells, cellsize, stats=s))))
+    return aligned(rays, stencil.slope(cells, cellsize, stats=s))
+
+
+def pca_of(cells: DataFrame, cellsize: float, radius: int = 10) -> DataFrame:
+    # Read several times: moments, percentiles, result.
+    return pca(cut(pca_layers(cells, cellsize, radius)))
 
 
 def report_statistics(cells: DataFrame, value: str = "z") -> DataFrame:
     """One row: bounds, mean, population deviation, percentiles and counts."""
     v = F.col(value)
+    shares = (5, 25, 50, 75, 95)
+    at = quantiles(cells, value, [p / 100 for p in shares]) or [None] * len(shares)
     return cells.agg(
         F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
-        *[F.percentile(v, F.lit(p / 100)).alias(f"p{p}") for p in (5, 25, 50, 75, 95)],
+        *[F.lit(q).cast("double").alias(f"p{p}") for p, q in zip(shares, at, strict=True)],
         F.count(v).alias("valid"), (F.count(F.lit(1)) - F.count(v)).alias("nodata"),
     )
 
@@ -226,3 +246,28 @@ def overview_levels(rows: int, cols: int) -> int:
     return max(1, (longest // 256).bit_length() - 1) if longest > 512 else 0
 
 
+#: What a batch run can make, by name: ray layers and columns over gradients.
+BATCH_LAYERS = ("slope", "hillshade", "slrm", "svf", "asvf", "openness", "local_dominance")
+
+
+def batch(cells: DataFrame, cellsize: float, names: tuple[str, ...] = BATCH_LAYERS, radius: int = 10, trend: int = 20) -> DataFrame:
+    """(r, c, a column per name): several visualisations from one read.
+
+    All ray layers share one scan of the tiles, and slope and hillshade one pass of
+    gradients; what is not asked for is not made.
+    """
+    if unknown := set(names) - set(BATCH_LAYERS):
+        raise ValueError(f"Unknown visualisation: {min(unknown)}")
+    s = grid_stats(cells)
+    parts = []
+    if near := [n for n in names if n in ("slope", "hillshade")]:
+        total = F.lit(0.0)
+        for a in stencil.DEFAULT_AZIMUTHS:
+            total = total + stencil.shade_of(a, 45.0)
+        of = {"slope": stencil.slope_of(), "hillshade": total / len(stencil.DEFAULT_AZIMUTHS) * 255.0}
+        parts.append(stencil.gradients(cells, cellsize, stats=s).select("r", "c", *[F.when(F.col("z").isNotNull(), of[n]).alias(n) for n in near]))
+    if rays := {n: (n, {} if n == "local_dominance" else {"radius": radius}) for n in names if n in horizon.KERNELS}:
+        parts.append(horizon.layers(cells, cellsize, rays, stats=s))
+    if "slrm" in names:
+        parts.append(stencil.local_relief(cells, trend, s))
+    return aligned(*parts).select("r", "c", *names)

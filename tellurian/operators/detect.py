@@ -56,20 +56,26 @@ def overlap(a: str, b: str) -> Column:
     return F.when((wide < 0) | (high < 0), 0.0).otherwise(F.when(union > 0, both / union).otherwise(0.0))
 
 
-def suppress(boxes: DataFrame, iou: float = 0.45, bucket: float = 64.0) -> DataFrame:
+def suppress(boxes: DataFrame, iou: float = 0.45, bucket: float | None = None) -> DataFrame:
     """Greedy non-maximum suppression within each class, exactly, without a task per class.
 
-    Overlapping pairs meet by an equi-join of grid buckets.  Then, in rounds, a
-    box with no undecided stronger rival is kept and its weaker rivals go: the
-    outcome of the sequential rule, since a box's fate depends on stronger
-    rivals only.  Equal confidences rank by id.
+    Overlapping pairs meet by an equi-join of grid buckets, twice as wide as the
+    boxes are on average unless given, and only in the bucket that holds the
+    corner of their overlap.  Then, in rounds, a box with no undecided stronger
+    rival is kept and its weaker rivals go: the outcome of the sequential rule,
+    since a box's fate depends on stronger rivals only.  There are as many rounds
+    as the longest chain of boxes that suppress one another.  Equal confidences
+    rank by id.
     """
+    if bucket is None:
+        bucket = 2.0 * (boxes.agg(F.avg(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()[0] or 0.0) or 64.0
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket)))
     placed = boxes.select("id", "x1", "y1", "x2", "y2", "confidence", "class_id", span("x1", "x2").alias("bx")).withColumn("by", span("y1", "y2"))
     side = lambda p: placed.select("class_id", "bx", "by", *[F.col(n).alias(f"{p}{n}") for n in ("id", "x1", "y1", "x2", "y2", "confidence")])
     stronger = (F.col("a_confidence") > F.col("b_confidence")) | ((F.col("a_confidence") == F.col("b_confidence")) & (F.col("a_id") < F.col("b_id")))
-    rivals = side("a_").join(side("b_"), ["class_id", "bx", "by"]).where(stronger).where(overlap("a_", "b_") >= iou)
-    rivals = cut(rivals.select(F.col("a_id").alias("strong"), F.col("b_id").alias("weak")).distinct())
+    once = (F.col("bx") == F.floor(F.greatest("a_x1", "b_x1") / bucket)) & (F.col("by") == F.floor(F.greatest("a_y1", "b_y1") / bucket))
+    rivals = side("a_").join(side("b_"), ["class_id", "bx", "by"]).where(stronger & once).where(overlap("a_", "b_") >= iou)
+    rivals = cut(rivals.select(F.col("a_id").alias("strong"), F.col("b_id").alias("weak")))
     gone = None
     open_pairs = rivals
     while not open_pairs.isEmpty():
@@ -115,8 +121,8 @@ def label_raster(labels: DataFrame) -> DataFrame:
 def class_counts(labels: DataFrame) -> DataFrame:
     """(label, n, share in percent)."""
     counted = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    total = labels.count()
-    return counted.select("label", "n", (F.col("n") * 100.0 / total).alias("share"))
+    # One row per class, so that the window holds no more than those.
+    return counted.select("label", "n", (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
 def row_runs(labels: DataFrame) -> DataFrame:
@@ -143,3 +149,28 @@ def polygons(labels: DataFrame, cell_area: float = 1.0, least_cells: int = 10) -
     )
     means = labels.groupBy(F.col("label").alias("class_id")).agg(F.avg("confidence").alias("mean_confidence"))
     return regions.where(F.col("cell_count") >= least_cells).join(means, "class_id").withColumn("area", F.col("cell_count") * cell_area)
+
+
+def outlines(labels: DataFrame) -> DataFrame:
+    """(label, x1, y1, x2, y2): the straight segments around the areas of each class, in cell corners.
+
+    Segments run with their area on the left (y down), so that they chain into
+    rings; cells beyond the grid and background bound an area like another class.
+    Two windows give each cell its neighbours; runs of cells that share a side of
+    the same kind become one segment.
+    """
+    row, col = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
+    near = labels.select("r", "c", "label").withColumns({"w": F.lag("label").over(row), "e": F.lead("label").over(row)}).withColumns({"n": F.lag("label").over(col), "s": F.lead("label").over(col)})
+    own = near.where(F.col("label") != BACKGROUND)
+    sides = []
+    for side, line, place in (("n", "r", "c"), ("s", "r", "c"), ("w", "c", "r"), ("e", "c", "r")):
+        edge = own.where(~F.col(side).eqNullSafe(F.col("label"))).select("label", F.col(line).cast("long").alias("line"), F.col(place).cast("long").alias("at"))
+        run = F.col("at") - F.row_number().over(Window.partitionBy("label", "line").orderBy("at"))
+        seg = edge.withColumn("run", run).groupBy("label", "line", "run").agg(F.min("at").alias("a"), (F.max("at") + 1).alias("b"))
+        lower = F.col("line") + (1 if side in "se" else 0)
+        ends = {"n": ("b", lower, "a", lower), "s": ("a", lower, "b", lower), "w": (lower, "a", lower, "b"), "e": (lower, "b", lower, "a")}[side]
+        sides.append(seg.select("label", *[(F.col(x) if isinstance(x, str) else x).alias(n) for x, n in zip(ends, ("x1", "y1", "x2", "y2"), strict=True)]))
+    out = sides[0]
+    for s in sides[1:]:
+        out = out.unionByName(s)
+    return out

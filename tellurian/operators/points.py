@@ -176,8 +176,16 @@ CLOTH_PRESETS = {
 }
 
 
-def _drape(height: np.ndarray, rigidness: int, time_step: float, rounds: int = 300) -> np.ndarray:
-    """A cloth falling on the inverted surface ``height`` (Zhang et al. 2016), as node heights."""
+#: Fixed values of the published filter: greatest number of rounds, and the step up to which slopes are smoothed.
+CLOTH_ROUNDS, CLOTH_STEP = 500, 0.3
+
+
+def _drape(height: np.ndarray, rigidness: int, time_step: float, slope_smooth: bool = False, rounds: int = CLOTH_ROUNDS) -> np.ndarray:
+    """A cloth falling on the inverted surface ``height`` (Zhang et al. 2016), as node heights.
+
+    With ``slope_smooth`` the nodes that still hang just above the surface are laid
+    down from their resting neighbours, as the paper does for steep slopes.
+    """
     cloth = np.full(height.shape, np.nanmax(height) + 1.0)
     last, moving = cloth.copy(), np.ones(height.shape, bool)
     floor = np.where(np.isnan(height), np.nanmin(height), height)
@@ -197,34 +205,75 @@ def _drape(height: np.ndarray, rigidness: int, time_step: float, rounds: int = 3
         moving &= ~hit
         if np.abs(cloth - last).max() < 0.005:
             break
+    while slope_smooth and moving.any():
+        beside = np.zeros(height.shape, bool)
+        for axis in (0, 1):
+            a, b = (slice(None, -1), slice(1, None)) if axis == 0 else ((slice(None), slice(None, -1)), (slice(None), slice(1, None)))
+            level = np.abs(floor[a] - floor[b]) < CLOTH_STEP
+            beside[a] |= level & ~moving[b]
+            beside[b] |= level & ~moving[a]
+        down = moving & beside & (cloth - floor < CLOTH_STEP)
+        if not down.any():
+            break
+        cloth, moving = np.where(down, floor, cloth), moving & ~down
     return cloth
 
 
-def ground_cloth(points: DataFrame, cloth_resolution: float = 1.0, class_threshold: float = 0.8, rigidness: int = 2, time_step: float = 0.65, slope_smooth: bool = True, tile: float = 100.0) -> DataFrame:
-    """The points near a cloth draped over the inverted cloud, tile by tile with an overlap of ten nodes.
+def ground_cloth(points: DataFrame, cloth_resolution: float = 1.0, class_threshold: float = 0.8, rigidness: int = 2, time_step: float = 0.65, slope_smooth: bool = True, tile: float = 100.0, overlap: int = 20) -> DataFrame:
+    """The points near a cloth draped over the inverted cloud, tile by tile.
 
-    Without threads or seeds, so reruns agree; no parity with other
-    implementations is claimed.
+    A tile's cloth reaches ``overlap`` nodes into its neighbours, beyond which a
+    node hardly feels what lies there: tests hold tilings to one another.  Nodes
+    lie on one raster for all tiles.  Without threads or seeds, so reruns agree; no
+    parity with other implementations is claimed.
     """
-    columns, margin = points.columns, 10 * cloth_resolution
+    columns, margin = points.columns, overlap * cloth_resolution
     reach = lambda n: F.sequence(F.floor((F.col(n) - margin) / tile), F.floor((F.col(n) + margin) / tile))
     spread = points.withColumn("tx", F.explode(reach("x"))).withColumn("ty", F.explode(reach("y")))
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, z = (pdf[n].to_numpy(float) for n in "xyz")
-        c, r = ((v - v.min()) // cloth_resolution for v in (x, y))
-        c, r = c.astype(int), r.astype(int)
+        c, r = (np.floor(v / cloth_resolution).astype(int) for v in (x, y))
+        c, r = c - c.min(), r - r.min()
         low = np.full((r.max() + 1, c.max() + 1), -np.inf)
         np.maximum.at(low, (r, c), -z)
         low[np.isinf(low)] = np.nan
-        ground = -_drape(low, rigidness, time_step)
+        ground = -_drape(low, rigidness, time_step, slope_smooth)
         own = (x // tile == pdf["tx"].to_numpy()) & (y // tile == pdf["ty"].to_numpy())
-        slack = class_threshold * (1.5 if slope_smooth else 1.0)
-        return pdf.loc[own & (np.abs(z - ground[r, c]) <= slack), columns]
+        return pdf.loc[own & (np.abs(z - ground[r, c]) <= class_threshold), columns]
 
     return spread.groupBy("tx", "ty").applyInPandas(keep, points.schema)
 
 
-def by_class(points: DataFrame, keep: int = 2) -> DataFrame:
+#: Classification codes of ordinary points and of ground.
+UNCLASSIFIED, GROUND = 1, 2
+
+
+def by_class(points: DataFrame, keep: int = GROUND) -> DataFrame:
     """Points of one classification code."""
     return points.where(F.col("classification") == keep)
+
+
+def without_outliers(points: DataFrame, bucket: float, neighbours: int = 8, multiplier: float = 2.0) -> DataFrame:
+    """The points that are no statistical outliers, as ordinary points of code 1."""
+    kept = outliers(points, bucket, neighbours, multiplier).where("NOT is_outlier").select("id")
+    return points.join(kept, "id", "left_semi").withColumn("classification", F.lit(UNCLASSIFIED))
+
+
+#: A surface is not made from fewer points.
+LEAST_POINTS = 10
+
+
+def ground_surface(points: DataFrame, cellsize: float, ground: str = "pmf_archaeology_standard", radius: float | None = None) -> DataFrame:
+    """(r, c, z): ground points by a preset of either filter (or ``classified``, by their code), gridded."""
+    if ground in PMF_PRESETS:
+        kept = ground_pmf(points, **PMF_PRESETS[ground])
+    elif ground in CLOTH_PRESETS:
+        kept = ground_cloth(points, **CLOTH_PRESETS[ground])
+    elif ground == "classified":
+        kept = by_class(points)
+    else:
+        raise ValueError(f"Unknown ground filter: {ground}")
+    if (n := points.limit(LEAST_POINTS).count()) < LEAST_POINTS:
+        raise ValueError(f"{n} points are too few for a surface; {LEAST_POINTS} are needed")
+    return grid_idw(cut(kept.select("x", "y", "z")), cellsize, radius)

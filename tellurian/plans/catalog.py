@@ -7,14 +7,18 @@ surface definition.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurian.functions import records, scale, text
-from tellurian.operators import blend, change, detect, grid, horizon, points, stencil
+from tellurian.operators import blend, change, detect, grid, horizon, inference, points, stencil
+from tellurian.operators.lineage import shared_folder
 from tellurian.plans import oracles as o
+from tellurian.sources import files
 from tellurian.sources import surfaces as s
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,12 +57,16 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 @query(s.ctes("dem") + " SELECT r, c, round(z, 6) AS z FROM dem")
 def read_dem(spark, d):
-    return rounded(s.dem_dense(spark, d))
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    files.write_cells(s.dem_dense(spark, d), path, tile=256)
+    return rounded(files.read_cells(spark, path))
 
 
 @query(s.ctes("sparse") + " SELECT r, c, round(coalesce(z, -9999.0::DOUBLE), 6) AS z FROM sparse")
 def write_nodata(spark, d):
-    return rounded(grid.to_nodata(s.dem_sparse(spark, d)))
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    files.write_cells(s.dem_sparse(spark, d), path, tile=256, nodata=grid.NODATA)
+    return rounded(files.read_cells(spark, path))  # the tag as it stands in the file
 
 
 @query(s.ctes("sparse") + " SELECT r, c, round(CASE WHEN isnan(t) OR abs(t + 9999) <= 1e-5 THEN NULL ELSE t END, 6) AS z FROM (SELECT r, c, coalesce(z, -9999.0::DOUBLE) AS t FROM sparse)")
@@ -127,9 +135,9 @@ def hillshade_multi(spark, d):
     return rounded(stencil.hillshade(s.dem_dense(spark, d), s.CELL))
 
 
-@query("SELECT r, c, band, round(v, 6) AS v FROM (" + " UNION ALL ".join(f"SELECT r, c, {k}::INT AS band, v FROM ({o.gradient('sparse', o.shade(360.0 * k / 8, 45) + ' AS v')}) WHERE v IS NOT NULL" for k in range(8)) + ")")
+@query("SELECT r, c, band, round(v, 6) AS v FROM (" + " UNION ALL ".join(f"SELECT r, c, {k}::INT AS band, v FROM ({o.gradient('sparse', o.shade(360.0 * k / 16, 45) + ' AS v')}) WHERE v IS NOT NULL" for k in range(16)) + ")")
 def hillshade_bands(spark, d):
-    return rounded(stencil.hillshade_bands(s.dem_sparse(spark, d), s.CELL, 8))
+    return rounded(stencil.hillshade_bands(s.dem_sparse(spark, d), s.CELL))
 
 
 @query(o.RUGGEDNESS)
@@ -271,12 +279,12 @@ def mosaic(spark, d):
 def band_stack(spark, d):
     tag = lambda df, n: df.select("r", "c", F.lit(n).alias("band"), F.col("z").alias("v"))
     long = tag(s.dem_dense(spark, d), "before").unionByName(tag(s.dem_new(spark, d), "after"))
-    return rounded(long.groupBy("r", "c").pivot("band", ["before", "after"]).agg(F.first("v")))
+    return rounded(blend.stacked(long, ["before", "after"]))
 
 
-@query(o.vat("dem", 10, 10))
+@query(o.vat("dem", 50, 50))
 def vat(spark, d):
-    return rounded(blend.vat(s.dem_dense(spark, d), s.CELL, 10, 10), digits=4)
+    return rounded(blend.vat(s.dem_dense(spark, d), s.CELL), digits=4)
 
 
 @query(o.red_relief("dem", 20))
@@ -286,7 +294,29 @@ def red_relief(spark, d):
 
 @query(o.e4mstp("dem"))
 def e4mstp(spark, d):
-    return blend.e4mstp_of(s.dem_dense(spark, d), s.CELL, far=20)
+    return blend.e4mstp_of(s.dem_dense(spark, d), s.CELL)
+
+
+_LAYER_SQL = {
+    "slope": o.gradient("dem", "round(degrees(atan(steep)), 6) AS slope"), "hillshade": o.gradient("dem", f"round(({' + '.join(o.shade(a, 45) for a in stencil.DEFAULT_AZIMUTHS)}) / 6 * 255.0::DOUBLE, 6) AS hillshade"),
+    "slrm": o.local_relief("dem", 20), "svf": o.sky_view("dem", 16, 10), "asvf": o.anisotropic("dem", 16, 10, 315.0, 0.5), "openness": o.openness("dem", 16, 10, False), "local_dominance": o.dominance("dem", 10.0, 20.0, 1.0, 15.0, 1.7),
+}
+
+
+@query(o.joined(*_LAYER_SQL.values()))
+def batch_run(spark, d):
+    return rounded(blend.batch(s.dem_dense(spark, d), s.CELL))
+
+
+_PCA = ("svf", "opn", "slope", "ld")
+_STD = {n: f"(SELECT stddev_pop({n}) FROM l)" for n in _PCA}
+
+
+@query("WITH l AS (SELECT r, c, svf, openness AS opn, slope, local_dominance AS ld FROM (" + o.joined(*[_LAYER_SQL[n] for n in ("svf", "openness", "slope", "local_dominance")]) + ")) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round((SELECT covar_samp({a}, {b}) FROM l) / {_STD[a]} / {_STD[b]}, 5) AS covariance" for a in _PCA for b in _PCA))
+def pca_covariance(spark, d):
+    found = blend.moments(rounded(blend.pca_layers(s.dem_dense(spark, d), s.CELL)), _PCA)
+    return rounded(spark.createDataFrame([(a, b, float(found[2][i, j])) for i, a in enumerate(_PCA) for j, b in enumerate(_PCA)], "a string, b string, covariance double"), digits=5)
 
 
 @query()
@@ -362,11 +392,39 @@ def resample_mode(spark, d):
     return change.resample_aggregate(s.label_grid(spark, d).select("r", "c", F.col("label").alias("z")), 4, "mode")
 
 
+_HALF = "2 * rows AS rows, 2 * cols AS cols"
+for _kind in ("cubic", "cubic_spline", "lanczos"):
+
+    def _finer(spark, d, kind=_kind):
+        b = s.band_dem(spark, d)
+        g = grid.grid_stats(b)
+        return rounded(change.resample(b, kind, 2 * (g.last_r + 1), 2 * (g.last_c + 1), (0.5, -0.25), (0.5, -0.25)))
+
+    query(o.resampled("band_dem", "z", _kind, 0.5, -0.25, _HALF), name=f"resample_{_kind}")(_finer)
+
+
+_SOURCE, _TARGET = (0.0, 1.0, 0.0, -1.0), (0.3, 1.7, -0.3, -1.7)
+
+
+@query(o.resampled("sparse", "z", "bilinear", *change.axis_map(*_SOURCE[:2], *_TARGET[:2]), "floor(rows / 1.7::DOUBLE)::BIGINT AS rows, floor(cols / 1.7::DOUBLE)::BIGINT AS cols"))
+def match_grid(spark, d):
+    """Another grid, of wider cells and with its corner elsewhere: no whole factor leads there."""
+    c = s.dem_sparse(spark, d)
+    g = grid.grid_stats(c)
+    return rounded(change.match_grid(c, _SOURCE, _TARGET, int((g.last_r + 1) / 1.7), int((g.last_c + 1) / 1.7)))
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_nationkey % 5 = 0 THEN 'coordinate systems differ: EPSG:27700, EPSG:4326' WHEN s_nationkey % 3 = 0 THEN 'extents differ' END AS misalignment FROM supplier""")
+def raster_alignment(spark, d):
+    k = F.col("s_nationkey")
+    box = lambda dx: F.struct(F.lit(0.0).alias("x_min"), F.lit(0.0).alias("y_min"), (F.lit(100.0) + dx).alias("x_max"), F.lit(50.0).alias("y_max"))
+    found = change.misalignment(F.lit("EPSG:27700"), F.when(k % 5 == 0, "EPSG:4326").when(k % 7 != 0, "EPSG:27700"), box(F.lit(0.0)), box(F.when(k % 3 == 0, 0.5).otherwise(1e-5)))
+    return s.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), found.alias("misalignment"))
+
+
 for _recipe, (_layer, _bands, _m, _op) in change.FUSION_RECIPES.items():
-    query(o.fusion(_m, _op), name=f"fusion_{_recipe}")(
-        lambda spark, d, m=_m, op=_op: change.fuse(
-            s.bands(spark, d).withColumn("relief", F.col("b4") + F.col("r") % 9), "relief", ("b4", "b3", "b2"), m, op
-        )
+    query(o.fusion(_layer, tuple(b.lower() for b in _bands), _m, _op), name=f"fusion_{_recipe}")(
+        lambda spark, d, recipe=_recipe: change.fusion(s.band_dem(spark, d), s.spectral(spark, d), recipe, s.CELL)
     )
 
 
@@ -403,6 +461,11 @@ def ground_pmf(spark, d):
     return points.ground_pmf(s.cloud(spark, d), **points.PMF_PRESETS["pmf_archaeology_standard"]).select("id")
 
 
+@query(o.ground_grid())
+def ground_surface(spark, d):
+    return rounded(points.ground_surface(s.cloud(spark, d), 2.0), digits=5)
+
+
 @query()
 def ground_cloth(spark, d):
     return points.ground_cloth(s.cloud(spark, d), **points.CLOTH_PRESETS["archaeology_standard"]).select("id")
@@ -442,9 +505,11 @@ def suppress_boxes(spark, d):
     return detect.suppress(s.boxes(spark, d).where("confidence >= 0.5"), 0.45).select("id", "class_id")
 
 
-@query(s.ctes("boxes") + """ SELECT id, round(400000 + x1 * 0.5::DOUBLE, 6) AS min_x, round(300000 - y2 * 0.5::DOUBLE, 6) AS min_y, round(400000 + x2 * 0.5::DOUBLE, 6) AS max_x, round(300000 - y1 * 0.5::DOUBLE, 6) AS max_y FROM boxes""")
+@query(s.ctes("boxes") + """ SELECT id, round(400000 + x1 * 0.5::DOUBLE, 6) AS min_x, round(300000 - y2 * 0.5::DOUBLE, 6) AS min_y, round(400000 + x2 * 0.5::DOUBLE, 6) AS max_x, round(300000 - y1 * 0.5::DOUBLE, 6) AS max_y,
+    printf('POLYGON ((%.3f %.3f, %.3f %.3f, %.3f %.3f, %.3f %.3f, %.3f %.3f))', 400000 + x1 * 0.5::DOUBLE, 300000 - y2 * 0.5::DOUBLE, 400000 + x2 * 0.5::DOUBLE, 300000 - y2 * 0.5::DOUBLE, 400000 + x2 * 0.5::DOUBLE, 300000 - y1 * 0.5::DOUBLE,
+        400000 + x1 * 0.5::DOUBLE, 300000 - y1 * 0.5::DOUBLE, 400000 + x1 * 0.5::DOUBLE, 300000 - y2 * 0.5::DOUBLE) AS wkt FROM boxes""")
 def map_boxes(spark, d):
-    return rounded(detect.map_boxes(s.boxes(spark, d), (400000.0, 0.5, 0.0, 300000.0, 0.0, -0.5)).select("id", "min_x", "min_y", "max_x", "max_y"))
+    return rounded(detect.map_boxes(s.boxes(spark, d), (400000.0, 0.5, 0.0, 300000.0, 0.0, -0.5)).select("id", "min_x", "min_y", "max_x", "max_y", "wkt"))
 
 
 @query(s.ctes("dem") + """, e AS (SELECT r, c, z / 20 AS b, exp(-greatest(0, z / 20, -z / 30)) AS k, z FROM dem), p AS (SELECT r, c, exp(0 - greatest(0, b, -z / 30)) AS p0, exp(b - greatest(0, b, -z / 30)) AS p1, exp(-z / 30 - greatest(0, b, -z / 30)) AS p2, b, z FROM e),
@@ -476,15 +541,36 @@ def polygonise(spark, d):
     return rounded(p.select("class_id", "cell_count", "area", "min_r", "max_r", "min_c", "max_c", "mean_confidence"))
 
 
+@query(o.OUTLINES)
+def segment_outlines(spark, d):
+    return detect.outlines(s.label_grid(spark, d))
+
+
+def _bright_blocks():
+    """A stand-in for a detection model: a box around each 8 x 8 block of its input that is bright on average."""
+
+    def run(x):
+        blocks = x[0, 0].reshape(4, 8, 4, 8).mean(axis=(1, 3))
+        r, c = np.nonzero(blocks > 0.5)
+        return [np.stack([c * 8, r * 8, c * 8 + 8, r * 8 + 8, blocks[r, c], (r + c) % 2], axis=1)[None].astype(np.float32)]
+
+    return run
+
+
+@query()
+def detect_features(spark, d):
+    return inference.detect_features(s.dem_dense(spark, d), _bright_blocks, 0.52, 0.3, tile=32, overlap=8, size=(32, 32), labels=_LABELS)
+
+
 # --- scalars and records ------------------------------------------------------------------------
 
 
 @query("""SELECT p_partkey AS id, greatest(1, round_even(p_retailprice / 64.0::DOUBLE, 0)::INT) AS px, greatest(1, round_even(p_size / 4.0::DOUBLE, 0)::INT) AS px2,
-    greatest(1, round_even(p_retailprice / 64.0::DOUBLE, 0)::INT)::VARCHAR || ' px' AS head, greatest(1, round_even(p_retailprice / 4.0::DOUBLE, 0)::INT) > 200 AS slow FROM part""")
+    printf('%d px = %.1f m', greatest(1, round_even(p_retailprice / 64.0::DOUBLE, 0)::INT), greatest(1, round_even(p_retailprice / 64.0::DOUBLE, 0)::INT) * 64.0::DOUBLE) AS text, greatest(1, round_even(p_retailprice / 4.0::DOUBLE, 0)::INT) > 200 AS slow FROM part""")
 def radius_to_pixels(spark, d):
     p = s.table(spark, d, "part")
     px = scale.pixels(F.col("p_retailprice"), "metres", F.lit(64.0))
-    return p.select(F.col("p_partkey").alias("id"), px.alias("px"), scale.pixels(F.col("p_size"), "metres", F.lit(4.0)).alias("px2"), F.substring_index(scale.describe(px, F.lit(64.0)), " =", 1).alias("head"), scale.too_slow(scale.pixels(F.col("p_retailprice"), "metres", F.lit(4.0))).alias("slow"))
+    return p.select(F.col("p_partkey").alias("id"), px.alias("px"), scale.pixels(F.col("p_size"), "metres", F.lit(4.0)).alias("px2"), scale.describe(px, F.lit(64.0)).alias("text"), scale.too_slow(scale.pixels(F.col("p_retailprice"), "metres", F.lit(4.0))).alias("slow"))
 
 
 @query("SELECT preset, " + ", ".join(f"greatest(1, round_even({n} / 2.5::DOUBLE, 0)::INT) AS {n}" for n in ("svf", "openness", "slrm", "ld_min")) + """, greatest(round_even(ld_max / 2.5::DOUBLE, 0)::INT, greatest(1, round_even(ld_min / 2.5::DOUBLE, 0)::INT) + 1) AS ld_max,
@@ -525,14 +611,15 @@ def parse_azimuths(spark, d):
     return s.table(spark, d, "events").select("event_id", text.azimuths(t).alias("azimuths"))
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS errors FROM part""")
+@query("""SELECT p_partkey AS id, list_filter([CASE WHEN p_size % 5 = 0 THEN 'recipe_version: three numbers expected, found 1.0' END, CASE WHEN p_size % 7 = 0 THEN 'landscape_type: unknown moon' END,
+    CASE WHEN p_size % 3 = 0 THEN 'svf.num_directions: whole number expected' END], lambda x: x IS NOT NULL) AS errors FROM part""")
 def validate_recipes(spark, d):
     size = F.col("p_size")
     doc = F.concat(
         F.lit('{"recipe_version": "'), F.when(size % 5 == 0, "1.0").otherwise("1.0.0"), F.lit('", "landscape_type": "'), F.when(size % 7 == 0, "moon").otherwise("coastal"),
         F.lit('", "algorithms": {"svf": {"search_radius": 10, "num_directions": '), F.when(size % 3 == 0, '"many"').otherwise("16"), F.lit("}}}"),
     )
-    return s.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.size(records.recipe_errors(doc)).alias("errors"))
+    return s.table(spark, d, "part").select(F.col("p_partkey").alias("id"), records.recipe_errors(doc).alias("errors"))
 
 
 @query(s.ctes("dem") + """ SELECT '{"algorithm":"svf","source":{"rows":' || (max(r) + 1) || ',"cols":' || (max(c) + 1) || ',"min":' || round(min(z), 6) || ',"max":' || round(max(z), 6) || ',"valid":' || count(z) || ',"crs":"EPSG:27700","cellsize":1.0},"parameters":{"radius":"10"}}' AS record FROM dem""")
@@ -588,3 +675,8 @@ def bookmarks(spark, d):
 def pipeline_stages(spark, d):
     stages = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("readers.las"), F.concat(F.lit("filters."), F.col("p_type")))).otherwise(F.array(F.lit("readers.las"), F.lit("filters.pmf")))
     return s.table(spark, d, "part").select(F.col("p_partkey").alias("id"), records.unknown_stages(stages).alias("unknown"))
+
+
+@query("SELECT user_id AS run, event_type AS message, min(ts) AS seen FROM events GROUP BY ALL")
+def run_warnings(spark, d):
+    return records.first_warnings(s.table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("message"), F.col("ts").alias("at"))).withColumnRenamed("at", "seen")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 
 from tellurian.operators.horizon import ANISOTROPIC_SLACK, annulus, rays
 from tellurian.sources.surfaces import ctes
@@ -172,7 +174,7 @@ def red_relief(surface: str, radius: int) -> str:
 
 
 def e4mstp(surface: str) -> str:
-    head = ctes(surface) + _CELLS.format(t=surface) + _tops("ts", 16, 10, 0.0) + _tops("tl", 16, 20, 0.0) + _tops("tp", 16, 10, -1.0) + _tops("tn", 16, 10, -1.0, -1)
+    head = ctes(surface) + _CELLS.format(t=surface) + _tops("ts", 16, 10, 0.0) + _tops("tl", 16, 50, 0.0) + _tops("tp", 16, 10, -1.0) + _tops("tn", 16, 10, -1.0, -1)
     head += _dominance("ld", 10.0, 20.0, 1.0, 15.0, 1.7) + _position(5, 50, 500) + _near("")
     sky = lambda n, low: f"greatest(least(({n} - {low}::DOUBLE) / (1 - {low}::DOUBLE), 1), 0)"
     mean = lambda t, n, e: f"{n} AS MATERIALIZED (SELECT r, c, {e} AS v FROM {t} GROUP BY r, c)"
@@ -186,14 +188,59 @@ def e4mstp(surface: str) -> str:
     SELECT r, c, {over("ur", "red")} AS red, {over("ug", "green")} AS green, {over("ug", "blue")} AS blue FROM w"""
 
 
-def fusion(mode: str, opacity: float) -> str:
+def fusion(layer: str, bands: tuple[str, ...], mode: str, opacity: float) -> str:
+    relief = {
+        "svf": sky_view("band_dem", 16, 10), "local_dominance": dominance("band_dem", 10.0, 20.0, 1.0, 15.0, 1.7),
+        "slope": gradient("band_dem", "degrees(atan(steep)) AS slope"), "slrm": local_relief("band_dem", 20),
+    }[layer]
     unit = lambda n: f"({n} - min({n}) OVER ()) / (max({n}) OVER () - min({n}) OVER ())"
     mix = "{a} * (1 - {o}) + {a} * {b} * {o}" if mode == "luminance_overlay" else "(1 - {o}) * {b} + {o} * (" + _MODE.get(mode, "") + ")"
     byte = lambda b: f"trunc(greatest(least(({mix.format(a='a', b=b, o=f'{opacity}::DOUBLE')}) * 255.0::DOUBLE, 255), 0))::INT"
-    return ctes("bands") + f""", u AS (SELECT r, c, {unit("relief")} AS a, {unit("b4")} AS x, {unit("b3")} AS y, {unit("b2")} AS w FROM (SELECT *, b4 + r % 9 AS relief FROM bands))
+    # The layer itself, not its rounded form.
+    for rounded, whole in (("round(1 - avg(top), 6)", "1 - avg(top)"), ("round(v, 6)", "v"), ("round(CASE WHEN z IS NOT NULL THEN f - v END, 6)", "CASE WHEN z IS NOT NULL THEN f - v END")):
+        relief = relief.replace(rounded, whole)
+    return ctes("spectral") + f""", u AS (SELECT r, c, {unit(layer)} AS a, {unit(bands[0])} AS x, {unit(bands[1])} AS y, {unit(bands[2])} AS w FROM spectral JOIN ({relief}) USING (r, c))
     SELECT r, c, {byte("x")} AS red, {byte("y")} AS green, {byte("w")} AS blue FROM u"""
 
 
+#: Weight of a source cell at distance t, in SQL.
+_KERNELS = {
+    "bilinear": ("greatest(1 - t, 0)", 1),
+    "cubic": ("CASE WHEN t < 1 THEN 1.5::DOUBLE * t ** 3 - 2.5::DOUBLE * t ** 2 + 1 WHEN t < 2 THEN -0.5::DOUBLE * t ** 3 + 2.5::DOUBLE * t ** 2 - 4 * t + 2 ELSE 0 END", 2),
+    "cubic_spline": ("CASE WHEN t < 1 THEN (4 - 6 * t ** 2 + 3 * t ** 3) / 6 WHEN t < 2 THEN (2 - t) ** 3 / 6 ELSE 0 END", 2),
+    "lanczos": ("CASE WHEN t < 1e-9 THEN 1 WHEN t < 3 THEN 3 * sin(pi() * t) * sin(pi() * t / 3) / (pi() * t) ** 2 ELSE 0 END", 3),
+}
+
+
+def resampled(surface: str, value: str, how: str, scale: float, offset: float, size: str) -> str:
+    """``size`` gives rows and cols of the target from g.rows and g.cols."""
+    kernel, reach = _KERNELS[how]
+    far, wide = math.ceil(reach * max(1.0, scale)), max(1.0, scale)
+    taps = f"(SELECT range + {1 - far} AS d FROM range({2 * far}))"
+    weigh = lambda at, d: re.sub(r"\bt\b", f"(abs(floor({at}) + {d} - {at}) / {wide}::DOUBLE)", f"({kernel})")
+    return ctes(surface) + f""", g AS (SELECT {size} FROM (SELECT max(r) + 1 AS rows, max(c) + 1 AS cols FROM {surface})),
+    t AS (SELECT i.range AS r, j.range::INT AS c, i.range * {scale}::DOUBLE + {offset}::DOUBLE AS y, j.range * {scale}::DOUBLE + {offset}::DOUBLE AS x FROM g, range(g.rows) i, range(g.cols) j),
+    k AS (SELECT r, c, (floor(y) + a.d)::BIGINT AS sr, (floor(x) + b.d)::BIGINT AS sc, {weigh("y", "a.d")} * {weigh("x", "b.d")} AS w, floor(y) + a.d = floor(y + 0.5::DOUBLE) AND floor(x) + b.d = floor(x + 0.5::DOUBLE) AS under FROM t, {taps} a, {taps} b)
+    SELECT k.r, k.c, round(CASE WHEN bool_or(under AND s.{value} IS NOT NULL) THEN sum(w * s.{value}) / sum(w) FILTER (s.{value} IS NOT NULL) END, 6) AS z FROM k LEFT JOIN {surface} s ON s.r = k.sr AND s.c = k.sc GROUP BY k.r, k.c"""
+
+
+def joined(*parts: str) -> str:
+    """Several layers over the same cells side by side."""
+    return "SELECT * FROM " + " JOIN ".join(f"({p}) t{i}" + (" USING (r, c)" if i else "") for i, p in enumerate(parts))
+
+
+def _outline(side: str) -> str:
+    line, at = ("r", "c") if side in "ns" else ("c", "r")
+    lower = f"{line}_{' + 1' if side in 'se' else ''}"
+    ends = {"n": ("b", lower, "a", lower), "s": ("a", lower, "b", lower), "w": (lower, "a", lower, "b"), "e": (lower, "b", lower, "a")}[side]
+    return f"""SELECT label, {', '.join(f'({e})::BIGINT AS {n}' for e, n in zip(ends, ('x1', 'y1', 'x2', 'y2'), strict=True))} FROM (SELECT label, {line} AS {line}_, min({at}) AS a, max({at}) + 1 AS b FROM (
+        SELECT label, {line}, {at}, {at} - row_number() OVER (PARTITION BY label, {line} ORDER BY {at}) AS g FROM near WHERE label <> 0 AND {side} IS DISTINCT FROM label) GROUP BY label, {line}, g)"""
+
+
+OUTLINES = (
+    ctes("labels_at") + """, near AS (SELECT r, c, label, lag(label) OVER h AS w, lead(label) OVER h AS e, lag(label) OVER v AS n, lead(label) OVER v AS s FROM labels_at WINDOW h AS (PARTITION BY r ORDER BY c), v AS (PARTITION BY c ORDER BY r)) """
+    + " UNION ALL ".join(map(_outline, "nswe"))
+)
 _GRID = """, e AS (SELECT min(x) - 1 AS left_x, max(y) + 1 AS top_y, trunc((max(x) - min(x) + 2) / 2)::BIGINT + 1 AS cols, trunc((max(y) - min(y) + 2) / 2)::BIGINT + 1 AS rows FROM cloud)"""
 IDW = (
     ctes("cloud") + _GRID + """, g AS (SELECT i.range AS r, j.range::INT AS c, left_x + (j.range + 0.5::DOUBLE) * 2 AS cx, top_y - (i.range + 0.5::DOUBLE) * 2 AS cy FROM e, range(e.rows) i, range(e.cols) j),
@@ -257,3 +304,11 @@ POLYGONS = (
     regions AS (SELECT root, label AS class_id, sum(last - first + 1)::BIGINT AS cell_count, min(r) AS min_r, max(r) AS max_r, min(first) AS min_c, max(last) AS max_c FROM runs JOIN roots USING (run) GROUP BY root, label)
     SELECT class_id, cell_count, cell_count::DOUBLE AS area, min_r, max_r, min_c, max_c, (SELECT round(avg(confidence), 6) FROM labels_at WHERE label = class_id) AS mean_confidence FROM regions WHERE cell_count >= 10"""
 )
+
+
+def ground_grid() -> str:
+    """IDW over the points that the progressive filter keeps."""
+    filtered = pmf().replace("SELECT id FROM cloud JOIN", "SELECT cloud.* FROM cloud JOIN")
+    head, tail = filtered.rsplit(" SELECT cloud.* FROM cloud JOIN", 1)
+    body = IDW[len(ctes("cloud")) :].replace("cloud", "kept")
+    return head + f", kept AS (SELECT cloud.* FROM cloud JOIN{tail})" + body

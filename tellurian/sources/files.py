@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import json
+import logging
 import struct
 import zipfile
 import zlib
@@ -15,11 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurian.functions.text import redact
 from tellurian.operators.grid import from_nodata, to_nodata
+from tellurian.operators.lineage import cut
+from tellurian.operators.points import ground_surface
 
 CELLS = "r long, c int, z double"
 
@@ -56,13 +60,20 @@ def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_las(spark: SparkSession, path: str, chunk: int = 1 << 18) -> DataFrame:
-    """Points (path, x, y, z, classification) of uncompressed LAS 1.2-1.4 files."""
+    """Points (path, x, y, z, classification) of uncompressed LAS 1.2-1.4 files.
+
+    A file is one row of Spark's reader and is unpacked in chunks by one task, so
+    that large surveys should come, as they do, in many files.  Compressed (LAZ)
+    files are refused.
+    """
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, data in zip(frame["path"], frame["content"], strict=True):
                 if data[:4] != b"LASF":
                     raise ValueError(f"{name} is not a LAS file")
+                if data[104] & 128:
+                    raise ValueError(f"{name} is compressed; unpack LAZ files first")
                 offset, kind, size, count = struct.unpack_from("<I", data, 96)[0], data[104] & 63, *struct.unpack_from("<HI", data, 105)
                 if data[25] >= 4 and count == 0:
                     count = struct.unpack_from("<Q", data, 247)[0]
@@ -77,6 +88,12 @@ def read_las(spark: SparkSession, path: str, chunk: int = 1 << 18) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "path string, x double, y double, z double, classification int")
 
 
+def las_surface(spark: SparkSession, path: str, cellsize: float, ground: str = "pmf_archaeology_standard", radius: float | None = None) -> DataFrame:
+    """(r, c, z) from LAS files: read, ground filter, gridding; an error for fewer than ten points."""
+    p = cut(read_las(spark, path).select(F.monotonically_increasing_id().alias("id"), "x", "y", "z", "classification"))
+    return ground_surface(p, cellsize, ground, radius)
+
+
 def las_bytes(x: np.ndarray, y: np.ndarray, z: np.ndarray, classification: np.ndarray, scale: float = 0.001) -> bytes:
     """A small LAS 1.2 file of format 0."""
     head = bytearray(227)
@@ -146,6 +163,61 @@ def support_bundle(spark: SparkSession, diagnostics: str, version: str, prefligh
     return out.getvalue()
 
 
+def sidecar_path(path: str) -> str:
+    """Where the provenance record of an output stands: beside it."""
+    return path.rstrip("/") + ".provenance.json"
+
+
+def write_sidecar(record: DataFrame, output: str) -> str | None:
+    """Writes a one-row provenance record beside an output; None where that fails, which never harms the output."""
+    path = sidecar_path(output)
+    try:
+        record.select("record").coalesce(1).write.mode("overwrite").text(path)
+    except Exception as error:  # the result that the record describes stands whatever becomes of the record
+        logging.getLogger(__name__).warning("No provenance beside %s: %s", output, error)
+        return None
+    return path
+
+
+def read_sidecar(spark: SparkSession, path: str) -> dict:
+    """The record at this path or beside this output; an error if there is none or it is none of ours."""
+    found = path if path.endswith(".provenance.json") else sidecar_path(path)
+    try:
+        lines = [r.value for r in spark.read.text(found).limit(2).collect()]
+    except AnalysisException as error:
+        raise FileNotFoundError(f"No provenance at {found}") from error
+    try:
+        record = json.loads("\n".join(lines))
+    except ValueError as error:
+        raise ValueError(f"{found} is not JSON") from error
+    if not isinstance(record, dict) or not {"algorithm", "parameters"} <= set(record):
+        raise ValueError(f"{found} is no provenance record")
+    return record
+
+
+def field_package(cells: DataFrame, anomalies: DataFrame, folder: str, name: str) -> dict[str, str]:
+    """Writes a survey package: cells, anomaly records and the project text; existing ones are never overwritten.
+
+    ``anomalies`` has x, y and the fields of the anomaly template; a record without
+    a required field is an error, and its point becomes WKT.
+    """
+    from tellurian.functions.text import project_name
+    from tellurian.sources.reports import ANOMALY_FIELDS, field_project
+
+    spark = cells.sparkSession
+    safe = spark.range(1).select(project_name(F.lit(name))).first()[0]
+    paths = {k: f"{folder.rstrip('/')}/{safe}-{k}" for k in ("relief", "survey", "project")}
+    given = [F.col(n).cast(t).alias(n) if n in anomalies.columns else F.lit(None).cast(t).alias(n) for n, t, _ in ANOMALY_FIELDS]
+    lacking = [n for n, _, must in ANOMALY_FIELDS if must and (n not in anomalies.columns or not anomalies.where(F.col(n).isNull()).isEmpty())]
+    if lacking:
+        raise ValueError(f"Anomaly records need {', '.join(lacking)}")
+    anomalies.select(*given, F.format_string("POINT (%.3f %.3f)", F.col("x").cast("double"), F.col("y").cast("double")).alias("wkt")).write.mode("error").parquet(paths["survey"])
+    write_cells(cells, paths["relief"])
+    text = field_project(safe, ["relief", "survey"], {"confidence": ["low", "medium", "high"]})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("error").text(paths["project"])
+    return paths
+
+
 def viewer_config(title: str, zoom: float, opacity: float, centre: tuple[float, float]) -> str:
     """Web viewer settings as JSON, numbers finite and in range."""
     finite = lambda v, d: float(v) if v is not None and np.isfinite(v) else d

@@ -57,6 +57,12 @@ def pyramid_complaints(layout: dict) -> list[str]:
     return out
 
 
+def outlier_pipeline(source: str, target: str, neighbours: int = 8, multiplier: float = 2.0) -> str:
+    """Stages of a removal of statistical outliers as JSON: ordinary points (code 1) are kept."""
+    drop = {"type": "filters.outlier", "method": "statistical", "mean_k": neighbours, "multiplier": multiplier}
+    return json.dumps([{"type": "readers.las", "filename": source}, drop, {"type": "filters.range", "limits": "Classification[1:1]"}, {"type": "writers.las", "filename": target}])
+
+
 def point_pipeline(preset: dict, resolution: float, source: str, target: str) -> str:
     """Stages of a ground classification as JSON."""
     pmf = {"type": "filters.pmf", **preset}

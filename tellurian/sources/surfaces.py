@@ -50,6 +50,18 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("r", "c").agg(part(0).alias("b4"), part(1).alias("b3"), part(2).alias("b2"))
 
 
+def spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six bands (r, c, b2, b3, b4, b8, b11, b12) on the grid of ``bands``, two of them mixed from others."""
+    d = dem_dense(spark, sf_dir).select(F.floor(F.col("r") / 2).alias("r"), F.floor(F.col("c") / 2).cast("int").alias("c"), (F.col("r") % 2 * 2 + F.col("c") % 2).alias("k"), "z")
+    b = d.groupBy("r", "c").agg(*[F.max(F.when(F.col("k") == k, F.col("z"))).alias(n) for k, n in enumerate(("b4", "b3", "b2", "b8"))])
+    return b.withColumns({"b11": (F.col("b4") + F.col("b8")) / 2, "b12": (F.col("b3") - F.col("b2")) / 2})
+
+
+def band_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A surface on the grid of the bands."""
+    return bands(spark, sf_dir).select("r", "c", F.col("b4").alias("z"))
+
+
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points (id, x, y, z) on a 48 x 48 field, with canopy and stray points, from events."""
     e = table(spark, sf_dir, "events")
@@ -87,6 +99,9 @@ SQL = {
         WHEN (r * 3 + c) % 11 = 0 THEN -1.75::DOUBLE ELSE ((r + c) % 5 - 2) * 0.125::DOUBLE END END AS z FROM dem""",
     "bands": """SELECT r // 2 AS r, (c // 2)::INT AS c, max(z) FILTER (r % 2 = 0 AND c % 2 = 0) AS b4, max(z) FILTER (r % 2 = 0 AND c % 2 = 1) AS b3,
         max(z) FILTER (r % 2 = 1 AND c % 2 = 0) AS b2 FROM dem GROUP BY r // 2, c // 2""",
+    "spectral": """SELECT *, (b4 + b8) / 2 AS b11, (b3 - b2) / 2 AS b12 FROM (SELECT r // 2 AS r, (c // 2)::INT AS c, max(z) FILTER (r % 2 = 0 AND c % 2 = 0) AS b4,
+        max(z) FILTER (r % 2 = 0 AND c % 2 = 1) AS b3, max(z) FILTER (r % 2 = 1 AND c % 2 = 0) AS b2, max(z) FILTER (r % 2 = 1 AND c % 2 = 1) AS b8 FROM dem GROUP BY r // 2, c // 2)""",
+    "band_dem": "SELECT r, c, b4 AS z FROM bands",
     "cloud": """SELECT id, x, y, CASE WHEN id % 997 = 0 THEN ground + 60 WHEN id % 4 = 0 THEN ground + 3 + user_id % 5
         ELSE ground + round(value * 100) / 1e6 END AS z FROM (SELECT *, 100 + 0.1::DOUBLE * x + 0.05::DOUBLE * y AS ground FROM (
         SELECT event_id AS id, user_id, value, ((event_id * 7919 + user_id * 104729) % 48000)::DOUBLE / 1000.0::DOUBLE AS x,
@@ -100,7 +115,7 @@ SQL = {
 
 def ctes(*names: str) -> str:
     """``WITH name AS (...), ...`` for these surfaces and what they build on."""
-    needs = {"sparse": ("sparse_cells",), "dem_new": ("dem",), "bands": ("dem",), "labels_at": ("dem",)}
+    needs = {"sparse": ("sparse_cells",), "dem_new": ("dem",), "bands": ("dem",), "labels_at": ("dem",), "spectral": ("dem",), "band_dem": ("dem", "bands")}
     order: list[str] = []
     for n in names:
         for m in (*needs.get(n, ()), n):

@@ -1,16 +1,16 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 import __spark_entry__
+from tellurian.operators import inference
 from tellurian.plans import catalog
+from tellurian.sources import surfaces
 from tests.conftest import SF
 
-# One of each family: the driver compares all of them at a larger size.
-SOME = ["slope_degrees", "ruggedness", "local_relief_sparse", "mstp_sparse", "sky_view_sparse", "openness_negative", "local_dominance_sparse", "blend_overlay", "red_relief", "dem_difference", "resample_bilinear", "fusion_bare_earth", "points_to_dem", "suppress_boxes", "polygonise", "preflight"]
 
-
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_agrees_with_its_sql(agree, name):
     agree(catalog.queries()[name], catalog.oracle_sql()[name])
 
@@ -22,3 +22,32 @@ def test_entry_runs(spark):
 def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert SF.startswith("/root/testdata")
+
+
+def test_detection_query_equals_brute_force(spark):
+    """All windows in plain loops, then the sequential rule over their union."""
+    pdf = surfaces.dem_dense(spark, SF).toPandas()
+    z = pdf.pivot(index="r", columns="c", values="z").to_numpy(float)
+    low, high = np.quantile(z, 0.02), np.quantile(z, 0.98)
+    model, boxes, (rows, cols) = catalog._bright_blocks(), [], z.shape
+    for r0 in range(0, rows, 24):
+        for c0 in range(0, cols, 24):
+            block = z[r0 : r0 + 32, c0 : c0 + 32]
+            for n, (x1, y1, x2, y2, sure, kind) in enumerate(model(inference.tile_input(block, (32, 32), low, high))[0][0].tolist()):
+                if sure >= 0.52:
+                    h, w = block.shape
+                    place = lambda v, off, size: round(min(max(v * size / 32 + off, off), off + size), 2)
+                    boxes.append(((r0 * cols + c0) * (1 << 20) + n, place(x1, c0, w), place(y1, r0, h), place(x2, c0, w), place(y2, r0, h), round(sure, 4), int(kind)))
+
+    def iou(a, b):
+        w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+        area = lambda x: (x[3] - x[1]) * (x[4] - x[2])
+        return 0 if w < 0 or h < 0 else w * h / (area(a) + area(b) - w * h)
+
+    want: list = []
+    for b in sorted(boxes, key=lambda b: (-b[5], b[0])):
+        if all(iou(k, b) < 0.3 for k in want if k[6] == b[6]):
+            want.append(b)
+    got = catalog.queries()["detect_features"](spark, SF).collect()
+    assert {r.id for r in got} == {b[0] for b in want} and len(got) == len(want) > 5
+    assert {r.class_name for r in got} == {"barrow", "bank"}

@@ -44,7 +44,7 @@ def test_recipes(spark):
     good = records.recipe_json({"svf": {"search_radius": 10, "num_directions": 16, "enabled": True}}, "a")
     assert one(spark, records.recipe_errors(F.lit(good))) == []
     assert len(one(spark, records.recipe_errors(F.lit('{"recipe_version": "1", "landscape_type": "moon"}')))) == 3
-    assert one(spark, records.recipe_errors(F.lit("[]"))) == ["Recipe must be a JSON object"]
+    assert one(spark, records.recipe_errors(F.lit("[]"))) == ["recipe: object expected"]
     assert records.recipe_presets(json.loads(good)) == {"svf": {"search_radius": 10, "num_directions": 16}}
 
 
