@@ -20,7 +20,9 @@ from tellurian.llm.simhash import simhash_dedup
 from tellurian.llm.store import mark, materialise, release
 
 #: A language is recognised from this share of the way between chance and certainty.
-LEAST_OVER_CHANCE = 0.1
+#: The least score of the 17,404 texts under 400 letters of a test table of four languages was 0.315, of a text
+#: that is mostly an address and a number; the bound is 0.265 there.
+LEAST_OVER_CHANCE = 0.02
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
