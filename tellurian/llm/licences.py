@@ -11,11 +11,13 @@ a licence, whatever the size of the corpus.  It also bounds what is broadcast:
 terms below that ceiling have df > N / e^7, of which there are at most 1,100 for
 each distinct term that a unit has on average.
 
-*Candidates.*  A passage can reach the threshold T with a template only if their
-common terms hold T^2 of the template's squared length.  So it must hold a term
-from outside the template's lightest terms that stay below T^2 together; the
-passages without any such term are left out before anything moves, which loses
-none.  The others' terms are counted, weighed and compared with all templates.
+*Candidates.*  A squared cosine is at most the product of two shares: that of the
+template's squared length and that of the passage's which their common terms
+hold.  So a passage that reaches the threshold T must hold a term from outside
+the template's lightest terms that stay below T^2 together, and the product of
+bounds of both shares must reach T^2.  Passages that fail are left out before
+anything moves, which loses none.  The others' terms are counted, weighed and
+compared with all templates.
 
 *Inheritance.*  A file without a licence of its own takes that of the licence
 file in its nearest ancestor directory: distinct directories are unfolded into
@@ -93,6 +95,51 @@ def telling_terms(rows: list[dict[str, float]], threshold: float = THRESHOLD) ->
     return out
 
 
+#: Bounds by which weights are told apart before they are counted: idf of template terms, idf of others, shares of a template.
+IDF_STEPS = (1.5, 2.0, 3.0, 4.0, 6.0, MOST_IDF)
+COMMON = (3.0, 5.0)
+SHARE_STEPS = (0.003, 0.006, 0.01, 0.016, 0.025, 0.04, 0.06, 0.1, 0.15, 0.25, 0.5, 1.0)
+SHORT_TEMPLATE = 20
+
+
+def likely(read: Column, vocabulary: dict[str, float], common: list[list[str]], rows: list[dict[str, float]], threshold: float) -> Column:
+    """Those of an array of passages (as arrays of terms) whose bounds allow a cosine of ``threshold``.
+
+    ``vocabulary`` has the idf of every template term; ``common`` the other terms
+    below each idf in ``COMMON``.  Of a passage, the share of its squared weight
+    that lies in template terms is bounded from above: (1 + ln n)^2 is at most
+    1.5 n, and every other term weighs its idf at least.  So is the share of a
+    template that its terms cover, by each term's greatest share in any short and
+    in any long template.
+    """
+    ranges = lambda steps: list(zip((0.0, *steps), steps, strict=False))
+    by_idf = [([w for w, x in vocabulary.items() if low < x <= high], high * high) for low, high in ranges(IDF_STEPS)]
+    others = [(ws, float(x * x)) for ws, x in zip(common, (1.0, *COMMON), strict=False)]
+    shares = []
+    for group in ([r for r in rows if len(r) <= SHORT_TEMPLATE], [r for r in rows if len(r) > SHORT_TEMPLATE]):
+        most = {w: max(r.get(w, 0.0) for r in group) ** 2 for r in group for w in r}
+        shares.append([([w for w, x in most.items() if low < x <= high], high) for low, high in ranges(SHARE_STEPS)][::-1])
+    sum_of = lambda ts, levels, other: F.aggregate(ts, F.lit(0.0), lambda a, t: a + _levels(t, levels, other))
+    words = sorted(vocabulary)
+    parted = F.transform(read, lambda ts: F.struct(ts.alias("ts"), F.filter(ts, lambda t: t.isin(words)).alias("known"), F.filter(ts, lambda t: ~t.isin(words)).alias("other")))
+    parted = F.filter(parted, lambda p: F.size(p["known"]) > 0)
+    bounds = F.transform(parted, lambda p: F.struct(
+        p["ts"].alias("ts"), (1.5 * sum_of(p["known"], by_idf[::-1], 0.0)).alias("inside"), sum_of(F.array_distinct(p["other"]), others, float(COMMON[-1] ** 2)).alias("outside"),
+        F.greatest(*[sum_of(F.array_distinct(p["known"]), s, 0.0) for s in shares]).alias("cover"),
+    ))
+    kept = F.filter(bounds, lambda p: p["inside"] * F.least(p["cover"], F.lit(1.0)) >= threshold * threshold * (p["inside"] + p["outside"]))
+    return F.transform(kept, lambda p: p["ts"])
+
+
+def _levels(t: Column, levels: list[tuple[list[str], float]], other: float) -> Column:
+    """The value of the first list that holds a term."""
+    out = None
+    for words, value in levels:
+        if words:
+            out = F.when(t.isin(words), value) if out is None else out.when(t.isin(words), value)
+    return F.lit(other) if out is None else out.otherwise(other)
+
+
 def best_matches(found: DataFrame, counts: DataFrame, total: int, rows: list[dict[str, float]], names: list[str], threshold: float) -> DataFrame:
     """row -> licence, cosine, licences: the best of a row's candidate passages and all licences that they reach.
 
@@ -151,7 +198,11 @@ def scan(
     telling = sorted(telling_terms(rows, threshold))
     given = given.withColumn("is_licence", name.rlike(LICENCE_FILE))
     read = F.transform(passages(F.col("low"), F.col("is_licence")), terms)
-    candidates = F.filter(read, lambda ts: F.exists(ts, lambda t: t.isin(telling)))
+    # At most e^4 for each distinct term that a unit has on average.
+    others = counts.where((F.col("t") != "") & ~F.col("t").isin(vocabulary) & (F.col("df") + 1 > (total + 1) * math.exp(1 - COMMON[-1]))).collect()
+    common = [sorted(r.t for r in others if low <= idf(r.df, total) < high) for low, high in zip((0.0, *COMMON), COMMON, strict=False)]
+    weight = {w: idf(of.get(w, 0), total) for w in vocabulary}
+    candidates = likely(F.filter(read, lambda ts: F.exists(ts, lambda t: t.isin(telling))), weight, common, rows, threshold)
     found = given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", folder.alias("dir"), "is_licence", candidates.alias("candidates"))
     found = materialise(found, "licence-passages")
     best = best_matches(found.where(F.size("candidates") > 0), counts, total, rows, [n for n, _ in templates], threshold)
