@@ -39,7 +39,7 @@ def rows(df) -> list[tuple]:
 
 def duck_rows(con, sql: str) -> list[tuple]:
     names = sorted(con.sql(sql).columns)
-    return sorted(con.sql(f"SELECT {', '.join(names)} FROM ({sql})").fetchall(), key=str)
+    return sorted(con.sql("SELECT " + ", ".join(f'"{n}"' for n in names) + f" FROM ({sql})").fetchall(), key=str)
 
 
 @pytest.fixture(scope="session")

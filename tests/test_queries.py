@@ -33,11 +33,11 @@ def test_detection_query_equals_brute_force(spark):
     for r0 in range(0, rows, 24):
         for c0 in range(0, cols, 24):
             block = z[r0 : r0 + 32, c0 : c0 + 32]
-            for n, (x1, y1, x2, y2, sure, kind) in enumerate(model(inference.tile_input(block, (32, 32), low, high))[0][0].tolist()):
-                if sure >= 0.52:
-                    h, w = block.shape
-                    place = lambda v, off, size: round(min(max(v * size / 32 + off, off), off + size), 2)
-                    boxes.append(((r0 * cols + c0) * (1 << 20) + n, place(x1, c0, w), place(y1, r0, h), place(x2, c0, w), place(y2, r0, h), round(sure, 4), int(kind)))
+            found = [b for b in model(inference.tile_input(block, (32, 32), low, high))[0][0].tolist() if b[4] >= 0.52]
+            for n, (x1, y1, x2, y2, sure, kind) in enumerate(found):
+                h, w = block.shape
+                place = lambda v, off, size: round(min(max(v * size / 32 + off, off), off + size), 2)
+                boxes.append(((r0 * cols + c0) * (1 << 20) + n, place(x1, c0, w), place(y1, r0, h), place(x2, c0, w), place(y2, r0, h), round(sure, 4), int(kind)))
 
     def iou(a, b):
         w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
