@@ -262,10 +262,14 @@ def _held_out(doc_id: Column) -> Column:
 
 
 def fit_on(docs: DataFrame, sample: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = SAMPLE_BYTES) -> Gru | None:
-    """A network from ``sample`` labelled rows of each language outside the held-out fold (crc32 of the id as text, mod 4 = 2)."""
+    """A network from ``sample`` labelled rows of each language outside the held-out fold (crc32 of the id as text, mod 4 = 2).
+
+    An id that the sample has in two languages teaches nothing.
+    """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     open_rows = d.select("doc_id", "lang").where(~_held_out(F.col("doc_id"))).where("lang IS NOT NULL")
-    chosen = smallest_of_each(open_rows, sample, "lang").dropDuplicates(["doc_id"])
+    drawn = smallest_of_each(open_rows, sample, "lang")
+    chosen = drawn.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.max("lang").alias("other")).where("lang = other").drop("other")
     return train([(r.text, r.lang) for r in texts_of(d, chosen, most_bytes) if r.text])
 
 

@@ -37,7 +37,9 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP)
     """source, source_size -> target: shares by weight, none above cap times its size.
 
     Filling by weight until sources are full ends where all sources that are not
-    full share one level: sources in order of size / weight fill up first.
+    full share one level: sources in order of size / weight fill up first.  The
+    table has one row per source and is ordered as a whole, in one task: a row is
+    some 50 bytes, so that even millions of sources are one small sort.
     """
     rank = Window.orderBy(F.col("source").asc_nulls_last())
     fill = Window.orderBy("full_at", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
