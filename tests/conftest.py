@@ -42,17 +42,11 @@ def duck_rows(con, sql: str) -> list[tuple]:
     return sorted(con.sql("SELECT " + ", ".join(f'"{n}"' for n in names) + f" FROM ({sql})").fetchall(), key=str)
 
 
-@pytest.fixture(scope="session")
-def agree(spark, duck):
-    """Compares a registered query with its SQL on the smallest tables."""
-
-    def check(query, sql) -> None:
-        a, b = rows(query(spark, SF)), duck_rows(duck, sql)
-        assert len(a) == len(b)
-        for x, y in zip(a, b, strict=True):
-            assert x == pytest.approx(y, abs=2e-4) if all(isinstance(v, (int, float)) for v in y) else [str(v) for v in x] == [str(v) for v in y]
-
-    return check
+def assert_alike(a: list[tuple], b: list[tuple]) -> None:
+    """Rows of a query and of its SQL."""
+    assert len(a) == len(b)
+    for x, y in zip(a, b, strict=True):
+        assert x == pytest.approx(y, abs=2e-4) if all(isinstance(v, (int, float)) for v in y) else [str(v) for v in x] == [str(v) for v in y]
 
 
 def grid_of(spark, array):

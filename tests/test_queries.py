@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 
@@ -7,12 +9,22 @@ import __spark_entry__
 from tellurian.operators import inference
 from tellurian.plans import catalog
 from tellurian.sources import surfaces
-from tests.conftest import SF
+from tests.conftest import SF, assert_alike, duck_rows, rows
+
+
+@pytest.fixture(scope="module")
+def compared(spark, duck, request):
+    """Rows of both engines for each query that is asked for; several queries run at a time."""
+    names = sorted({i.callspec.params["name"] for i in request.session.items if "name" in getattr(getattr(i, "callspec", None), "params", {}) and i.module.__name__ == __name__})
+    both = lambda n: (rows(catalog.queries()[n](spark, SF)), duck_rows(duck.cursor(), catalog.oracle_sql()[n]))
+    with ThreadPoolExecutor(6) as pool:
+        yield {n: pool.submit(both, n) for n in names}
+        pool.shutdown(cancel_futures=True)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
-def test_query_agrees_with_its_sql(agree, name):
-    agree(catalog.queries()[name], catalog.oracle_sql()[name])
+def test_query_agrees_with_its_sql(compared, name):
+    assert_alike(*compared[name].result())
 
 
 def test_entry_runs(spark):
