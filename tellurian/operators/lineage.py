@@ -27,17 +27,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def reserve(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which :func:`release` will know."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    spark._tellurian_cuts = [*getattr(spark, "_tellurian_cuts", []), path]
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a written table."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = reserve(spark, "cut")
     df.write.parquet(path)
-    spark._tellurian_cuts = [*getattr(spark, "_tellurian_cuts", []), path]
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes all cut tables; results that read them must have been written."""
+    """Deletes all reserved and cut tables; results that read them must have been written."""
     for path in getattr(spark, "_tellurian_cuts", []):
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

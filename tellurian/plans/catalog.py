@@ -7,7 +7,6 @@ surface definition.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tellurian.functions import records, scale, text
 from tellurian.operators import blend, change, detect, grid, horizon, inference, points, stencil
-from tellurian.operators.lineage import shared_folder
+from tellurian.operators.lineage import reserve
 from tellurian.plans import oracles as o
 from tellurian.sources import files
 from tellurian.sources import surfaces as s
@@ -57,14 +56,14 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 @query(s.ctes("dem") + " SELECT r, c, round(z, 6) AS z FROM dem")
 def read_dem(spark, d):
-    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    path = reserve(spark, "cells")
     files.write_cells(s.dem_dense(spark, d), path, tile=256)
     return rounded(files.read_cells(spark, path))
 
 
 @query(s.ctes("sparse") + " SELECT r, c, round(coalesce(z, -9999.0::DOUBLE), 6) AS z FROM sparse")
 def write_nodata(spark, d):
-    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    path = reserve(spark, "cells")
     files.write_cells(s.dem_sparse(spark, d), path, tile=256, nodata=grid.NODATA)
     return rounded(files.read_cells(spark, path))  # the tag as it stands in the file
 

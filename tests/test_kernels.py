@@ -246,3 +246,15 @@ def test_batch(spark):
     assert got[0].asDict().keys() == {"r", "c", "svf", "slope"} and [r.svf for r in got] == pytest.approx([r.svf for r in alone])
     with pytest.raises(ValueError):
         blend.batch(cells, 1.0, ("aspect",))
+
+
+def test_cut_tables_are_released(spark):
+    from tellurian.operators import lineage
+
+    lineage.release(spark)
+    table = lineage.cut(spark.range(5))
+    assert table.count() == 5 and len(spark._tellurian_cuts) == 1
+    lineage.release(spark)
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        spark.read.parquet(table.inputFiles()[0])
+    assert spark._tellurian_cuts == []
