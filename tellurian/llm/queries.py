@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tellurian.llm.byte_bpe import bpe_round_trip
 from tellurian.llm.chat_format import chat_format
@@ -14,6 +15,7 @@ from tellurian.llm.licences import as_files, scan
 from tellurian.llm.mixing import mix
 from tellurian.llm.order_minhash import edit_probe
 from tellurian.llm.quality import quality
+from tellurian.llm.quality_rules import quality_rules
 from tellurian.llm.simhash import simhash_dedup
 from tellurian.llm.toxicity import toxicity
 
@@ -64,6 +66,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(_table(spark, sf_dir, "documents"))
+    return found.withColumn("broken", F.array_join("broken", ","))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 SQL: dict[str, str] = {
@@ -130,4 +138,49 @@ SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_quality_rules": r"""
+        WITH d AS (
+            SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+                   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+            FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+        x AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+        y AS (
+            SELECT *, word = lag(word) OVER o AS stuttered,
+                   CASE WHEN i <= n - 7 THEN concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o,
+                        lead(word, 4) OVER o, lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o) END AS eight
+            FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        z AS (
+            SELECT *, eight IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, eight) > 1 AS again FROM y),
+        c AS (
+            SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM z),
+        g AS (
+            SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars, count(*) FILTER (covered) AS n_repeat_words,
+                   count(*) FILTER (stuttered) AS n_stuttered, count(*) FILTER (regexp_matches(word, '\p{L}')) AS n_lettered,
+                   count(*) FILTER (trim(word, '.,;:!?"''()') IN (SELECT unnest(s || list_transform(s, lambda v: upper(v[1]) || v[2:])) FROM (SELECT string_split(
+                       'the of and to a in is that for it was on with as be by this are from or at de la le les et des un une en que est pour du au dans sur qui el los las y se del por con para no der die und das von zu den mit sich nicht für ist im dem als ein eine auch', ' ') AS s))) AS n_stop_words
+            FROM c GROUP BY doc_id),
+        m AS (
+            SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+                   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals,
+                   coalesce(n_stop_words, 0) AS n_stop_words, coalesce(n_lettered, 0) AS n_lettered, coalesce(n_stuttered, 0) AS n_stuttered,
+                   len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+                   len(list_filter(l, lambda v: regexp_matches(v, '^[\x20\x09-\x0D]*[-*•]')))::BIGINT AS n_bullets,
+                   len(list_filter(l, lambda v: regexp_matches(v, '(\.\.\.|…)[\x20\x09-\x0D]*$')))::BIGINT AS n_cut_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM d LEFT JOIN g USING (doc_id)),
+        r AS (
+            SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, concat_ws(',',
+                CASE WHEN 2 * word_chars < 5 * n_words OR word_chars > 12 * n_words THEN 'word_length' END,
+                CASE WHEN 10 * n_symbols > n_words THEN 'symbols' END,
+                CASE WHEN 10 * n_capitals > 3 * word_chars THEN 'capitals' END,
+                CASE WHEN 50 * n_stop_words < n_words THEN 'stop_words' END,
+                CASE WHEN 10 * n_lettered < 7 * n_words THEN 'lettered_words' END,
+                CASE WHEN 10 * n_stuttered > n_words THEN 'repeated_neighbours' END,
+                CASE WHEN 5 * n_dup_lines > 2 * n_lines THEN 'duplicate_lines' END,
+                CASE WHEN 10 * n_bullets > 9 * n_lines THEN 'bullet_lines' END,
+                CASE WHEN 10 * n_cut_lines > 3 * n_lines THEN 'cut_lines' END) AS broken
+            FROM m)
+        SELECT *, NOT base_failed AND broken = '' AS kept FROM r
+    """,
 }
