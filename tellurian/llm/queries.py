@@ -14,6 +14,7 @@ from tellurian.llm.language_id import language_id
 from tellurian.llm.licences import as_files, scan
 from tellurian.llm.mixing import mix
 from tellurian.llm.order_minhash import edit_probe
+from tellurian.llm.periodic_runs import run_probe
 from tellurian.llm.quality import quality
 from tellurian.llm.quality_rules import quality_rules
 from tellurian.llm.simhash import simhash_dedup
@@ -71,6 +72,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("broken", F.array_join("broken", ","))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_probe(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
