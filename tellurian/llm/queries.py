@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tellurian.llm.byte_bpe import bpe_round_trip
 from tellurian.llm.chat_format import chat_format
 from tellurian.llm.exact_dedup import exact_dedup
+from tellurian.llm.hard_negatives import hard_negatives
 from tellurian.llm.language_id import language_id
 from tellurian.llm.licences import as_files, scan
 from tellurian.llm.mixing import mix
@@ -72,6 +73,11 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("broken", F.array_join("broken", ","))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), lambda vec_id: vec_id % 100 == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_probe(_table(spark, sf_dir, "documents"))
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -189,4 +196,21 @@ SQL: dict[str, str] = {
             FROM m)
         SELECT *, NOT base_failed AND broken = '' AS kept FROM r
     """,
+    "op12_hard_negatives": """
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT p.anchor_id, p.positive_id, row_number() OVER r AS rank, s.other AS negative_id, p.positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+        WINDOW r AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other)
+        QUALIFY row_number() OVER r <= 10
+    """,
 }
