@@ -125,12 +125,40 @@ def class_counts(labels: DataFrame) -> DataFrame:
     return counted.select("label", "n", (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
-def row_runs(labels: DataFrame) -> DataFrame:
-    """Runs of equal labels along rows: (run, r, label, first, last), background left out."""
-    w = Window.partitionBy("r", "label").orderBy("c")
-    d = labels.where(F.col("label") != BACKGROUND).withColumn("g", F.col("c") - F.row_number().over(w))
-    runs = d.groupBy("r", "label", "g").agg(F.min("c").alias("first"), F.max("c").alias("last"))
-    return runs.select((F.col("r") * (1 << 31) + F.col("first")).alias("run"), "r", "label", "first", "last")
+def labelled_cells(labels: DataFrame) -> DataFrame:
+    """Cells of other classes than the background with the classes of their four neighbours (w, e, n, s), their row run and the one above.
+
+    A run is a stretch of equal labels along a row, known by its first cell.  One
+    window over rows and one over columns find all of it; cells that are missing
+    or have no label are background.
+    """
+    row, col = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
+    near = lambda f, v, k, step, w: F.when(f(k).over(w) == F.col(k) + step, f(v).over(w))
+    own = labels.where(F.col("label") != BACKGROUND).select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "label")
+    d = own.withColumns({"w": near(F.lag, "label", "c", -1, row), "e": near(F.lead, "label", "c", 1, row)})
+    first = F.max(F.when(~F.col("w").eqNullSafe(F.col("label")), F.col("c"))).over(row.rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("run", F.col("r") * (1 << 31) + first)
+    return d.withColumns({"n": near(F.lag, "label", "r", -1, col), "s": near(F.lead, "label", "r", 1, col), "above": near(F.lag, "run", "r", -1, col)})
+
+
+def _regions(labels: DataFrame, least_cells: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, regions, region of each run): connected by edges, with at least so many cells."""
+    cells = cut(labelled_cells(labels))
+    # Contacts are as many as cells, distinct ones as many as pairs of runs that touch.
+    contacts = cells.where(F.col("n") == F.col("label")).select(F.col("run").alias("a"), F.col("above").alias("b")).distinct()
+    runs = cells.groupBy("run", "label").agg(F.min("r").alias("r"), F.min("c").alias("first"), F.max("c").alias("last"))
+    roots = components(contacts)
+    named = cut(runs.join(roots, runs["run"] == roots["node"], "left").withColumn("region", F.coalesce("root", "run")).drop("node", "root"))
+    regions = named.groupBy("region", F.col("label").alias("class_id")).agg(
+        F.sum(F.col("last") - F.col("first") + 1).alias("cell_count"), F.min("r").alias("min_r"), F.max("r").alias("max_r"), F.min("first").alias("min_c"), F.max("last").alias("max_c")
+    )
+    regions = regions.where(F.col("cell_count") >= least_cells)
+    return cells, regions, named.select("run", "region")
+
+
+def _with_confidence(regions: DataFrame, labels: DataFrame, cell_area: float) -> DataFrame:
+    means = labels.groupBy(F.col("label").alias("class_id")).agg(F.avg("confidence").alias("mean_confidence"))
+    return regions.join(means, "class_id").withColumn("area", F.col("cell_count") * cell_area)
 
 
 def polygons(labels: DataFrame, cell_area: float = 1.0, least_cells: int = 10) -> DataFrame:
@@ -139,16 +167,90 @@ def polygons(labels: DataFrame, cell_area: float = 1.0, least_cells: int = 10) -
     Cells are first merged into row runs, so that the graph has one node per run;
     the confidence is that of the whole class, repeated for each region.
     """
-    runs = cut(row_runs(labels))
-    b = runs.select((F.col("r") + 1).alias("r"), "label", F.col("run").alias("above"), F.col("first").alias("f2"), F.col("last").alias("l2"))
-    edges = runs.join(b, ["r", "label"]).where("first <= l2 AND f2 <= last").select(F.col("run").alias("a"), F.col("above").alias("b"))
-    roots = components(edges)
-    named = runs.join(roots, runs["run"] == roots["node"], "left").withColumn("region", F.coalesce("root", "run"))
-    regions = named.groupBy("region", F.col("label").alias("class_id")).agg(
-        F.sum(F.col("last") - F.col("first") + 1).alias("cell_count"), F.min("r").alias("min_r"), F.max("r").alias("max_r"), F.min("first").alias("min_c"), F.max("last").alias("max_c")
-    )
-    means = labels.groupBy(F.col("label").alias("class_id")).agg(F.avg("confidence").alias("mean_confidence"))
-    return regions.where(F.col("cell_count") >= least_cells).join(means, "class_id").withColumn("area", F.col("cell_count") * cell_area)
+    return _with_confidence(_regions(labels, least_cells)[1], labels, cell_area)
+
+
+def shapes(labels: DataFrame, cell_area: float = 1.0, least_cells: int = 10, geo: tuple[float, float, float, float, float, float] | None = None) -> DataFrame:
+    """:func:`polygons` with their geometry: ``holes`` (number) and ``wkt``, one polygon for each region.
+
+    Corners are those of cells (x = column, y = row) or, with ``geo`` = (x0, pw, rx,
+    y0, ry, ph), map coordinates to three decimals.  Shells run counter-clockwise
+    in those coordinates and holes clockwise; each ring starts at its first corner
+    by row and column, holes come in the order of those.
+
+    Where a region meets itself at a corner only, its outline crosses over there,
+    so that rings touch but never run through one point twice: a region that is
+    connected by edges then has one shell, and all its other rings are holes in it.
+    """
+    cells, regions, region_of = _regions(labels, least_cells)
+    ring = _ring_texts(_chained(cut(_segments(cells, region_of.join(regions.select("region"), "region", "left_semi")))), geo)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("hole", "ring", "points"))), lambda x: x["points"])
+    found = ring.groupBy("region").agg((F.count(F.lit(1)) - 1).alias("holes"), F.concat(F.lit("POLYGON ("), F.array_join(parts, ", "), F.lit(")")).alias("wkt"))
+    return _with_confidence(regions, labels, cell_area).join(found, "region")
+
+
+#: Directions of sides, in the order in which they follow around one cell: down its west, along its south, up its east, back along its north.
+_TURNS = "wsen"
+
+
+def _segments(cells: DataFrame, region_of: DataFrame) -> DataFrame:
+    """(seg, region, d, x1, y1, x2, y2): straight stretches of region edges, the region to their left (y down).
+
+    A stretch is known by its first corner and direction, packed so that its
+    number rises by row, then column.
+    """
+    side = lambda d, n, line, at: F.when(~F.col(n).eqNullSafe(F.col("label")), F.struct(F.lit(d).alias("d"), line.alias("line"), at.alias("at")))
+    r, c = F.col("r"), F.col("c")
+    open_sides = F.array_compact(F.array(side(0, "w", c, r), side(1, "s", r + 1, c), side(2, "e", c + 1, r), side(3, "n", r, c)))
+    sides = cells.select("run", F.explode(open_sides).alias("x")).join(region_of, "run").select("region", "x.*")
+    stretch = F.col("at") - F.row_number().over(Window.partitionBy("region", "d", "line").orderBy("at"))
+    d = sides.withColumn("g", stretch).groupBy("region", "d", "line", "g").agg(F.min("at").alias("a"), (F.max("at") + 1).alias("b"))
+    start, end = F.when(F.col("d") < 2, F.col("a")).otherwise(F.col("b")), F.when(F.col("d") < 2, F.col("b")).otherwise(F.col("a"))
+    upright = F.col("d") % 2 == 0
+    d = d.select("region", "d", F.when(upright, F.col("line")).otherwise(start).alias("x1"), F.when(upright, start).otherwise(F.col("line")).alias("y1"), F.when(upright, F.col("line")).otherwise(end).alias("x2"), F.when(upright, end).otherwise(F.col("line")).alias("y2"))
+    return d.withColumn("seg", F.shiftleft(F.col("y1"), 33) + F.shiftleft(F.col("x1"), 2) + F.col("d"))
+
+
+def _chained(segments: DataFrame) -> DataFrame:
+    """``segments`` with ``ring`` (the least segment of their ring) and ``place`` (from 0, which that one has).
+
+    Each segment points at the one that starts where it ends; of two it takes the
+    one that turns to the right, away from its own cell.  Rings are ranked by
+    pointer doubling: after k rounds a segment knows the least of the 2**k that
+    begin with it and how far that is, so that rounds grow with the logarithm of
+    the longest ring.
+    """
+    a, b = (segments.select("region", *[F.col(n).alias(f"{p}_{n}") for n in ("seg", "d", x, y)]) for p, x, y in (("a", "x2", "y2"), ("b", "x1", "y1")))
+    met = a.join(b, (a["region"] == b["region"]) & (F.col("a_x2") == F.col("b_x1")) & (F.col("a_y2") == F.col("b_y1")))
+    right = F.col("b_d") == (F.col("a_d") + 3) % 4
+    at = met.groupBy(F.col("a_seg").alias("seg")).agg(F.max(F.struct(right, "b_seg"))["b_seg"].alias("next"))
+    at = cut(at.select("seg", "next", F.col("seg").alias("ring"), F.lit(0).cast("long").alias("off"), F.lit(True).alias("moved")))
+    reach = 1
+    while not at.where("moved").isEmpty():
+        far = at.select(F.col("seg").alias("next"), F.col("next").alias("next2"), F.col("ring").alias("ring2"), F.col("off").alias("off2"))
+        lower = F.col("ring2") < F.col("ring")
+        at = cut(at.join(far, "next").select(
+            "seg", F.col("next2").alias("next"), F.least("ring", "ring2").alias("ring"), F.when(lower, F.col("off2") + reach).otherwise(F.col("off")).alias("off"), lower.alias("moved"),
+        ))
+        reach *= 2
+    # Farther from the ring's least segment is earlier, but for that one itself.
+    return segments.join(at.select("seg", "ring", F.when(F.col("off") > 0, -F.col("off")).otherwise(F.lit(-(1 << 62))).alias("place")), "seg")
+
+
+def _ring_texts(chained: DataFrame, geo: tuple[float, ...] | None) -> DataFrame:
+    """(region, ring, hole, points): a ring's corners as text, closed."""
+    twice = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))
+    rings = chained.groupBy("region", "ring").agg((twice > 0).alias("hole"), F.sort_array(F.collect_list(F.struct("place", "x1", "y1"))).alias("p"))
+    closed = F.concat("p", F.slice("p", 1, 1))
+    # Segments have their region on the left where y points down; map coordinates may turn the plane over.
+    if geo is None or geo[1] * geo[5] - geo[2] * geo[4] > 0:
+        closed = F.reverse(closed)
+    if geo is None:
+        corner = lambda p: F.concat_ws(" ", p["x1"], p["y1"])
+    else:
+        x0, pw, rx, y0, ry, ph = geo
+        corner = lambda p: F.format_string("%.3f %.3f", x0 + p["x1"] * pw + p["y1"] * rx, y0 + p["x1"] * ry + p["y1"] * ph)
+    return rings.select("region", "ring", "hole", F.concat(F.lit("("), F.array_join(F.transform(closed, corner), ", "), F.lit(")")).alias("points"))
 
 
 def outlines(labels: DataFrame) -> DataFrame:

@@ -540,6 +540,13 @@ def polygonise(spark, d):
     return rounded(p.select("class_id", "cell_count", "area", "min_r", "max_r", "min_c", "max_c", "mean_confidence"))
 
 
+@query(o.SEGMENT_SHAPES)
+def segment_shapes(spark, d):
+    z = F.col("z")
+    labels = s.dem_dense(spark, d).select("r", "c", F.when(z > 1, 1).when(z < -1, 2).otherwise(0).alias("label"), F.lit(0.5).alias("confidence"))
+    return detect.shapes(labels, 1.0, 10).select(F.col("class_id").cast("int").alias("class_id"), "cell_count", "holes", "wkt")
+
+
 @query(o.OUTLINES)
 def segment_outlines(spark, d):
     return detect.outlines(s.label_grid(spark, d))

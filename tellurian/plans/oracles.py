@@ -312,3 +312,32 @@ def ground_grid() -> str:
     head, tail = filtered.rsplit(" SELECT cloud.* FROM cloud JOIN", 1)
     body = IDW[len(ctes("cloud")) :].replace("cloud", "kept")
     return head + f", kept AS (SELECT cloud.* FROM cloud JOIN{tail})" + body
+
+#: Regions by closure over row runs, unit sides merged into stretches, rings by walking on from every stretch while no earlier one is met.
+SEGMENT_SHAPES = (
+    ctes("dem") + """, lab AS MATERIALIZED (SELECT r, c, CASE WHEN z > 1 THEN 1 WHEN z < -1 THEN 2 END AS label FROM dem WHERE z > 1 OR z < -1),
+    runs AS MATERIALIZED (SELECT r, label, min(c)::BIGINT AS first, max(c)::BIGINT AS last, r * 100000 + min(c) AS run FROM (
+        SELECT r, c, label, c - row_number() OVER (PARTITION BY r, label ORDER BY c) AS g FROM lab) GROUP BY r, label, g),
+    links AS MATERIALIZED (SELECT a.run AS a, b.run AS b FROM runs a JOIN runs b ON abs(b.r - a.r) = 1 AND b.label = a.label AND a.first <= b.last AND b.first <= a.last),
+    near(run, other) AS (SELECT run, run FROM runs UNION SELECT n.run, l.b FROM near n JOIN links l ON l.a = n.other),
+    roots AS MATERIALIZED (SELECT run, min(other) AS region FROM near GROUP BY run),
+    big AS MATERIALIZED (SELECT region, any_value(label) AS class_id, sum(last - first + 1)::BIGINT AS cell_count FROM runs JOIN roots USING (run) GROUP BY region HAVING sum(last - first + 1) >= 10),
+    own AS MATERIALIZED (SELECT lab.r, lab.c, k.region FROM lab JOIN runs u ON u.r = lab.r AND lab.c BETWEEN u.first AND u.last JOIN roots k USING (run) JOIN big USING (region)),
+    sides AS (
+        SELECT region, 0 AS d, c::BIGINT AS line, r AS p FROM own o WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.region = o.region AND x.r = o.r AND x.c = o.c - 1)
+        UNION ALL SELECT region, 1, r + 1, c FROM own o WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.region = o.region AND x.r = o.r + 1 AND x.c = o.c)
+        UNION ALL SELECT region, 2, c + 1, r FROM own o WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.region = o.region AND x.r = o.r AND x.c = o.c + 1)
+        UNION ALL SELECT region, 3, r, c FROM own o WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.region = o.region AND x.r = o.r - 1 AND x.c = o.c)),
+    lines AS (SELECT region, d, line, min(p) AS a, max(p) + 1 AS b FROM (SELECT *, p - row_number() OVER (PARTITION BY region, d, line ORDER BY p) AS g FROM sides) GROUP BY region, d, line, g),
+    segs AS MATERIALIZED (SELECT *, y1 * 1000000 + x1 * 4 + d AS seg FROM (SELECT region, d,
+        CASE d WHEN 0 THEN line WHEN 1 THEN a WHEN 2 THEN line ELSE b END AS x1, CASE d WHEN 0 THEN a WHEN 1 THEN line WHEN 2 THEN b ELSE line END AS y1,
+        CASE d WHEN 0 THEN line WHEN 1 THEN b WHEN 2 THEN line ELSE a END AS x2, CASE d WHEN 0 THEN b WHEN 1 THEN line WHEN 2 THEN a ELSE line END AS y2 FROM lines)),
+    succ AS MATERIALIZED (SELECT p.seg, p.region, p.x1, p.y1, p.x2, p.y2, arg_max(q.seg, ((q.d - p.d + 4) % 4 = 3)::INT) AS nxt
+        FROM segs p JOIN segs q ON q.region = p.region AND q.x1 = p.x2 AND q.y1 = p.y2 GROUP BY ALL),
+    walk(start, seg, nxt, step) AS (SELECT seg, seg, nxt, 0 FROM succ UNION ALL SELECT w.start, s.seg, s.nxt, w.step + 1 FROM walk w JOIN succ s ON s.seg = w.nxt WHERE w.nxt > w.start),
+    rings AS (SELECT s.region, w.start, sum(s.x1 * s.y2 - s.x2 * s.y1) > 0 AS hole,
+        '(' || arg_min(s.x1 || ' ' || s.y1, w.step) || ', ' || string_agg(s.x1 || ' ' || s.y1, ', ' ORDER BY w.step DESC) || ')' AS ring
+        FROM walk w JOIN succ s USING (seg) WHERE w.start IN (SELECT start FROM walk WHERE nxt = start) GROUP BY s.region, w.start)
+    SELECT any_value(class_id) AS class_id, any_value(cell_count) AS cell_count, count(*) - 1 AS holes, 'POLYGON (' || string_agg(ring, ', ' ORDER BY hole, start) || ')' AS wkt
+    FROM rings JOIN big USING (region) GROUP BY region"""
+)

@@ -91,3 +91,70 @@ def test_segmentation_and_names(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in spark.createDataFrame([(0,), (5,), (-1,)], "k int").select(detect.class_name(["a"], F.col("k"))).collect()] == ["a", "class_5", "class_-1"]
+
+
+def rings_of(wkt):
+    inner = wkt.removeprefix("POLYGON ((").removesuffix("))")
+    return [[tuple(int(v) for v in p.split()) for p in ring.split(", ")] for ring in inner.split("), (")]
+
+
+def signed(ring):
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
+
+
+def cells_of(rings, rows, cols):
+    """Cells whose centre a ray to the left crosses an odd number of sides for."""
+    out = set()
+    for r in range(rows):
+        walls = sorted(a[0] for ring in rings for a, b in zip(ring, ring[1:], strict=False) if a[0] == b[0] and min(a[1], b[1]) <= r < max(a[1], b[1]))
+        out |= {(r, c) for c in range(cols) if sum(x <= c for x in walls) % 2}
+    return out
+
+
+def regions_of(labels):
+    seen, out = set(), []
+    for start, k in labels.items():
+        if not k or start in seen:
+            continue
+        todo, region = [start], {start}
+        while todo:
+            r, c = todo.pop()
+            for p in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                if p not in region and labels.get(p) == k:
+                    region.add(p)
+                    todo.append(p)
+        seen |= region
+        out.append((k, region))
+    return out
+
+
+def test_shapes_with_holes_and_diagonal_contacts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    labels = {(r, c): int(rng.choice([0, 1, 1, 2])) for r in range(24) for c in range(24)}
+    # A ring around a ring around a block, and a ring that closes at a corner only.
+    for r in range(15):
+        for c in range(15):
+            depth = min(r, c, 14 - r, 14 - c)
+            labels[(r, c + 24)] = (2, 1, 1, 0, 2, 0, 1, 1)[depth]
+    for r, c in ((16, 25), (16, 26), (17, 25), (18, 25), (18, 26), (18, 27), (17, 28), (16, 28), (15, 28), (15, 27), (15, 26), (15, 25)):
+        labels[(r, c)] = 1
+    d = spark.createDataFrame([(r, c, k, 0.5) for (r, c), k in labels.items()], "r long, c int, label int, confidence double")
+    cuts = []
+    real = detect.cut
+    monkeypatch.setattr(detect, "cut", lambda df: cuts.append(1) or real(df))
+    got = detect.shapes(d, 1.0, 1).collect()
+    want = sorted((k, sorted(cells)) for k, cells in regions_of(labels))
+    shown = []
+    for g in got:
+        rings = rings_of(g.wkt)
+        assert signed(rings[0]) > 0 and all(signed(r) < 0 for r in rings[1:]) and g.holes == len(rings) - 1
+        assert sum(map(signed, rings)) == g.cell_count == g.area
+        assert all(r[0] == r[-1] and len(set(r)) == len(r) - 1 for r in rings), "a ring runs through a point once"
+        shown.append((g.class_id, sorted(cells_of(rings, 40, 40))))
+    assert sorted(shown) == want and max(g.holes for g in got) >= 2
+    longest = max(len(r) for g in got for r in rings_of(g.wkt))
+    assert len(cuts) <= 4 + 2 + np.log2(longest), "rounds grow with the logarithm of the longest ring"
+    small = detect.shapes(d, 0.25, 1, (100.0, 0.5, 0.0, 200.0, 0.0, -0.5)).where("cell_count = 1").first()
+    pts = [tuple(map(float, p.split())) for p in small.wkt.removeprefix("POLYGON ((").removesuffix("))").split(", ")]
+    assert signed(pts) == 0.25
+    assert detect.shapes(d.where("label = 9"), 1.0, 1).count() == 0
