@@ -11,6 +11,7 @@ from tellurian.operators import horizon, stencil
 from tellurian.operators.blend import MODES, aligned, clip, extremes, unit_range
 from tellurian.operators.grid import grid_stats
 from tellurian.operators.lineage import cut
+from tellurian.operators.warp import Affine, Geo, Reprojection, warp
 
 
 def detection_limit(rmse_old: float = 0.15, rmse_new: float = 0.15, confidence: float = 1.96) -> float:
@@ -59,23 +60,6 @@ def resample_bilinear(cells: DataFrame, factor: float, rows: int, cols: int, las
     return j.select("r", "c", F.when(F.col("n") == 4, F.col("v")).alias("z"))
 
 
-def _cubic(t: Column) -> Column:
-    return F.when(t < 1, (1.5 * t - 2.5) * t * t + 1).when(t < 2, ((-0.5 * t + 2.5) * t - 4) * t + 2).otherwise(0.0)
-
-
-def _cubic_spline(t: Column) -> Column:
-    return F.when(t < 1, (4 - 6 * t * t + 3 * t * t * t) / 6).when(t < 2, (2 - t) * (2 - t) * (2 - t) / 6).otherwise(0.0)
-
-
-def _lanczos(t: Column) -> Column:
-    x = t * math.pi
-    return F.when(t < 1e-9, 1.0).when(t < 3, 3 * F.sin(x) * F.sin(x / 3) / (x * x)).otherwise(0.0)
-
-
-#: Weight at a distance in source cells, and how far it reaches.
-RESAMPLERS = {"bilinear": (lambda t: F.greatest(1 - t, F.lit(0.0)), 1), "cubic": (_cubic, 2), "cubic_spline": (_cubic_spline, 2), "lanczos": (_lanczos, 3)}
-
-
 def axis_map(source_start: float, source_step: float, target_start: float, target_step: float) -> tuple[float, float]:
     """(scale, offset): target cell i has its centre at source position i * scale + offset, in whole source cells."""
     scale = target_step / source_step
@@ -83,46 +67,20 @@ def axis_map(source_start: float, source_step: float, target_start: float, targe
 
 
 def resample(cells: DataFrame, how: str, rows: int, cols: int, map_r: tuple[float, float], map_c: tuple[float, float]) -> DataFrame:
-    """(r, c, z) on any axis-parallel grid: a weighted equi-join of target cells with the source cells around their centres.
+    """(r, c, z) on any axis-parallel grid; ``map_r`` and ``map_c`` are those of :func:`axis_map`, ``how`` is one of ``warp.KERNELS``."""
+    return warp(cells, Affine(map_r, map_c), rows, cols, how)
 
-    ``map_r`` and ``map_c`` are those of :func:`axis_map`.  On a coarser grid the
-    kernel is stretched with it.  Weights of valid cells inside the source add up
-    to one; a target is null where the source cell under its centre is null or
-    there is none.
-    """
-    if how not in RESAMPLERS:
-        raise ValueError(f"Unknown resampling method: {how}")
-    weight, reach = RESAMPLERS[how]
-    target = cells.sparkSession.range(rows).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
-    at = {n: F.col(n) * scale + offset for n, (scale, offset) in (("r", map_r), ("c", map_c))}
-    wide = {n: max(1.0, scale) for n, (scale, _) in (("r", map_r), ("c", map_c))}
-
-    def taps(n: str) -> Column:
-        far = math.ceil(reach * wide[n])
-        place = F.floor(at[n])
-        return F.transform(F.sequence(F.lit(1 - far), F.lit(far)), lambda k: F.struct((place + k).alias("i"), weight(F.abs(place + k - at[n]) / wide[n]).alias("w")))
-
-    p = target.withColumn("a", F.explode(taps("r"))).withColumn("b", F.explode(taps("c")))
-    p = p.select("r", "c", F.col("a.i").alias("sr"), F.col("b.i").alias("sc"), (F.col("a.w") * F.col("b.w")).alias("w"), ((F.col("a.i") == F.floor(at["r"] + 0.5)) & (F.col("b.i") == F.floor(at["c"] + 0.5))).alias("under"))
-    s = cells.select(F.col("r").alias("sr"), F.col("c").cast("long").alias("sc"), "z").where("z IS NOT NULL")
-    j = p.join(s, ["sr", "sc"], "left").groupBy("r", "c").agg(
-        F.sum(F.col("w") * F.col("z")).alias("v"), F.sum(F.when(F.col("z").isNotNull(), F.col("w"))).alias("total"), F.max(F.col("under") & F.col("z").isNotNull()).alias("known")
-    )
-    return j.select("r", "c", F.when(F.col("known") & (F.abs("total") > 1e-12), F.col("v") / F.col("total")).alias("z"))
 
+def match_grid(cells: DataFrame, source: Geo, target: Geo, rows: int, cols: int, how: str = "bilinear", source_crs: str | None = None, target_crs: str | None = None) -> DataFrame:
+    """Cells on another grid, also of another coordinate system; grids are (x0, cell width, y0, cell height).
 
-Geo = tuple[float, float, float, float]
-
-
-def match_grid(cells: DataFrame, source: Geo, target: Geo, rows: int, cols: int, how: str = "bilinear") -> DataFrame:
-    """Cells on another grid of the same coordinate system; grids are (x0, cell width, y0, cell height)."""
+    Systems are authority ids (see ``project.system``); without both of them, or
+    with the same twice, the grids share one.
+    """
+    if source_crs and target_crs and source_crs.upper() != target_crs.upper():
+        return warp(cells, Reprojection(source, source_crs, target, target_crs), rows, cols, how)
     map_c, map_r = axis_map(source[0], source[1], target[0], target[1]), axis_map(source[2], source[3], target[2], target[3])
-    if how != "nearest":
-        return resample(cells, how, rows, cols, map_r, map_c)
-    target_cells = cells.sparkSession.range(rows).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
-    under = lambda n, m: F.floor(F.col(n) * m[0] + m[1] + 0.5)
-    s = cells.select(F.col("r").alias("sr"), F.col("c").cast("long").alias("sc"), "z")
-    return target_cells.select("r", "c", under("r", map_r).alias("sr"), under("c", map_c).alias("sc")).join(s, ["sr", "sc"], "left").select("r", "c", "z")
+    return resample(cells, how, rows, cols, map_r, map_c)
 
 
 def misalignment(crs_a: Column, crs_b: Column, extent_a: Column, extent_b: Column) -> Column:
@@ -138,10 +96,10 @@ def misalignment(crs_a: Column, crs_b: Column, extent_a: Column, extent_b: Colum
     return F.when(crs_a != crs_b, F.concat(F.lit("coordinate systems differ: "), crs_a, F.lit(", "), crs_b)).when(apart, "extents differ")
 
 
-def difference_on_grid(old: DataFrame, new: DataFrame, old_geo: Geo, new_geo: Geo, limit: float, how: str = "bilinear") -> DataFrame:
-    """:func:`difference` after bringing the new surface onto the old one's grid."""
+def difference_on_grid(old: DataFrame, new: DataFrame, old_geo: Geo, new_geo: Geo, limit: float, how: str = "bilinear", old_crs: str | None = None, new_crs: str | None = None) -> DataFrame:
+    """:func:`difference` after bringing the new surface onto the old one's grid and coordinate system."""
     s = grid_stats(old)
-    matched = match_grid(new, new_geo, old_geo, s.last_r + 1, s.last_c + 1, how)
+    matched = match_grid(new, new_geo, old_geo, s.last_r + 1, s.last_c + 1, how, new_crs, old_crs)
     return difference(old, matched, limit)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurian.functions import records, scale, text
-from tellurian.operators import blend, change, detect, grid, horizon, inference, points, stencil
+from tellurian.operators import blend, change, detect, grid, horizon, inference, points, project, stencil
 from tellurian.operators.lineage import reserve
 from tellurian.plans import oracles as o
 from tellurian.sources import files
@@ -402,6 +402,25 @@ for _kind in ("cubic", "cubic_spline", "lanczos"):
     query(o.resampled("band_dem", "z", _kind, 0.5, -0.25, _HALF), name=f"resample_{_kind}")(_finer)
 
 
+@query(o.REPROJECT_POINTS)
+def reproject_points(spark, d):
+    """Points of one zone of six degrees in degrees and in the next zone."""
+    there = s.cloud(spark, d).select("id", (714_900 + F.col("x") * 400).alias("x"), (5_546_000 - F.col("y") * 400).alias("y"))
+    degrees = project.reproject(there, "EPSG:32631", "EPSG:4326", out=("lon", "lat"))
+    moved = project.reproject(degrees, "EPSG:4326", "EPSG:32632", "lon", "lat", ("x", "y"))
+    return rounded(rounded(moved, "lon", "lat", digits=7), "x", "y", digits=2)
+
+
+#: A grid in one zone, and one in the next whose cells are wider and turned by four and a half degrees against it.
+_ZONE_OLD, _ZONE_NEW = (714_900.0, 10.0, 5_546_000.0, -10.0), (284_700.0, 16.0, 5_546_250.0, -12.0)
+
+
+@query(o.reprojected_difference(_ZONE_OLD, _ZONE_NEW, _LIMIT))
+def reprojected_difference(spark, d):
+    """Two surfaces in two zones; a nanometre moves the sixth decimal of so rough a surface, so that two are compared."""
+    return rounded(change.difference_on_grid(s.dem_dense(spark, d), s.dem_new(spark, d), _ZONE_OLD, _ZONE_NEW, _LIMIT, "bilinear", "EPSG:32631", "EPSG:32632"), digits=2)
+
+
 _SOURCE, _TARGET = (0.0, 1.0, 0.0, -1.0), (0.3, 1.7, -0.3, -1.7)
 
 

@@ -341,3 +341,50 @@ SEGMENT_SHAPES = (
     SELECT any_value(class_id) AS class_id, any_value(cell_count) AS cell_count, count(*) - 1 AS holes, 'POLYGON (' || string_agg(ring, ', ' ORDER BY hole, start) || ')' AS wkt
     FROM rings JOIN big USING (region) GROUP BY region"""
 )
+
+_A, _F = "6378137.0::DOUBLE", "(1 / 298.257223563::DOUBLE)"
+#: n, the third flattening, e, the eccentricity, and a, the radius of the quarter meridian, with Krueger's coefficients.
+_KRUEGER = f"""k0 AS (SELECT {_F} / (2 - {_F}) AS n, sqrt({_F} * (2 - {_F})) AS e),
+    k AS (SELECT n, e, 0.9996::DOUBLE * {_A} / (1 + n) * (1 + pow(n, 2) / 4 + pow(n, 4) / 64) AS a,
+        n / 2 - pow(n, 2) * 2 / 3 + pow(n, 3) * 5 / 16 + pow(n, 4) * 41 / 180 AS a1, pow(n, 2) * 13 / 48 - pow(n, 3) * 3 / 5 + pow(n, 4) * 557 / 1440 AS a2, pow(n, 3) * 61 / 240 - pow(n, 4) * 103 / 140 AS a3, pow(n, 4) * 49561 / 161280 AS a4,
+        n / 2 - pow(n, 2) * 2 / 3 + pow(n, 3) * 37 / 96 - pow(n, 4) / 360 AS b1, pow(n, 2) / 48 + pow(n, 3) / 15 - pow(n, 4) * 437 / 1440 AS b2, pow(n, 3) * 17 / 480 - pow(n, 4) * 37 / 840 AS b3, pow(n, 4) * 4397 / 161280 AS b4 FROM k0)"""
+
+
+def _sum(c: str, f: str, g: str, x: str, y: str) -> str:
+    return "(" + " + ".join(f"{c}{j} * {f}({2 * j} * {x}) * {g}({2 * j} * {y})" for j in range(1, 5)) + ")"
+
+
+def zone_to_degrees(points: str, meridian: float) -> str:
+    """CTE bodies from ``points`` (x, y and others) to ``degrees`` (lat and lon in radians); the latitude by fixed points of its definition."""
+    latitude = "gd"
+    for _ in range(8):
+        latitude = f"atan(sinh(asinh(tan(gd)) + e * atanh(e * sin({latitude}))))"
+    return f"""p1 AS (SELECT p.*, k.*, y / a AS xi, (x - 500000) / a AS eta FROM {points} p, k),
+    p2 AS (SELECT *, xi - {_sum("b", "sin", "cosh", "xi", "eta")} AS u, eta - {_sum("b", "cos", "sinh", "xi", "eta")} AS v FROM p1),
+    p3 AS (SELECT *, asin(sin(u) / cosh(v)) AS gd, radians({meridian}::DOUBLE) + atan2(sinh(v), cos(u)) AS lon FROM p2),
+    degrees AS (SELECT *, {latitude} AS lat FROM p3)"""
+
+
+def degrees_to_zone(meridian: float) -> str:
+    """CTE bodies from ``degrees`` to ``placed`` (px, py)."""
+    return f"""q1 AS (SELECT *, tan(lat) AS t, sinh(e * atanh(e * tan(lat) / sqrt(1 + tan(lat) * tan(lat)))) AS s, lon - radians({meridian}::DOUBLE) AS lam FROM degrees),
+    q2 AS (SELECT *, t * sqrt(1 + s * s) - s * sqrt(1 + t * t) AS tt FROM q1),
+    q3 AS (SELECT *, atan2(tt, cos(lam)) AS f, asinh(sin(lam) / sqrt(tt * tt + cos(lam) * cos(lam))) AS g FROM q2),
+    placed AS (SELECT *, 500000 + a * (g + {_sum("a", "cos", "sinh", "f", "g")}) AS px, a * (f + {_sum("a", "sin", "cosh", "f", "g")}) AS py FROM q3)"""
+
+
+REPROJECT_POINTS = (
+    ctes("cloud") + f""", moved AS (SELECT id, 714900 + x * 400 AS x, 5546000 - y * 400 AS y FROM cloud), {_KRUEGER}, {zone_to_degrees("moved", 3)}, {degrees_to_zone(9)}
+    SELECT id, round(degrees(lon), 7) AS lon, round(degrees(lat), 7) AS lat, round(px, 2) AS x, round(py, 2) AS y FROM placed"""
+)
+
+
+def reprojected_difference(old: tuple[float, ...], new: tuple[float, ...], limit: float) -> str:
+    """Bilinear values of dem_new on the grid of dem, less dem."""
+    return ctes("dem", "dem_new") + f""", centres AS (SELECT r, c, z, {old[0]}::DOUBLE + (c + 0.5::DOUBLE) * {old[1]} AS x, {old[2]}::DOUBLE + (r + 0.5::DOUBLE) * {old[3]} AS y FROM dem),
+    {_KRUEGER}, {zone_to_degrees("centres", 3)}, {degrees_to_zone(9)},
+    spot AS (SELECT r, c, z, (py - {new[2]}::DOUBLE) / {new[3]} - 0.5::DOUBLE AS sr, (px - {new[0]}::DOUBLE) / {new[1]} - 0.5::DOUBLE AS sc FROM placed),
+    taps AS (SELECT a.r, a.c, any_value(a.z) AS z, sum(n.z * (1 - abs(n.r - sr)) * (1 - abs(n.c - sc))) / sum((1 - abs(n.r - sr)) * (1 - abs(n.c - sc))) AS v, bool_or(n.r = floor(sr + 0.5::DOUBLE) AND n.c = floor(sc + 0.5::DOUBLE)) AS under
+        FROM (SELECT spot.*, floor(sr)::BIGINT + i.range AS tr, floor(sc)::BIGINT + j.range AS tc FROM spot, range(2) i, range(2) j) a LEFT JOIN dem_new n ON n.r = a.tr AND n.c = a.tc AND n.z IS NOT NULL GROUP BY a.r, a.c),
+    d AS (SELECT r, c, CASE WHEN under THEN v END - z AS dod FROM taps)
+    SELECT r, c, round(dod, 2) AS dod, CASE WHEN dod IS NULL THEN 255 WHEN dod < -{limit!r}::DOUBLE THEN 1 WHEN dod > {limit!r}::DOUBLE THEN 2 ELSE 0 END AS mask FROM d"""
