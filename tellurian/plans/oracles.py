@@ -387,4 +387,4 @@ def reprojected_difference(old: tuple[float, ...], new: tuple[float, ...], limit
     taps AS (SELECT a.r, a.c, any_value(a.z) AS z, sum(n.z * (1 - abs(n.r - sr)) * (1 - abs(n.c - sc))) / sum((1 - abs(n.r - sr)) * (1 - abs(n.c - sc))) AS v, bool_or(n.r = floor(sr + 0.5::DOUBLE) AND n.c = floor(sc + 0.5::DOUBLE)) AS under
         FROM (SELECT spot.*, floor(sr)::BIGINT + i.range AS tr, floor(sc)::BIGINT + j.range AS tc FROM spot, range(2) i, range(2) j) a LEFT JOIN dem_new n ON n.r = a.tr AND n.c = a.tc AND n.z IS NOT NULL GROUP BY a.r, a.c),
     d AS (SELECT r, c, CASE WHEN under THEN v END - z AS dod FROM taps)
-    SELECT r, c, round(dod, 2) AS dod, CASE WHEN dod IS NULL THEN 255 WHEN dod < -{limit!r}::DOUBLE THEN 1 WHEN dod > {limit!r}::DOUBLE THEN 2 ELSE 0 END AS mask FROM d"""
+    SELECT r, c, round(dod, 2) + 0.0::DOUBLE AS dod, CASE WHEN dod IS NULL THEN 255 WHEN dod < -{limit!r}::DOUBLE THEN 1 WHEN dod > {limit!r}::DOUBLE THEN 2 ELSE 0 END AS mask FROM d"""
