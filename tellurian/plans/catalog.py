@@ -17,7 +17,7 @@ from tellurian.functions import records, scale, text
 from tellurian.operators import blend, change, detect, grid, horizon, inference, points, project, stencil
 from tellurian.operators.lineage import reserve
 from tellurian.plans import oracles as o
-from tellurian.sources import files
+from tellurian.sources import files, geotiff
 from tellurian.sources import surfaces as s
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -341,6 +341,22 @@ def pyramid(spark, d):
     return rounded(blend.pyramid(s.dem_dense(spark, d), 2))
 
 
+@query(s.ctes("dem_new") + " SELECT r, c, round(z, 6) AS z FROM dem_new WHERE r >= 10 AND c BETWEEN 5 AND 60")
+def geotiff_window(spark, d):
+    """A surface written as sheets of tiles and a window read back: rows and columns reach the tile index."""
+    path = reserve(spark, "geotiff")
+    geotiff.write_geotiff(s.dem_new(spark, d), path, sheet=128, tile=16, overviews=2)
+    return rounded(geotiff.read_geotiff(spark, path).where("r >= 10 AND c BETWEEN 5 AND 60"))
+
+
+@query(s.ctes("dem_new") + " SELECT r // 2 AS r, (c // 2)::INT AS c, round(avg(z), 6) AS z FROM dem_new GROUP BY ALL")
+def geotiff_overview(spark, d):
+    path = reserve(spark, "geotiff")
+    geotiff.write_geotiff(s.dem_new(spark, d), path, sheet=128, tile=16, overviews=2)
+    rows = s.dem_new(spark, d).agg(F.max("r")).first()[0] // 2
+    return rounded(geotiff.read_geotiff(spark, path, level=1).where(F.col("r") <= rows))
+
+
 # --- change, resampling, fusion -----------------------------------------------------------------
 
 _LIMIT = change.detection_limit()
