@@ -24,6 +24,7 @@ from tellurian.functions.text import redact
 from tellurian.operators.grid import from_nodata, to_nodata
 from tellurian.operators.lineage import cut
 from tellurian.operators.points import ground_surface
+from tellurian.sources.las import read_las
 
 CELLS = "r long, c int, z double"
 
@@ -59,35 +60,6 @@ def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     return from_nodata(raw.mapInPandas(unpack, f"path string, {CELLS}"), None)
 
 
-def read_las(spark: SparkSession, path: str, chunk: int = 1 << 18) -> DataFrame:
-    """Points (path, x, y, z, classification) of uncompressed LAS 1.2-1.4 files.
-
-    A file is one row of Spark's reader and is unpacked in chunks by one task, so
-    that large surveys should come, as they do, in many files.  Compressed (LAZ)
-    files are refused.
-    """
-
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, data in zip(frame["path"], frame["content"], strict=True):
-                if data[:4] != b"LASF":
-                    raise ValueError(f"{name} is not a LAS file")
-                if data[104] & 128:
-                    raise ValueError(f"{name} is compressed; unpack LAZ files first")
-                offset, kind, size, count = struct.unpack_from("<I", data, 96)[0], data[104] & 63, *struct.unpack_from("<HI", data, 105)
-                if data[25] >= 4 and count == 0:
-                    count = struct.unpack_from("<Q", data, 247)[0]
-                sx, sy, sz, ox, oy, oz = struct.unpack_from("<6d", data, 131)
-                class_at, class_bits = (16, 255) if kind >= 6 else (15, 31)
-                for at in range(0, count, chunk):
-                    n = min(chunk, count - at)
-                    rows = np.frombuffer(data, np.uint8, n * size, offset + at * size).reshape(n, size)
-                    xyz = np.ascontiguousarray(rows[:, :12]).view("<i4")
-                    yield pd.DataFrame({"path": name, "x": xyz[:, 0] * sx + ox, "y": xyz[:, 1] * sy + oy, "z": xyz[:, 2] * sz + oz, "classification": (rows[:, class_at] & class_bits).astype(np.int32)})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "path string, x double, y double, z double, classification int")
-
-
 def las_surface(spark: SparkSession, path: str, cellsize: float, ground: str = "pmf_archaeology_standard", radius: float | None = None) -> DataFrame:
     """(r, c, z) from LAS files: read, ground filter, gridding; an error for fewer than ten points."""
     p = cut(read_las(spark, path).select(F.monotonically_increasing_id().alias("id"), "x", "y", "z", "classification"))
@@ -105,6 +77,9 @@ def las_bytes(x: np.ndarray, y: np.ndarray, z: np.ndarray, classification: np.nd
     rows = np.zeros((len(x), 20), np.uint8)
     rows[:, :12] = np.round(np.stack([x, y, z], axis=1) / scale).astype("<i4").view(np.uint8).reshape(len(x), 12)
     rows[:, 15] = classification
+    if len(x):
+        xyz = rows[:, :12].copy().view("<i4") * scale
+        struct.pack_into("<6d", head, 179, *[float(f(xyz[:, k])) for k in range(3) for f in (np.max, np.min)])
     return bytes(head) + rows.tobytes()
 
 

@@ -48,7 +48,8 @@ class GeoTiffError(ValueError):
     """A file that is not, or not a whole, GeoTIFF of a kind that can be read."""
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
+def open_path(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and its name there."""
     if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", path):
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), path
@@ -130,7 +131,7 @@ class _Fields:
 
 def images(path: str) -> list[Image]:
     """The images of a file: the base, then its overviews; an error for what is not a whole file."""
-    fs, name = _open(path)
+    fs, name = open_path(path)
     with fs.open_input_file(name) as file:
         size = file.size()
         head = file.read(16)
@@ -293,7 +294,7 @@ class GeoTiffReader(DataSourceReader):
         if partition is None:  # nothing to read
             return
         image, index = partition.value
-        fs, name = _open(image.path)
+        fs, name = open_path(image.path)
         bands = [n for n in self.names if n not in ("r", "c")]
         kinds = {"r": pa.int64(), "c": pa.int32()}
         with fs.open_input_file(name) as file:
@@ -320,7 +321,7 @@ class GeoTiffReader(DataSourceReader):
 
 def files_of(path: str) -> list[str]:
     """The file, or the sheets of the folder, at ``path``."""
-    fs, name = _open(path)
+    fs, name = open_path(path)
     info = fs.get_file_info(name)
     if info.type == pafs.FileType.NotFound:
         raise GeoTiffError(f"There is no file {path}")
@@ -348,12 +349,12 @@ class GeoTiffWriter(DataSourceArrowWriter):
         self.epsg = int(options.get("epsg", 0))
         self.bands = [f.name for f in schema.fields if f.name not in ("sheet_r", "sheet_c", "r", "c")]
         self.scratch = f"{self.path}/_temporary-{uuid.uuid4().hex}"
-        fs, name = _open(self.path)
+        fs, name = open_path(self.path)
         if not overwrite and fs.get_file_info(name).type != pafs.FileType.NotFound:
             raise GeoTiffError(f"{self.path} is there already")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> SheetMessage:
-        fs, scratch = _open(self.scratch)
+        fs, scratch = open_path(self.scratch)
         fs.create_dir(scratch)
         names: list[str] = []
         at, cells, size = None, None, [0, 0]
@@ -384,8 +385,8 @@ class GeoTiffWriter(DataSourceArrowWriter):
         return part
 
     def commit(self, messages: list[SheetMessage | None]) -> None:
-        fs, root = _open(self.path)
-        _, scratch = _open(self.scratch)
+        fs, root = open_path(self.path)
+        _, scratch = open_path(self.scratch)
         parts = [n for m in messages if m for n in m.names]
         if self.overwrite:
             for i in fs.get_file_info(pafs.FileSelector(root)):
@@ -396,10 +397,10 @@ class GeoTiffWriter(DataSourceArrowWriter):
         fs.delete_dir(scratch)
 
     def abort(self, messages: list[SheetMessage | None]) -> None:
-        fs, scratch = _open(self.scratch)
+        fs, scratch = open_path(self.scratch)
         if fs.get_file_info(scratch).type == pafs.FileType.Directory:
             fs.delete_dir(scratch)
-        _, root = _open(self.path)
+        _, root = open_path(self.path)
         if fs.get_file_info(root).type == pafs.FileType.Directory and not fs.get_file_info(pafs.FileSelector(root)):
             fs.delete_dir(root)
 
