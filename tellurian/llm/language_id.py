@@ -8,9 +8,13 @@ a bounded, hash-chosen sample of labelled documents.
 
 A text of any length is read in chunks, each with ``CONTEXT`` bytes of its
 neighbours on either side, over which the state is warmed up but nothing is
-labelled: the state is carried across words and across chunks, while the chunks
-of many texts advance side by side.  Every text is answered on its own; no other
-text has a share in its states.
+labelled: the state is carried across words but begins anew with each chunk's
+context, while the chunks of many texts advance side by side.  Every text is
+answered on its own; no other text has a share in its states.
+
+A softmax shares all of its mass among the languages that it knows, whatever it
+reads.  :class:`Statistics` says how likely the letters of a text are in any of
+them, so that a caller can turn away what is none of them.
 """
 
 from __future__ import annotations
@@ -257,12 +261,88 @@ def train(rows: list[tuple[str, str]], **fit) -> Gru | None:
     return net
 
 
+#: Letters that are told apart; all other bytes are one more.
+KINDS = 62
+#: Every so many sampled rows are kept from the counts, and their scores set the bound.
+CALIBRATE = 5
+#: A text is familiar if its score is no lower than this quantile of those, less so many nats a letter.
+QUANTILE = 0.002
+ROOM = 1.5
+
+
+class Statistics:
+    """Log-likelihood a letter byte of a text, each word in the learned language that explains it best.
+
+    A byte's chance follows from the two before it in its word, smoothed with one
+    and with none; bytes that are no letters, digits too, only end words.  Words
+    go by their own best language, so that a text of two learned languages is
+    familiar.
+    """
+
+    def __init__(self, rows: list[tuple[str, str]]) -> None:
+        held, counted = rows[::CALIBRATE], [r for i, r in enumerate(rows) if i % CALIBRATE]
+        share = np.zeros(256, np.int64)
+        for text, _ in counted:
+            share += np.bincount(_bytes_of(text.encode()), minlength=256)
+        share[~_IS_LETTER] = 0
+        own = np.argsort(-share, kind="stable")[:KINDS]
+        own = own[share[own] > 0]
+        # Kind 0 ends a word, 1 is any other letter byte.
+        self.kind = np.where(_IS_LETTER, 1, 0).astype(np.int64)
+        self.kind[own] = np.arange(2, 2 + len(own))
+        self.kinds = 2 + len(own)
+        others = max(1, int(_IS_LETTER.sum()) - len(own))
+        languages = sorted({k for _, k in counted})
+        self.tables = np.stack([self._table([t for t, k in counted if k == language], others) for language in languages]) if languages else np.zeros((0, 0), np.float32)
+        scores = self.score([t.encode() for t, _ in held]) if languages else np.zeros(0)
+        scores = scores[np.isfinite(scores)]
+        self.bound = float(np.quantile(scores, QUANTILE)) - ROOM if len(scores) else -np.inf
+
+    def _places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context and letter as one number, whether a word begins, text) of every letter byte."""
+        z = self.kind[_bytes_of(b" ".join(texts) + b" ")]
+        one = np.concatenate([[0], z[:-1]])
+        two = np.concatenate([[0, 0], z[:-2]])[: len(z)] * (one > 0)
+        at = np.flatnonzero(z)
+        owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+        return ((two * self.kinds + one) * self.kinds + z)[at], one[at] == 0, owner[at]
+
+    def _table(self, texts: list[str], others: int) -> np.ndarray:
+        k = self.kinds
+        three = np.zeros(k**3)
+        for text in texts:
+            three += np.bincount(self._places([text.encode()])[0], minlength=k**3)
+        three = three.reshape(k, k, k)
+        two = three.sum(axis=0)
+        one = two.sum(axis=0) + 0.5
+        one[0] = 0
+        p = one / one.sum()
+        for counts in (two, three):
+            p = (counts + 4 * p) / (counts.sum(axis=-1, keepdims=True) + 4)
+        p[..., 1] /= others
+        return np.log(np.maximum(p, 1e-30)).astype(np.float32).reshape(-1)
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """One number for each text; minus infinity for a text without letters, 0 for others where nothing was learned."""
+        out = np.full(len(texts), -np.inf)
+        at, begins, owner = self._places(texts)
+        if not len(at):
+            return out
+        words = np.flatnonzero(begins)
+        # Where nothing was learned every letter is as good as any other.
+        best = np.zeros(len(words)) if not len(self.tables) else np.max([np.add.reduceat(t[at].astype(np.float64), words) for t in self.tables], axis=0)
+        n = np.bincount(owner, minlength=len(texts))
+        total = np.bincount(owner[words], best, minlength=len(texts))
+        out[n > 0] = total[n > 0] / n[n > 0]
+        return out
+
+
 def _held_out(doc_id: Column) -> Column:
     return fold(doc_id, 4) == 2
 
 
-def fit_on(docs: DataFrame, sample: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = SAMPLE_BYTES) -> Gru | None:
-    """A network from ``sample`` labelled rows of each language outside the held-out fold (crc32 of the id as text, mod 4 = 2).
+def sample_rows(docs: DataFrame, sample: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
+    """(text, language) of ``sample`` labelled rows of each language outside the held-out fold (crc32 of the id as text, mod 4 = 2).
 
     An id that the sample has in two languages teaches nothing.
     """
@@ -270,11 +350,16 @@ def fit_on(docs: DataFrame, sample: int = SAMPLE_DOCS, id_col: str = "doc_id", t
     open_rows = d.select("doc_id", "lang").where(~_held_out(F.col("doc_id"))).where("lang IS NOT NULL")
     drawn = smallest_of_each(open_rows, sample, "lang")
     chosen = drawn.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.max("lang").alias("other")).where("lang = other").drop("other")
-    return train([(r.text, r.lang) for r in texts_of(d, chosen, most_bytes) if r.text])
+    return [(r.text, r.lang) for r in texts_of(d, chosen, most_bytes) if r.text]
+
+
+def fit_on(docs: DataFrame, sample: int = SAMPLE_DOCS, **columns) -> Gru | None:
+    """A network from :func:`sample_rows`."""
+    return train(sample_rows(docs, sample, **columns))
 
 
-def identify(docs: DataFrame, net: Gru | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """doc_id (or the columns in ``keep``), then ``pred`` and ``score``.
+def identify(docs: DataFrame, net: Gru | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), pred: str = "lang_pred", score: str = "score", known: tuple[str, Statistics] | None = None) -> DataFrame:
+    """doc_id (or the columns in ``keep``), then ``pred`` and ``score``, and with ``known`` = (name, statistics) whether the text is familiar.
 
     ``und`` with score 0 for a null text or one without a letter (or where there
     was nothing to learn from).  Ties go to the first language by code point.
@@ -283,10 +368,10 @@ def identify(docs: DataFrame, net: Gru | None, id_col: str = "doc_id", text_col:
     Where a column in ``keep`` has the name of an added one, rename the latter.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(net)
+    shared = spark.sparkContext.broadcast((net, known[1] if known else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, statistics = shared.value
         for b in text_slices(batches, "__text"):
             texts = b.column("__text").to_pylist()
             lettered = np.array([bool(t) and model is not None and any(map(str.isalpha, t)) for t in texts], bool)
@@ -298,13 +383,18 @@ def identify(docs: DataFrame, net: Gru | None, id_col: str = "doc_id", text_col:
             else:
                 found, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             rest = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.string()), pa.array(sure, pa.float64())], [*b.schema.names[:-1], "lang", "score"])
+            added = {"lang": pa.array(found, pa.string()), "score": pa.array(sure, pa.float64())}
+            if statistics is not None:
+                added["known"] = pa.array(statistics.score([(t or "").encode() for t in texts]) >= statistics.bound)
+            yield pa.RecordBatch.from_arrays([*rest, *added.values()], [*b.schema.names[:-1], *added])
 
     names = keep or ("doc_id",)
     columns = [F.col(f"`{c}`") for c in keep] or [F.col(id_col)]
     # Inner names, since a kept one may hold anything.
     given = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], F.col(f"`{text_col}`").cast("string").alias("__text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    if known:
+        return given.mapInArrow(run, f"{fields}, lang string, score double, known boolean").toDF(*names, pred, score, known[0])
     return given.mapInArrow(run, f"{fields}, lang string, score double").toDF(*names, pred, score)
 
 

@@ -251,8 +251,11 @@ class Reader:
             if _WORD.search(joined) and (h := self._read(joined)):
                 found.append((*m.span(), h))
         kept: list[tuple[int, int, tuple[str, int]]] = []
+        # A mark for each character that a kept span holds: spans of one kind are disjoint, so that all tests together read the text a few times.
+        held = bytearray(len(lowered)) if found else bytearray()
         for a, b, h in sorted(found, key=lambda x: (x[2][1], x[0] - x[1], x[0])):
-            if all(b <= c or d <= a for c, d, _ in kept):
+            if held.find(1, a, b) < 0:
+                held[a:b] = b"\1" * (b - a)
                 kept.append((a, b, h))
         return sorted(kept)
 
@@ -272,10 +275,14 @@ class Reader:
         if not disguised and not any(found):
             return out
         starts = [m.start() for m in _WORD.finditer(lowered)]
-        for a, b, hit in reversed(disguised):
+        read, at = [(words, found, starts), ([], [], [])], 0
+        for a, b, hit in disguised:
             lo, hi = bisect_left(starts, a), bisect_left(starts, b)
             if all(h is None or h[1] > hit[1] for h in found[lo:hi]):
-                words[lo:hi], found[lo:hi], starts[lo:hi] = [lowered[a:b]], [hit], [a]
+                for old, new, x in zip(*read, (lowered[a:b], hit, a), strict=True):
+                    new += [*old[at:lo], x]
+                at = hi
+        words, found, starts = (new + old[at:] for old, new in zip(*read, strict=True))
         hits = [(i, h) for i, h in enumerate(found) if h]
         spans = quoted_spans(lowered)
         begins = [a for a, _ in spans]

@@ -285,3 +285,18 @@ def test_open_quotation_marks_quote_nothing():
     for text in ('"scoundrel"', "« scoundrel »", "„ein scoundrel“", "“a scoundrel”", "»scoundrel«", 'a 6" pipe, "the scoundrel", 7"', '("scoundrel")', '"no!" and "scoundrel."'):
         f = reader.features(text)
         assert f[0] == 0 and f[1] > 0, text
+
+
+def test_many_disguised_hits_in_one_text():
+    """Hits are told apart in one pass, as by comparing every pair of spans."""
+    import time
+
+    lexicon = toxicity.Lexicon({"idiot": 2.0, "moron": 1.5, "clown": 1.0}, {"disgust": 2.0})
+    reader = toxicity.Reader(lexicon)
+    began = time.time()
+    many = reader.features("id1ot mor0n's c-l-o-w-n " * 70_000)
+    assert time.time() - began < 20
+    few = reader.features("id1ot mor0n's c-l-o-w-n " * 700)
+    assert np.expm1(many[0]) == pytest.approx(100 * np.expm1(few[0]), rel=1e-6) and many[3] == pytest.approx(few[3])
+    spans = reader._disguised("id1ot st-mor0n-x c l o w n")
+    assert all(b <= c for (_, b, _), (c, _, _) in zip(spans, spans[1:], strict=False)) and len(spans) == 3

@@ -104,3 +104,54 @@ def test_run_leaves_only_its_last_table(spark):
     since = store.mark(spark)
     corpus_pipeline.run(spark, SF)
     assert store.mark(spark) == since + 1
+
+
+FOREIGN = {
+    "russian": "Привет, это обычный русский текст о погоде и природе нашей большой страны".split(),
+    "arabic": "هذا نص عربي عادي عن الطقس والطبيعة في بلادنا الجميلة".split(),
+    "japanese": ["これは", "日本語の", "普通の", "文章です", "天気が", "いいです"],
+    "mash": ["qzx", "vbn", "wrt", "hjk", "zxcv", "qwfp", "plkj", "mnbv", "xcvb", "dfgh", "ghjk"],
+    "code": ["for (int i = 0; i < n; i++) {", "if (ptr == NULL) return -1;", "struct node *next;", 'printf("%d", x);', "memcpy(dst, src, len);", "x = y->z[k] << 3;", "#include <stdio.h>", "while (fgets(buf, sizeof buf, fp))"],
+}
+
+
+def test_language_stage_turns_strangers_away(spark):
+    """Texts of no learned language and no language at all go, held-out documents of any length stay."""
+    import base64
+    import random
+
+    source = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    rng = random.Random(4)
+    strange = [" ".join(rng.choice(words) for _ in range(n)) for words in FOREIGN.values() for n in (3, 6, 12, 50) for _ in range(10)]
+    strange += [base64.b64encode(rng.randbytes(n)).decode() for n in (20, 60, 400) for _ in range(10)]
+    fields = source.schema
+    extra = spark.createDataFrame([tuple({"doc_id": 10_000_000 + i, "text": t, "lang": None}.get(f.name, None) for f in fields) for i, t in enumerate(strange)], fields)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, source.unionByName(extra), SF).select("doc_id").collect()}
+    gone = sum(10_000_000 + i not in kept for i in range(len(strange)))
+    assert gone >= 0.95 * len(strange)
+    lettered = [r.doc_id for r in source.collect() if r.text and any(map(str.isalpha, r.text))]
+    assert sum(i in kept for i in lettered) >= 0.995 * len(lettered)
+
+
+def test_statistics_equal_a_loop_over_bytes():
+    from tellurian.llm.language_id import Statistics
+
+    rows = [("the ring of things, the other.", "en"), ("les choses, été", "fr"), ("a thing or other ring", "en"), ("une chose été", "fr")] * 10
+    s = Statistics(rows)
+    texts = ["the thing", "", "12 34", "été the", "привет", "ZEBRA x1y"]
+    for text, got in zip(texts, s.score([t.encode() for t in texts]), strict=True):
+        total, n = 0.0, 0
+        lowered = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+        for word in "".join(chr(c) if c >= 128 or 97 <= c <= 122 else " " for c in lowered).split(" "):
+            kinds = [0, 0, *(int(s.kind[ord(c)]) for c in word)]
+            if word:
+                total += max(sum(float(t[(a * s.kinds + b) * s.kinds + c]) for a, b, c in zip(kinds, kinds[1:], kinds[2:], strict=False)) for t in s.tables)
+                n += len(word)
+        assert np.isclose(got, total / n) if n else got == -np.inf
+    held = sorted(x for x in s.score([t.encode() for t, _ in rows[::5]]))
+    assert s.bound == np.quantile(held, 0.002) - 1.5
+    # The chances of what may follow add up to one, with the other letter bytes shared out.
+    t = np.exp(s.tables[0].reshape(s.kinds, s.kinds, s.kinds))
+    t[..., 1] *= 154 - (s.kinds - 2)
+    assert np.allclose(t.sum(axis=-1), 1, atol=1e-3)
+    assert Statistics([]).bound == -np.inf and Statistics([("a", "en")]).score([b"b", b"1"]).tolist() == [0.0, -np.inf]
