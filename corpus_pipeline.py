@@ -26,17 +26,21 @@ LEAST_OVER_CHANCE = 0.02
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised; those without a letter and those that fit none go.
-
-    A null or empty text has no letter.  Texts are read whole and each row on its
-    own, so rows that repeat stay or go together; ids, languages and sources of
-    any kind, null too, are kept as they are.  Where no row has a language to
-    learn from, nothing is recognised and all rows go.
+    """Keeps documents whose language is recognised; those without a letter, those that fit none and those of no learned language go.
+
+    The network names one of the languages that it knows, whatever it reads; a
+    text stays if its letters are also about as likely as those of learned texts
+    (``language_id.Statistics``: a bound from held-out documents).  A null or empty
+    text has no letter.  Texts are read whole and each row on its own, so rows that
+    repeat stay or go together; ids, languages and sources of any kind, null too,
+    are kept as they are.  Where no row has a language to learn from, nothing is
+    recognised and all rows go.
     """
-    net = lid.fit_on(docs)
+    rows = lid.sample_rows(docs)
+    net = lid.train(rows)
     least = 0.0 if net is None else (1 + LEAST_OVER_CHANCE * (len(net.languages) - 1)) / len(net.languages)
-    found = lid.identify(docs, net, keep=tuple(docs.columns), pred="__lang", score="__score")
-    return found.where((F.col("__lang") != lid.UNDETERMINED) & (F.col("__score") >= least)).select(*[F.col(f"`{n}`") for n in docs.columns])
+    found = lid.identify(docs, net, keep=tuple(docs.columns), pred="__lang", score="__score", known=("__known", lid.Statistics(rows)))
+    return found.where((F.col("__lang") != lid.UNDETERMINED) & (F.col("__score") >= least) & F.col("__known")).select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
 def with_row_keys(docs: DataFrame) -> DataFrame:
