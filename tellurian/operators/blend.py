@@ -14,7 +14,6 @@ from tellurian.operators.lineage import cut
 from tellurian.operators.quantiles import quantiles
 
 
-
 def clip(x: Column, low: float, high: float) -> Column:
     """Null stays null, which greatest and least alone would not keep."""
     return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
@@ -96,39 +95,36 @@ def mosaic(*layers: DataFrame) -> DataFrame:
     return out.where("z IS NOT NULL").groupBy("r", "c").agg(F.max_by("z", "at").alias("z"))
 
 
-def vat(cells: DataFrame, cellsize: float, svf_radius: int = 50, open_radius: int = 50) -> DataFrame:
-    """Hillshade x inverted slope, overlaid with openness, times sky view, each at half opacity."""
-    s = grid_stats(cells)
-    rays = horizon.layers(cells, cellsize, {"svf": ("svf", {"radius": svf_radius}), "opn": ("openness", {"radius": open_radius})}, stats=s)
-    total = F.lit(0.0)
-    for a in (315.0, 45.0, 135.0, 225.0):
-        total = total + stencil.shade_of(a, 45.0)
-    near = stencil.gradients(cells, cellsize, stats=s).select(
-        "r", "c", F.when(F.col("z").isNotNull(), total / 4 * 255.0).alias("shade"), F.when(F.col("z").isNotNull(), stencil.slope_of()).alias("slope")
-    )
-    # Read twice, for the extremes and for the result.
-    d = cut(aligned(near, rays))
-    e = extremes(d, "shade", "slope", "opn", "svf")
-    out = d.select("r", "c", *[(unit_range(F.col(n), *e[n]) * 255.0).alias(n) for n in e]).withColumn("slope", 255.0 - F.col("slope"))
+def _vat(d: DataFrame, e: dict, layers: dict[str, str], out: str) -> DataFrame:
+    """Adds hillshade x inverted slope, overlaid with openness, times sky view, each at half opacity."""
+    unit = lambda n: unit_range(F.col(layers[n]), *e[layers[n]]) * 255.0
+    d = d.withColumn(out, unit("shade"))
     # One projection a blend: nested, each would repeat the one below it several times.
     for layer, mode in (("slope", "multiply"), ("opn", "overlay"), ("svf", "multiply")):
-        out = out.withColumn("shade", blend(F.col("shade"), F.col(layer), mode, 0.5))
-    return out.select("r", "c", F.col("shade").alias("vat"))
+        d = d.withColumn(out, blend(F.col(out), 255.0 - unit(layer) if layer == "slope" else unit(layer), mode, 0.5))
+    return d
+
+
+def vat(cells: DataFrame, cellsize: float, svf_radius: int = 50, open_radius: int = 50) -> DataFrame:
+    """Hillshade x inverted slope, overlaid with openness, times sky view, each at half opacity."""
+    return batch(cells, cellsize, ("vat",), vat_radii=(svf_radius, open_radius))
+
+
+def _red(d: DataFrame, e: dict, relief: str, slope: str, out: str) -> DataFrame:
+    """Adds local relief times inverted slope at half opacity; a constant layer counts as 0."""
+    flat = lambda n: e[n][0] is None or e[n][1] <= e[n][0]
+    high = F.when(F.col(relief).isNotNull(), F.lit(0.0)) if flat(relief) else unit_range(F.col(relief), *e[relief]) * 255.0
+    steep = F.when(F.col(slope).isNotNull(), F.lit(0.0)) if flat(slope) else (1.0 - unit_range(F.col(slope), *e[slope])) * 255.0
+    return d.withColumn(out, blend(high, steep, "multiply", 0.5))
 
 
 def red_relief(cells: DataFrame, cellsize: float, radius: int = 20) -> DataFrame:
     """Local relief times inverted slope at half opacity; a constant layer counts as 0."""
-    s = grid_stats(cells)
-    d = cut(aligned(stencil.local_relief(cells, radius, s), stencil.slope(cells, cellsize, stats=s)))
-    e = extremes(d, "slrm", "slope")
-    flat = lambda n: e[n][0] is None or e[n][1] <= e[n][0]
-    relief = F.when(F.col("slrm").isNotNull(), F.lit(0.0)) if flat("slrm") else unit_range(F.col("slrm"), *e["slrm"]) * 255.0
-    steep = F.when(F.col("slope").isNotNull(), F.lit(0.0)) if flat("slope") else (1.0 - unit_range(F.col("slope"), *e["slope"])) * 255.0
-    return d.select("r", "c", blend(relief, steep, "multiply", 0.5).alias("red_relief"))
+    return batch(cells, cellsize, ("red_relief",), trend=radius)
 
 
-def e4mstp(d: DataFrame) -> DataFrame:
-    """red, green, blue from o_pos, o_neg, ld, s and mstp_r, mstp_g, mstp_b in 0..1 with svf_s, svf_l; null gives 0.
+def e4mstp(d: DataFrame, keep: tuple[str, ...] = (), out: tuple[str, str, str] = ("red", "green", "blue")) -> DataFrame:
+    """r, c, ``keep`` and three bands from o_pos, o_neg, ld, s and mstp_r, mstp_g, mstp_b in 0..1 with svf_s, svf_l; null gives 0.
 
     Texture under a red slope, darkened by two sky views, overlaid with the
     multi-scale position at 90 %.
@@ -136,25 +132,36 @@ def e4mstp(d: DataFrame) -> DataFrame:
     sky = lambda n, low: clip((F.coalesce(F.col(n), F.lit(1.0)) - low) / (1.0 - low), 0.0, 1.0)
     open_sky = (sky("svf_l", 0.9) + sky("svf_s", 0.7) * 0.5) / 1.5
     texture = F.col("o_pos") * F.col("o_neg") * F.col("ld") * (1.0 - F.col("s"))
-    positions = {"red": "mstp_r", "green": "mstp_g", "blue": "mstp_b"}
-    staged = d.select("r", "c", *positions.values(), F.col("s").alias("rough"), texture.alias("texture"), open_sky.alias("sky"))
+    positions = ("mstp_r", "mstp_g", "mstp_b")
+    staged = d.select("r", "c", *keep, *positions, F.col("s").alias("rough"), texture.alias("texture"), open_sky.alias("sky"))
     under = lambda n: 0.25 * F.col(n) * F.col("sky") + 0.75 * F.col(n)
-    staged = staged.select("r", "c", *positions.values(), under("rough").alias("red"), under("texture").alias("green"), under("texture").alias("blue"))
-    mixed = staged.select("r", "c", *[((0.9 * MODES["overlay"](F.col(n), F.col(p)) + 0.1 * F.col(n)) * 255.0).alias(n) for n, p in positions.items()])
-    return mixed.select("r", "c", *[F.coalesce(clip(F.col(n), 0.0, 255.0), F.lit(0.0)).cast("int").alias(n) for n in positions])
+    staged = staged.select("r", "c", *keep, *positions, *[under(n).alias(f"under_{i}") for i, n in enumerate(("rough", "texture", "texture"))])
+    mixed = staged.select("r", "c", *keep, *[((0.9 * MODES["overlay"](F.col(f"under_{i}"), F.col(p)) + 0.1 * F.col(f"under_{i}")) * 255.0).alias(f"mixed_{i}") for i, p in enumerate(positions)])
+    return mixed.select("r", "c", *keep, *[F.coalesce(clip(F.col(f"mixed_{i}"), 0.0, 255.0), F.lit(0.0)).cast("int").alias(n) for i, n in enumerate(out)])
 
 
-def e4mstp_of(cells: DataFrame, cellsize: float, radius: int = 10, local: int = 5, meso: int = 50, broad: int = 500, far: int = 50, ld: tuple[float, float] = (10.0, 20.0)) -> DataFrame:
-    """The whole composite from elevations: all ray layers in one scan."""
-    s = grid_stats(cells)
-    rays = horizon.layers(cells, cellsize, {
-        "svf_s": ("svf", {"radius": radius}), "svf_l": ("svf", {"radius": far}), "o_pos": ("openness", {"radius": radius}),
-        "o_neg": ("openness", {"radius": radius, "negative": True}), "ld": ("local_dominance", {"min_radius": ld[0], "max_radius": ld[1]}),
-    }, stats=s)
-    position = stencil.mstp(cells, local, meso, broad, stats=s).select("r", "c", (F.col("red") / 255.0).alias("mstp_r"), (F.col("green") / 255.0).alias("mstp_g"), (F.col("blue") / 255.0).alias("mstp_b"))
-    d = aligned(rays, stencil.slope(cells, cellsize, stats=s), position)
-    unit = d.withColumns({"o_pos": clip(F.col("o_pos") / 180.0, 0.0, 1.0), "o_neg": clip(F.col("o_neg") / 180.0, 0.0, 1.0), "ld": F.col("ld") / 255.0, "s": clip(F.col("slope") / 90.0, 0.0, 1.0)})
-    return e4mstp(unit)
+#: Fixed values of the composite: radii of openness and of the near and far sky view, directions, rings of local dominance, and window radii.
+E4MSTP = {"radius": 10, "near": 10, "far": 50, "directions": 16, "ring": (10.0, 20.0), "angle": 15.0, "observer": 1.7, "windows": (3, 20, 100)}
+
+
+def _e4mstp_rays(p: dict) -> dict[str, tuple[str, dict]]:
+    way = {"directions": p["directions"]}
+    return {
+        "svf_s": ("svf", {"radius": p["near"], **way}), "svf_l": ("svf", {"radius": p["far"], **way}), "o_pos": ("openness", {"radius": p["radius"], **way}),
+        "o_neg": ("openness", {"radius": p["radius"], "negative": True, **way}), "ld": ("local_dominance", {"min_radius": p["ring"][0], "max_radius": p["ring"][1], "angle": p["angle"], "observer": p["observer"]}),
+    }
+
+
+def e4mstp_halo(**settings) -> int:
+    """How many cells around a tile the composite looks at: its farthest ray or its widest window."""
+    p = {**E4MSTP, **settings}
+    return max(max(horizon.KERNELS[kind][1](given) for kind, given in _e4mstp_rays(p).values()), max(p["windows"]))
+
+
+def e4mstp_of(cells: DataFrame, cellsize: float, **settings) -> DataFrame:
+    """red, green, blue of the composite from elevations: all ray layers in one scan; ``settings`` are those of :data:`E4MSTP`."""
+    found = batch(cells, cellsize, ("e4mstp",), e4mstp_settings=settings)
+    return found.toDF("r", "c", "red", "green", "blue")
 
 
 def moments(d: DataFrame, names: tuple[str, ...]) -> tuple[list[float], list[float], np.ndarray] | None:
@@ -176,24 +183,30 @@ def moments(d: DataFrame, names: tuple[str, ...]) -> tuple[list[float], list[flo
     return list(row[:k]), std, cov
 
 
-def pca(d: DataFrame, names: tuple[str, ...] = ("svf", "opn", "slope", "ld"), components: int = 3) -> DataFrame:
-    """pc1, pc2, pc3 in 0..255: leading components of standardised layers, 2-98 percentile stretch.
+def components(d: DataFrame, names: tuple[str, ...], n: int = 3) -> list[Column]:
+    """Leading components of standardised layers in 0..255 as columns over ``d``, which is read for moments and percentiles.
 
-    Moments come from one aggregate, the 4 x 4 eigenvectors from numpy on the
-    driver; a component's sign makes its largest weight positive.
+    Moments come from one aggregate, the eigenvectors of the small covariance from
+    numpy on the driver; a component's sign makes its largest weight positive.
     """
     found = moments(d, names)
     if found is None:
-        return d.select("r", "c", *[F.lit(0.0).alias(f"pc{i + 1}") for i in range(components)])
+        return [F.lit(0.0)] * n
     mean, std, cov = found
     _, vectors = np.linalg.eigh(cov)
-    weights = vectors[:, ::-1][:, :components].T
+    weights = vectors[:, ::-1][:, :n].T
     weights = [w * np.sign(w[np.abs(w).argmax()]) for w in weights]
-    total = lambda w: sum(((F.col(n) - m) / s * float(x) for n, m, s, x in zip(names, mean, std, w, strict=True)), F.lit(0.0))
-    p = d.select("r", "c", *[total(w).alias(f"pc{i + 1}") for i, w in enumerate(weights)])
-    limits = [quantiles(p, f"pc{i + 1}", (0.02, 0.98)) or (0.0, 0.0) for i in range(components)]
-    stretch = lambda n, lim: clip((F.col(n) - lim[0]) / (lim[1] - lim[0]) * 255.0, 0.0, 255.0) if lim[1] > lim[0] else F.when(F.col(n).isNotNull(), F.lit(0.0))
-    return p.select("r", "c", *[stretch(f"pc{i + 1}", limits[i]).alias(f"pc{i + 1}") for i in range(components)])
+    total = lambda w: sum(((F.col(k) - m) / s * float(x) for k, m, s, x in zip(names, mean, std, w, strict=True)), F.lit(0.0))
+    out = []
+    for w in weights:
+        low, high = quantiles(d.select("r", "c", total(w).alias("pc")), "pc", (0.02, 0.98)) or (0.0, 0.0)
+        out.append(clip((total(w) - low) / (high - low) * 255.0, 0.0, 255.0) if high > low else F.when(total(w).isNotNull(), F.lit(0.0)))
+    return out
+
+
+def pca(d: DataFrame, names: tuple[str, ...] = ("svf", "opn", "slope", "ld"), n: int = 3) -> DataFrame:
+    """pc1, pc2, pc3 in 0..255: :func:`components` with a 2-98 percentile stretch."""
+    return d.select("r", "c", *[c.alias(f"pc{i + 1}") for i, c in enumerate(components(d, names, n))])
 
 
 def pca_layers(cells: DataFrame, cellsize: float, radius: int = 10) -> DataFrame:
@@ -246,28 +259,91 @@ def overview_levels(rows: int, cols: int) -> int:
     return max(1, (longest // 256).bit_length() - 1) if longest > 512 else 0
 
 
-#: What a batch run can make, by name: ray layers and columns over gradients.
-BATCH_LAYERS = ("slope", "hillshade", "slrm", "svf", "asvf", "openness", "local_dominance")
+#: Products of a batch run and the columns of each.
+BATCH = {
+    "hillshade": ("hillshade",), "slrm": ("slrm",), "svf": ("svf",), "slope": ("slope",), "openness": ("openness",), "mstp": ("mstp_red", "mstp_green", "mstp_blue"), "vat": ("vat",),
+    "red_relief": ("red_relief",), "local_dominance": ("local_dominance",), "asvf": ("asvf",), "e4mstp": ("e4mstp_red", "e4mstp_green", "e4mstp_blue"), "pca": ("pc1", "pc2", "pc3"),
+}
+#: Those that read their layers for ranges or moments first and again for the result.
+READ_TWICE = ("vat", "red_relief", "pca")
 
 
-def batch(cells: DataFrame, cellsize: float, names: tuple[str, ...] = BATCH_LAYERS, radius: int = 10, trend: int = 20) -> DataFrame:
-    """(r, c, a column per name): several visualisations from one read.
+def batch(
+    cells: DataFrame, cellsize: float, names: tuple[str, ...] = tuple(BATCH), radius: int = 10, trend: int = 20, windows: tuple[int, int, int] = (5, 50, 500),
+    vat_radii: tuple[int, int] = (50, 50), e4mstp_settings: dict | None = None,
+) -> DataFrame:
+    """(r, c, the columns of each product): any products from one plan of their shared layers.
 
-    All ray layers share one scan of the tiles, and slope and hillshade one pass of
-    gradients; what is not asked for is not made.
+    Products say which layers they need; a layer that several need is made once.
+    All ray layers share one scan of the tiles, all layers of gradients one pass,
+    all windows two shuffles.  The layers are joined and, if a product reads them
+    for their ranges first, written once; all ranges come from one aggregate.
     """
-    if unknown := set(names) - set(BATCH_LAYERS):
+    if unknown := set(names) - set(BATCH):
         raise ValueError(f"Unknown visualisation: {min(unknown)}")
+    if foreign := set(e4mstp_settings or {}) - set(E4MSTP):
+        raise ValueError(f"Unknown setting: {min(foreign)}")
+    wants = lambda *k: any(n in names for n in k)
+    e4 = {**E4MSTP, **(e4mstp_settings or {})}
     s = grid_stats(cells)
+
+    rays: dict[str, tuple[str, dict]] = {}
+
+    def ray(kind: str, **given) -> str:
+        """The column of a ray layer; the same layer asked for twice is one."""
+        same = [n for n, layer in rays.items() if layer == (kind, given)]
+        name = same[0] if same else f"ray_{len(rays)}"
+        rays[name] = (kind, given)
+        return name
+
+    way = {"directions": 16}
+    ring = {"min_radius": 10.0, "max_radius": 20.0, "angle": 15.0, "observer": 1.7}
+    plain = {"svf": ("svf", {"radius": radius, **way}), "asvf": ("asvf", {"radius": radius, **way}), "openness": ("openness", {"radius": radius, **way}), "local_dominance": ("local_dominance", ring)}
+    of = {n: ray(kind, **given) for n, (kind, given) in plain.items() if n in names or ("pca" in names and n != "asvf")}
+    if "vat" in names:
+        of |= {"vat_svf": ray("svf", radius=vat_radii[0], **way), "vat_opn": ray("openness", radius=vat_radii[1], **way)}
+    if "e4mstp" in names:
+        of |= {n: ray(kind, **given) for n, (kind, given) in _e4mstp_rays(e4).items()}
+    radii = {*(windows if "mstp" in names else ()), *(e4["windows"] if "e4mstp" in names else ())}
+    if "mstp" in names:
+        stencil.check_windows(*windows)
+    if "e4mstp" in names:
+        stencil.check_windows(*e4["windows"])
+
     parts = []
-    if near := [n for n in names if n in ("slope", "hillshade")]:
-        total = F.lit(0.0)
-        for a in stencil.DEFAULT_AZIMUTHS:
-            total = total + stencil.shade_of(a, 45.0)
-        of = {"slope": stencil.slope_of(), "hillshade": total / len(stencil.DEFAULT_AZIMUTHS) * 255.0}
-        parts.append(stencil.gradients(cells, cellsize, stats=s).select("r", "c", *[F.when(F.col("z").isNotNull(), of[n]).alias(n) for n in near]))
-    if rays := {n: (n, {} if n == "local_dominance" else {"radius": radius}) for n in names if n in horizon.KERNELS}:
+    if wants("slope", "hillshade", "vat", "red_relief", "pca", "e4mstp"):
+        shades = lambda suns: sum((stencil.shade_of(a, 45.0) for a in suns), F.lit(0.0)) / len(suns) * 255.0
+        near = {"slope": stencil.slope_of()} if wants("slope", "vat", "red_relief", "pca", "e4mstp") else {}
+        near |= {"hillshade": shades(stencil.DEFAULT_AZIMUTHS)} if "hillshade" in names else {}
+        near |= {"shade": shades((315.0, 45.0, 135.0, 225.0))} if "vat" in names else {}
+        parts.append(stencil.gradients(cells, cellsize, stats=s).select("r", "c", *[F.when(F.col("z").isNotNull(), v).alias(n) for n, v in near.items()]))
+    if rays:
         parts.append(horizon.layers(cells, cellsize, rays, stats=s))
-    if "slrm" in names:
+    if wants("slrm", "red_relief"):
         parts.append(stencil.local_relief(cells, trend, s))
-    return aligned(*parts).select("r", "c", *names)
+    if radii:
+        parts.append(stencil.deviations(stencil.filled(cells, s), {f"dev_{k}": k for k in sorted(radii)}, s))
+    d = aligned(*parts)
+    if wants(*READ_TWICE):
+        d = cut(d)
+    ranged = [*(("shade", "slope", of["vat_opn"], of["vat_svf"]) if "vat" in names else ()), *(("slrm", "slope") if "red_relief" in names else ())]
+    e = extremes(d, *dict.fromkeys(ranged)) if ranged else {}
+
+    added = {n: F.col(of[n]) for n in ("svf", "asvf", "openness", "local_dominance") if n in names}
+    if "mstp" in names:
+        added |= {c: stencil.position_byte(F.col(f"dev_{k}")) for c, k in zip(BATCH["mstp"], reversed(windows), strict=True)}
+    if "pca" in names:
+        added |= dict(zip(BATCH["pca"], components(d, (of["svf"], of["openness"], "slope", of["local_dominance"])), strict=True))
+    d = d.withColumns(added) if added else d
+    if "vat" in names:
+        d = _vat(d, e, {"shade": "shade", "slope": "slope", "opn": of["vat_opn"], "svf": of["vat_svf"]}, "vat")
+    if "red_relief" in names:
+        d = _red(d, e, "slrm", "slope", "red_relief")
+    out = [c for n in names for c in BATCH[n]]
+    if "e4mstp" in names:
+        unit = lambda n: clip(F.col(of[n]) / 180.0, 0.0, 1.0)
+        bands = {m: stencil.position_byte(F.col(f"dev_{k}")) / 255.0 for m, k in zip(("mstp_r", "mstp_g", "mstp_b"), reversed(e4["windows"]), strict=True)}
+        scaled = {"o_pos": unit("o_pos"), "o_neg": unit("o_neg"), "ld": F.col(of["ld"]) / 255.0, "s": clip(F.col("slope") / 90.0, 0.0, 1.0), "svf_s": F.col(of["svf_s"]), "svf_l": F.col(of["svf_l"]), **bands}
+        kept = tuple(c for c in out if c not in BATCH["e4mstp"])
+        d = e4mstp(d.withColumns(scaled), kept, BATCH["e4mstp"])
+    return d.select("r", "c", *out)

@@ -260,7 +260,7 @@ def without_outliers(points: DataFrame, bucket: float, neighbours: int = 8, mult
     return points.join(kept, "id", "left_semi").withColumn("classification", F.lit(UNCLASSIFIED))
 
 
-#: A surface is not made from fewer points.
+#: A surface is not made from fewer ground points.
 LEAST_POINTS = 10
 
 
@@ -274,6 +274,7 @@ def ground_surface(points: DataFrame, cellsize: float, ground: str = "pmf_archae
         kept = by_class(points)
     else:
         raise ValueError(f"Unknown ground filter: {ground}")
-    if (n := points.limit(LEAST_POINTS).count()) < LEAST_POINTS:
-        raise ValueError(f"{n} points are too few for a surface; {LEAST_POINTS} are needed")
-    return grid_idw(cut(kept.select("x", "y", "z")), cellsize, radius)
+    kept = cut(kept.select("x", "y", "z"))
+    if (n := kept.limit(LEAST_POINTS).count()) < LEAST_POINTS:
+        raise ValueError(f"{n} ground points are too few for a surface; {LEAST_POINTS} are needed")
+    return grid_idw(kept, cellsize, radius)

@@ -140,7 +140,8 @@ def local_relief(cells: DataFrame, radius: int = 20, stats: GridStats | None = N
     if radius < 1:
         raise ValueError("radius must be at least 1")
     s = stats or grid_stats(cells)
-    d = filled(cells, s)
+    # From the grid's mean, so that sums over long lines keep their digits.
+    d = filled(cells, s).withColumn("f", F.col("f") - F.lit(s.mean or 0.0))
     mean = box_mean(d, "f", radius, s)
     return d.join(mean, ["r", "c"]).select("r", "c", F.when(F.col("z").isNotNull(), F.col("f") - F.col("m")).alias("slrm"))
 
@@ -163,9 +164,11 @@ def deviations(d: DataFrame, radii: dict[str, int], stats: GridStats) -> DataFra
 
     ``d`` has z and the filled value f.  The windows of all radii share two
     shuffles, one along rows and one along columns; how many cells a window has
-    follows from its place.
+    follows from its place.  Values are taken from the grid's mean, so that sums over
+    long lines keep their digits.
     """
-    s = d.select("r", "c", "z", "f", (F.col("f") * F.col("f")).alias("ff"))
+    centred = F.col("f") - F.lit(stats.mean or 0.0)
+    s = d.select("r", "c", "z", centred.alias("f")).withColumn("ff", F.col("f") * F.col("f"))
     s = _running_windows(s, {f"{n}_{k}": (k, radius) for n, radius in radii.items() for k in ("f", "ff")}, "c", "r")
     s = _running_windows(s, {f"{n}_{k}": (f"{n}_{k}", radius) for n, radius in radii.items() for k in ("f", "ff")}, "r", "c")
     span = lambda x, first, last, radius: F.least(F.col(x) + radius, F.lit(last)) - F.greatest(F.col(x) - radius, F.lit(first)) + 1
@@ -184,12 +187,22 @@ def deviation(cells: DataFrame, radius: int, name: str) -> DataFrame:
     return deviations(filled(cells, s), {name: radius}, s).select("r", "c", name)
 
 
+def check_windows(local: int, meso: int, broad: int) -> None:
+    if not 1 <= local < meso < broad:
+        raise ValueError("Window radii must rise from local over meso to broad")
+
+
+def position_byte(deviation: Column, lightness: float = 1.0) -> Column:
+    """A deviation as 0..255, 127 being none; black where z is null."""
+    return F.when(F.col("z").isNull(), 0).otherwise(F.greatest(F.least(127 + deviation * 50.0 * lightness, F.lit(255.0)), F.lit(0.0)).cast("int"))
+
+
 def mstp(cells: DataFrame, local: int = 5, meso: int = 50, broad: int = 500, lightness: float = 1.0, stats: GridStats | None = None) -> DataFrame:
     """red, green, blue in 0..255 from the broad, meso and local deviation; nodata is black."""
+    check_windows(local, meso, broad)
     s = stats or grid_stats(cells)
     out = deviations(filled(cells, s), {"red": broad, "green": meso, "blue": local}, s)
-    byte = lambda n: F.when(F.col("z").isNull(), 0).otherwise(F.greatest(F.least(127 + F.col(n) * 50.0 * lightness, F.lit(255.0)), F.lit(0.0)).cast("int")).alias(n)
-    return out.select("r", "c", byte("red"), byte("green"), byte("blue"))
+    return out.select("r", "c", *[position_byte(F.col(n), lightness).alias(n) for n in ("red", "green", "blue")])
 
 
 def integral_image(cells: DataFrame) -> DataFrame:

@@ -302,9 +302,15 @@ _LAYER_SQL = {
 }
 
 
-@query(o.joined(*_LAYER_SQL.values()))
+def _bands(sql: str, name: str) -> str:
+    return f"SELECT r, c, red AS {name}_red, green AS {name}_green, blue AS {name}_blue FROM ({sql})"
+
+
+@query(o.joined(*_LAYER_SQL.values(), _bands(o.mstp("dem", 5, 50, 500), "mstp"), o.vat("dem", 50, 50), o.red_relief("dem", 20), _bands(o.e4mstp("dem"), "e4mstp")))
 def batch_run(spark, d):
-    return rounded(blend.batch(s.dem_dense(spark, d), s.CELL))
+    """All products but the components, which SQL cannot express; a test compares all twelve with the operators alone."""
+    found = blend.batch(s.dem_dense(spark, d), s.CELL, tuple(n for n in blend.BATCH if n != "pca"))
+    return rounded(rounded(found, "vat", digits=4))
 
 
 _PCA = ("svf", "opn", "slope", "ld")

@@ -175,7 +175,7 @@ def red_relief(surface: str, radius: int) -> str:
 
 def e4mstp(surface: str) -> str:
     head = ctes(surface) + _CELLS.format(t=surface) + _tops("ts", 16, 10, 0.0) + _tops("tl", 16, 50, 0.0) + _tops("tp", 16, 10, -1.0) + _tops("tn", 16, 10, -1.0, -1)
-    head += _dominance("ld", 10.0, 20.0, 1.0, 15.0, 1.7) + _position(5, 50, 500) + _near("")
+    head += _dominance("ld", 10.0, 20.0, 1.0, 15.0, 1.7) + _position(3, 20, 100) + _near("")
     sky = lambda n, low: f"greatest(least(({n} - {low}::DOUBLE) / (1 - {low}::DOUBLE), 1), 0)"
     mean = lambda t, n, e: f"{n} AS MATERIALIZED (SELECT r, c, {e} AS v FROM {t} GROUP BY r, c)"
     opn = "greatest(least(degrees(avg(pi() / 2 - asin(least(top, 1)))) / 180, 1), 0)"

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tellurian.functions import records, text
-from tellurian.operators import blend, change, detect, horizon, inference, nearest, points, quantiles
+from tellurian.operators import blend, change, detect, horizon, inference, nearest, points, quantiles, stencil
 from tellurian.sources import files, reports
 from tests.conftest import array_of, grid_of
 
@@ -176,7 +176,7 @@ def test_surface_from_las(spark, tmp_path):
     got = array_of(files.las_surface(spark, str(tmp_path / "a.las"), 2.0, "classified"), "z")
     assert got[2:8, 2:8] == pytest.approx(np.tile(5 + 0.1 * (np.arange(2, 8) * 2 + 0.9), (6, 1)), abs=0.25)
     (tmp_path / "b.las").write_bytes(files.las_bytes(x[:9], y[:9], x[:9], np.full(9, 2)))
-    with pytest.raises(ValueError, match="9 points are too few"):
+    with pytest.raises(ValueError, match="ground points are too few"):
         files.las_surface(spark, str(tmp_path / "b.las"), 2.0)
     packed = bytearray(files.las_bytes(x[:2], y[:2], x[:2], np.full(2, 2)))
     packed[104] |= 128
@@ -216,10 +216,12 @@ def test_small_records(spark):
     assert records.label_names("no json") == [] == records.label_names("3")
     assert records.plain({1: (np.float32(2), float("nan"), {"b", "a"}), "k": None}) == {"1": [2.0, None, ["a", "b"]], "k": None}
     json.dumps(records.plain({"a": np.int64(3), "b": object}))
-    assert records.E4mstpSettings().checked().halo == 100
-    for wrong in ({"ld_min_radius": 20}, {"local": 50}, {"directions": 3}, {"observer": 0.0}, {"tile": 10}):
+    assert records.label_names('{"999999999": "far", "1": "x"}') == ["class_0", "x"]
+    assert blend.e4mstp_halo() == 100 and blend.e4mstp_halo(windows=(3, 5, 8)) == 50 and blend.e4mstp_halo(windows=(3, 5, 8), far=10, ring=(2.0, 60.0)) == 61
+    cells = grid_of(spark, [[1.0, 2.0], [3.0, None]])
+    for wrong in ({"ring": (20.0, 20.0)}, {"windows": (50, 20, 100)}, {"directions": 3}, {"observer": 0.0}, {"radius": 0}, {"tiles": 10}):
         with pytest.raises(ValueError):
-            records.E4mstpSettings(**wrong).checked()
+            blend.e4mstp_of(cells, 1.0, **wrong)
     row = records.preflight(grid_of(spark, [[1.0, 200.0, None]]), 0.5).first().asDict()
     shown = records.preflight_text(row, "a.tif", "EPSG:27700", ("no CRS",))
     assert "grid: 3 x 1 cells, 3 in all" in shown and "- no CRS" in shown and "preset: upland_steep" in shown
@@ -239,6 +241,47 @@ def test_bookmarks(spark):
             call()
 
 
+def test_bookmarks_are_fifty_at_most(spark):
+    empty = spark.createDataFrame([], "name string, x_min double, y_min double, x_max double, y_max double, crs string, at timestamp")
+    many = spark.range(60).select(F.concat(F.lit(" b"), "id").alias("name"), *[F.lit(v).alias(n) for n, v in (("x_min", 0.0), ("y_min", 0.0), ("x_max", 1.0), ("y_max", 1.0))], F.lit("EPSG:1").alias("crs"), F.timestamp_seconds("id").alias("at"))
+    assert {r.name for r in records.saved_bookmarks(empty, many).collect()} == {f"b{i}" for i in range(10, 60)}
+
+
+def test_a_surface_needs_ten_ground_points(spark):
+    rows = [(i, float(i), 0.0, 1.0, 2 if i < 3 else 1) for i in range(12)]
+    with pytest.raises(ValueError, match="3 ground points are too few"):
+        points.ground_surface(spark.createDataFrame(rows, "id long, x double, y double, z double, classification int"), 1.0, "classified")
+
+
+def test_windows_keep_their_digits_on_long_lines(spark):
+    """A constant surface shows no deviation, however long its lines are."""
+    flat = spark.range(200_000).select(F.lit(0).cast("long").alias("r"), F.col("id").cast("int").alias("c"), F.lit(1234.567).alias("z"))
+    d = stencil.deviation(flat, 5, "dev").agg(F.max(F.abs("dev"))).first()[0]
+    assert d == 0.0
+
+
+def test_batch_equals_the_products_alone(spark):
+    rng = np.random.default_rng(6)
+    cells = grid_of(spark, [[None if (r, c) == (3, 4) else float(rng.normal(50, 9)) for c in range(26)] for r in range(24)])
+    few = {"windows": (2, 4, 7), "e4mstp_settings": {"windows": (1, 3, 6), "far": 12}, "vat_radii": (6, 5), "trend": 4}
+    scans, cuts = [], []
+    real_layers, real_cut = horizon.layers, blend.cut
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(horizon, "layers", lambda *a, **k: scans.append(a[2]) or real_layers(*a, **k))
+        m.setattr(blend, "cut", lambda d: cuts.append(1) or real_cut(d))
+        whole = blend.batch(cells, 1.0, radius=6, **few)
+    assert len(scans) == 1 and len(cuts) == 1 and whole.columns[2:] == [c for n in blend.BATCH for c in blend.BATCH[n]]
+    # Openness of radius 10 and its like are not made twice; local dominance serves three products.
+    assert len(scans[0]) == len({repr(v) for v in scans[0].values()}) == 9
+    alone = {
+        "vat": blend.vat(cells, 1.0, 6, 5), "red_relief": blend.red_relief(cells, 1.0, 4), "e4mstp": blend.e4mstp_of(cells, 1.0, windows=(1, 3, 6), far=12), "pca": blend.pca_of(cells, 1.0, 6),
+        "mstp": stencil.mstp(cells, 2, 4, 7), "asvf": horizon.anisotropic_sky_view(cells, 1.0, radius=6), "slrm": stencil.local_relief(cells, 4), "openness": horizon.openness(cells, 1.0, radius=6),
+    }
+    for name, one in alone.items():
+        for a, b in zip(blend.BATCH[name], one.columns[2:], strict=True):
+            np.testing.assert_allclose(array_of(whole, a), array_of(one, b), atol=1e-9, err_msg=name)
+
+
 def test_batch(spark):
     cells = grid_of(spark, [[float((r * 7 + c * 3) % 11) for c in range(14)] for r in range(14)])
     got = blend.batch(cells, 1.0, ("svf", "slope"), radius=4).orderBy("r", "c").collect()
