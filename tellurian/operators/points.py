@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tellurian.operators import cloth
 from tellurian.operators.lineage import cut
 from tellurian.operators.nearest import nearest as nearest_points
 
@@ -176,73 +177,18 @@ CLOTH_PRESETS = {
 }
 
 
-#: Fixed values of the published filter: greatest number of rounds, and the step up to which slopes are smoothed.
-CLOTH_ROUNDS, CLOTH_STEP = 500, 0.3
+def ground_cloth(points: DataFrame, cloth_resolution: float = 1.0, class_threshold: float = 0.8, rigidness: int = 2, time_step: float = 0.65, slope_smooth: bool = True, tile: int = cloth.TILE) -> DataFrame:
+    """The points near a cloth draped over the inverted cloud; see :mod:`tellurian.operators.cloth`.
 
-
-def _drape(height: np.ndarray, rigidness: int, time_step: float, slope_smooth: bool = False, rounds: int = CLOTH_ROUNDS) -> np.ndarray:
-    """A cloth falling on the inverted surface ``height`` (Zhang et al. 2016), as node heights.
-
-    With ``slope_smooth`` the nodes that still hang just above the surface are laid
-    down from their resting neighbours, as the paper does for steep slopes.
-    """
-    cloth = np.full(height.shape, np.nanmax(height) + 1.0)
-    last, moving = cloth.copy(), np.ones(height.shape, bool)
-    floor = np.where(np.isnan(height), np.nanmin(height), height)
-    for _ in range(rounds):
-        fall = np.where(moving, (cloth - last) * 0.99 - 0.2 * time_step * time_step, 0.0)
-        last = cloth.copy()
-        cloth = cloth + fall
-        for _ in range(rigidness):
-            for axis in (0, 1):
-                a, b = (cloth[:-1], cloth[1:]) if axis == 0 else (cloth[:, :-1], cloth[:, 1:])
-                ma, mb = (moving[:-1], moving[1:]) if axis == 0 else (moving[:, :-1], moving[:, 1:])
-                gap = b - a
-                a += np.where(ma & mb, gap / 2, np.where(ma, gap, 0)) * 0.5
-                b -= np.where(ma & mb, gap / 2, np.where(mb, gap, 0)) * 0.5
-        hit = cloth <= floor
-        cloth = np.where(hit, floor, cloth)
-        moving &= ~hit
-        if np.abs(cloth - last).max() < 0.005:
-            break
-    while slope_smooth and moving.any():
-        beside = np.zeros(height.shape, bool)
-        for axis in (0, 1):
-            a, b = (slice(None, -1), slice(1, None)) if axis == 0 else ((slice(None), slice(None, -1)), (slice(None), slice(1, None)))
-            level = np.abs(floor[a] - floor[b]) < CLOTH_STEP
-            beside[a] |= level & ~moving[b]
-            beside[b] |= level & ~moving[a]
-        down = moving & beside & (cloth - floor < CLOTH_STEP)
-        if not down.any():
-            break
-        cloth, moving = np.where(down, floor, cloth), moving & ~down
-    return cloth
-
-
-def ground_cloth(points: DataFrame, cloth_resolution: float = 1.0, class_threshold: float = 0.8, rigidness: int = 2, time_step: float = 0.65, slope_smooth: bool = True, tile: float = 100.0, overlap: int = 20) -> DataFrame:
-    """The points near a cloth draped over the inverted cloud, tile by tile.
-
-    A tile's cloth reaches ``overlap`` nodes into its neighbours, beyond which a
-    node hardly feels what lies there: tests hold tilings to one another.  Nodes
-    lie on one raster for all tiles.  Without threads or seeds, so reruns agree; no
-    parity with other implementations is claimed.
+    A node lies over the lowest of its points.  Any ``tile`` (nodes on a side) gives
+    the same points; without threads or seeds, so reruns agree.  No parity with
+    other implementations is claimed.  Points without coordinates are left out.
     """
-    columns, margin = points.columns, overlap * cloth_resolution
-    reach = lambda n: F.sequence(F.floor((F.col(n) - margin) / tile), F.floor((F.col(n) + margin) / tile))
-    spread = points.withColumn("tx", F.explode(reach("x"))).withColumn("ty", F.explode(reach("y")))
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, z = (pdf[n].to_numpy(float) for n in "xyz")
-        c, r = (np.floor(v / cloth_resolution).astype(int) for v in (x, y))
-        c, r = c - c.min(), r - r.min()
-        low = np.full((r.max() + 1, c.max() + 1), -np.inf)
-        np.maximum.at(low, (r, c), -z)
-        low[np.isinf(low)] = np.nan
-        ground = -_drape(low, rigidness, time_step, slope_smooth)
-        own = (x // tile == pdf["tx"].to_numpy()) & (y // tile == pdf["ty"].to_numpy())
-        return pdf.loc[own & (np.abs(z - ground[r, c]) <= class_threshold), columns]
-
-    return spread.groupBy("tx", "ty").applyInPandas(keep, points.schema)
+    place = lambda n: F.floor(F.col(n) / cloth_resolution)
+    p = points.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").withColumns({"__r": place("y"), "__c": place("x")})
+    nodes = cut(p.groupBy(F.col("__r").alias("r"), F.col("__c").alias("c")).agg((-F.min("z")).alias("h")))
+    ground = cloth.draped(nodes, rigidness, time_step, slope_smooth, tile).select(F.col("r").alias("__r"), F.col("c").alias("__c"), (-F.col("cloth")).alias("__ground"))
+    return p.join(ground, ["__r", "__c"]).where(F.abs(F.col("z") - F.col("__ground")) <= class_threshold).select(*points.columns)
 
 
 #: Classification codes of ordinary points and of ground.

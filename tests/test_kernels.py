@@ -146,17 +146,6 @@ def test_layouts_of_detection_models():
         inference.model_boxes([np.zeros((2, 2))])
 
 
-def test_cloths_of_different_tilings_agree(spark):
-    rng = np.random.default_rng(2)
-    n = 6000
-    x, y = rng.uniform(0, 60, n), rng.uniform(0, 60, n)
-    z = 2 * np.sin(x / 9) + 0.03 * y + np.where(np.arange(n) % 5 == 0, rng.uniform(3, 7, n), 0)
-    cloud = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, z, strict=True))], "id long, x double, y double, z double")
-    kept = [{r.id for r in points.ground_cloth(cloud, tile=t).select("id").collect()} for t in (1000.0, 30.0, 17.0)]
-    assert all(len(kept[0] ^ k) <= 0.01 * n for k in kept[1:])
-    assert sum(i % 5 == 0 for i in kept[0]) < 0.02 * n and sum(i % 5 != 0 for i in kept[0]) > 0.75 * n
-
-
 def test_sparse_clouds_have_neighbours_too(spark):
     xyz = [(i, float(i % 5), float(i // 5), 0.0) for i in range(50)] + [(50, 900.0, 900.0, 0.0), (51, -4000.0, 0.0, 0.0)]
     got = {r.id: r.mean_distance for r in points.outliers(spark.createDataFrame(xyz, "id long, x double, y double, z double"), 1.5).collect()}
