@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellurian.operators import cloth
+from tellurian.operators.grid import haloed
 from tellurian.operators.lineage import cut
 from tellurian.operators.nearest import nearest as nearest_points
 
@@ -141,31 +142,79 @@ def minimum_grid(points: DataFrame, cellsize: float) -> DataFrame:
     return points.groupBy(F.floor(F.col("y") / cellsize).alias("r"), F.floor(F.col("x") / cellsize).cast("int").alias("c")).agg(F.min("z").alias("z"))
 
 
-def opening(cells: DataFrame, half: int, value: str = "z") -> DataFrame:
-    """Adds ``opened``: the greatest of least values in square windows, along rows and columns."""
-    out = cells
-    for f in (F.min, F.max):
-        for other, axis in (("r", "c"), ("c", "r")):
-            w = Window.partitionBy(other).orderBy(axis).rangeBetween(-half, half)
-            out = out.withColumn("opened", f("opened" if "opened" in out.columns else value).over(w))
+def _window_extreme(a: np.ndarray, half: int, f: np.ufunc, none: float) -> np.ndarray:
+    """``f`` over windows of 2 half + 1 along the first axis, by running extremes of blocks as wide as the window (van Herk, Gil and Werman).
+
+    A window meets two blocks at most: the end of one and the start of the next,
+    so that a cell costs the same at any width.
+    """
+    n, wide = len(a), 2 * half + 1
+    blocks = -(-(n + wide - 1) // wide)
+    padded = np.full((blocks * wide, *a.shape[1:]), none)
+    padded[half : half + n] = a
+    block = padded.reshape(blocks, wide, *a.shape[1:])
+    upto = f.accumulate(block, axis=1).reshape(padded.shape)
+    onward = f.accumulate(block[:, ::-1], axis=1)[:, ::-1].reshape(padded.shape)
+    return f(onward[:n], upto[wide - 1 : wide - 1 + n])
+
+
+def _opened(z: np.ndarray, half: int) -> np.ndarray:
+    """The greatest of least values in windows along rows and then columns; missing cells (NaN) have no share and stay missing."""
+    known, out = ~np.isnan(z), z
+    for f, none in ((np.minimum, np.inf), (np.maximum, -np.inf)):
+        along = np.where(known, _window_extreme(np.where(known, out, none).T, half, f, none).T, none)
+        out = np.where(known, _window_extreme(along, half, f, none), np.nan)
     return out
 
 
-def ground_pmf(points: DataFrame, max_window_size: int = 33, slope: float = 0.25, max_distance: float = 1.0, initial_distance: float = 0.3, cell_size: float = 1.0, base: int = 2) -> DataFrame:
+#: Cells on the side of a tile of the morphological filter.
+OPENING_TILE = 512
+
+
+def _by_tiles(cells: DataFrame, halo: int, make: Callable[[np.ndarray], np.ndarray], out: str, tile: int) -> DataFrame:
+    """(r, c, out): ``make`` over the array of each tile and its halo, for the cells that exist and get a value; one shuffle."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c, core = (pdf[n].to_numpy() for n in ("r", "c", "is_core"))
+        grid = np.full((r.max() - r.min() + 1, c.max() - c.min() + 1), np.nan)
+        grid[r - r.min(), c - c.min()] = pdf["z"].to_numpy()
+        v = make(grid)[r - r.min(), c - c.min()]
+        keep = core & ~np.isnan(v)
+        return pd.DataFrame({"r": r[keep], "c": c[keep], out: v[keep]})
+
+    given = cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("int").alias("c"), F.col("z").cast("double").alias("z")).where("z IS NOT NULL")
+    return haloed(given, tile, halo).groupBy("tile_r", "tile_c").applyInPandas(run, f"r long, c int, {out} double")
+
+
+def opening(cells: DataFrame, half: int, value: str = "z", tile: int = OPENING_TILE) -> DataFrame:
+    """Adds ``opened``: the greatest of least values in square windows, along rows and columns."""
+    found = _by_tiles(cells.select("r", "c", F.col(value).alias("z")), 2 * half, lambda z: _opened(z, half), "opened", tile)
+    return cells.join(found, ["r", "c"], "left")
+
+
+def ground_pmf(points: DataFrame, max_window_size: int = 33, slope: float = 0.25, max_distance: float = 1.0, initial_distance: float = 0.3, cell_size: float = 1.0, base: int = 2, tile: int = OPENING_TILE) -> DataFrame:
     """The points that a progressive morphological filter takes for ground (Zhang et al. 2003).
 
     Windows grow as powers of the base; a cell whose opening lies more than the
-    threshold below it stops counting as ground.
+    threshold below it stops counting as ground.  All rounds of a tile run at once:
+    its halo is as wide as all windows together can reach.
     """
-    surface = minimum_grid(points, cell_size).withColumns({"ground": F.lit(True), "s": F.col("z")})
-    half, before, k = 1, 0, 1
+    steps, half, before = [], 1, 0
     while 2 * half + 1 <= max_window_size:
-        limit = initial_distance if k == 1 else min(max_distance, slope * 2 * (half - before) * cell_size + initial_distance)
-        o = opening(surface, half, "s")
-        surface = o.select("r", "c", "z", (F.col("ground") & (F.col("s") - F.col("opened") <= limit)).alias("ground"), F.col("opened").alias("s"))
-        before, half, k = half, half * base, k + 1
+        steps.append((half, initial_distance if not steps else min(max_distance, slope * 2 * (half - before) * cell_size + initial_distance)))
+        before, half = half, max(half + 1, half * base)
+
+    def filtered(z: np.ndarray) -> np.ndarray:
+        ground = np.ones(z.shape, bool)
+        for half, limit in steps:
+            opened = _opened(z, half)
+            ground &= z - opened <= limit
+            z = opened
+        return np.where(ground, z, np.nan)
+
+    surface = _by_tiles(minimum_grid(points, cell_size), 2 * sum(half for half, _ in steps), filtered, "s", tile)
     p = points.withColumns({"r": F.floor(F.col("y") / cell_size), "c": F.floor(F.col("x") / cell_size).cast("int")})
-    return p.join(surface.where("ground").select("r", "c", "s"), ["r", "c"]).where(F.col("z") - F.col("s") <= max_distance).drop("r", "c", "s")
+    return p.join(surface, ["r", "c"]).where(F.col("z") - F.col("s") <= max_distance).drop("r", "c", "s")
 
 
 #: Cloth filters by preset.

@@ -158,3 +158,38 @@ def test_shapes_with_holes_and_diagonal_contacts(spark, monkeypatch):
     pts = [tuple(map(float, p.split())) for p in small.wkt.removeprefix("POLYGON ((").removesuffix("))").split(", ")]
     assert signed(pts) == 0.25
     assert detect.shapes(d.where("label = 9"), 1.0, 1).count() == 0
+
+
+def test_openings_of_any_tiling_equal_a_loop(spark):
+    rng = np.random.default_rng(4)
+    z = rng.normal(0, 3, (23, 31))
+    z[rng.random(z.shape) < 0.3] = np.nan
+    cells = spark.createDataFrame([(int(r) - 4, int(c) + 9, float(z[r, c])) for r, c in np.argwhere(~np.isnan(z))], "r long, c int, z double")
+    for half, tile in ((1, 512), (3, 8), (9, 7), (40, 16)):
+        want = z
+        for f in (np.nanmin, np.nanmax):
+            for turn in (True, False):
+                a = want.T if turn else want
+                a = np.array([[f(a[max(0, i - half) : i + half + 1, j]) if not np.isnan(a[i, j]) else np.nan for j in range(a.shape[1])] for i in range(a.shape[0])])
+                want = a.T if turn else a
+        want = {(r - 4, c + 9): want[r, c] for r, c in np.argwhere(~np.isnan(z)).tolist()}
+        assert {(r.r, r.c): r.opened for r in points.opening(cells, half, tile=tile).collect()} == want
+    cloud_ = cloud(spark, site())
+    kept = [{r.id for r in points.ground_pmf(cloud_, tile=t).select("id").collect()} for t in (512, 16, 5)]
+    assert kept[0] == kept[1] == kept[2]
+
+
+def test_wide_windows_cost_no_more(spark):
+    import time
+
+    z = np.random.default_rng(1).normal(0, 1, (1500, 1500))
+
+    def seconds(half):
+        best = []
+        for _ in range(5):
+            began = time.perf_counter()
+            points._opened(z, half)
+            best.append(time.perf_counter() - began)
+        return min(best)
+
+    assert seconds(50) <= 1.3 * seconds(2)
