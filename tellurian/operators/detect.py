@@ -6,6 +6,7 @@ Boxes are rows (id, x1, y1, x2, y2, confidence, class_id), label maps cell table
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,16 +57,21 @@ def overlap(a: str, b: str) -> Column:
     return F.when((wide < 0) | (high < 0), 0.0).otherwise(F.when(union > 0, both / union).otherwise(0.0))
 
 
-def suppress(boxes: DataFrame, iou: float = 0.45, bucket: float | None = None) -> DataFrame:
+#: So many pairs of rivals are settled in one group at most.
+GROUP_PAIRS = 1 << 20
+
+
+def suppress(boxes: DataFrame, iou: float = 0.45, bucket: float | None = None, group_pairs: int = GROUP_PAIRS) -> DataFrame:
     """Greedy non-maximum suppression within each class, exactly, without a task per class.
 
     Overlapping pairs meet by an equi-join of grid buckets, twice as wide as the
     boxes are on average unless given, and only in the bucket that holds the
-    corner of their overlap.  Then, in rounds, a box with no undecided stronger
-    rival is kept and its weaker rivals go: the outcome of the sequential rule,
-    since a box's fate depends on stronger rivals only.  There are as many rounds
-    as the longest chain of boxes that suppress one another.  Equal confidences
-    rank by id.
+    corner of their overlap.  A box's fate depends on stronger rivals only, so that
+    connected components of rivals are settled apart, each by the sequential rule in
+    one group; components are found in rounds that grow with the logarithm of their
+    size.  Up to ``group_pairs`` pairs are one group without looking for components,
+    and a component of more is settled in rounds, see :func:`_in_rounds`.  Equal
+    confidences rank by id.
     """
     if bucket is None:
         bucket = 2.0 * (boxes.agg(F.avg(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).first()[0] or 0.0) or 64.0
@@ -75,9 +81,43 @@ def suppress(boxes: DataFrame, iou: float = 0.45, bucket: float | None = None) -
     stronger = (F.col("a_confidence") > F.col("b_confidence")) | ((F.col("a_confidence") == F.col("b_confidence")) & (F.col("a_id") < F.col("b_id")))
     once = (F.col("bx") == F.floor(F.greatest("a_x1", "b_x1") / bucket)) & (F.col("by") == F.floor(F.greatest("a_y1", "b_y1") / bucket))
     rivals = side("a_").join(side("b_"), ["class_id", "bx", "by"]).where(stronger & once).where(overlap("a_", "b_") >= iou)
-    rivals = cut(rivals.select(F.col("a_id").alias("strong"), F.col("b_id").alias("weak")))
-    gone = None
-    open_pairs = rivals
+    rivals = cut(rivals.select(F.col("a_id").alias("strong"), F.col("b_id").alias("weak"), F.col("a_confidence").alias("confidence")))
+    if rivals.limit(group_pairs + 1).count() <= group_pairs:
+        return boxes.join(_settled(rivals.withColumn("part", F.lit(0).cast("long"))), "id", "left_anti")
+    roots = components(rivals.select(F.col("strong").alias("a"), F.col("weak").alias("b")))
+    # A component's least box is its root and has no row there.
+    named = cut(rivals.join(roots.select(F.col("node").alias("strong"), "root"), "strong", "left").withColumn("part", F.coalesce("root", "strong")).drop("root"))
+    sizes = cut(named.groupBy("part").count())
+    gone = _settled(named.join(sizes.where(F.col("count") <= group_pairs), "part", "left_semi"))
+    giants = named.join(sizes.where(F.col("count") > group_pairs), "part", "left_semi")
+    large = _in_rounds(cut(giants.select("strong", "weak")))
+    return boxes.join(gone if large is None else gone.unionByName(large), "id", "left_anti")
+
+
+def _settled(pairs: DataFrame) -> DataFrame:
+    """(id): the boxes that go, of pairs (part, strong, weak, confidence) where a part holds all pairs of its boxes.
+
+    Pairs go in order of their stronger box, whose own fate is known by then.
+    """
+    kind = pairs.schema["weak"].dataType.simpleString()
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        ranked = pdf.sort_values(["confidence", "strong"], ascending=[False, True], kind="stable")
+        gone: set = set()
+        for strong, weak in zip(ranked["strong"].tolist(), ranked["weak"].tolist(), strict=True):
+            if strong not in gone:
+                gone.add(weak)
+        return pd.DataFrame({"id": sorted(gone)})
+
+    return pairs.select("part", "strong", "weak", "confidence").groupBy("part").applyInPandas(settle, f"id {kind}")
+
+
+def _in_rounds(rivals: DataFrame) -> DataFrame | None:
+    """(id): the boxes that go, in as many rounds as the longest chain of boxes that suppress one another; none without rivals.
+
+    A box with no undecided stronger rival is kept and its weaker rivals go.
+    """
+    gone, open_pairs = None, rivals
     while not open_pairs.isEmpty():
         # Boxes that are strong somewhere and weak nowhere stay; those they cover go.
         kept = open_pairs.select(F.col("strong").alias("id")).distinct().join(open_pairs.select(F.col("weak").alias("id")), "id", "left_anti")
@@ -85,7 +125,7 @@ def suppress(boxes: DataFrame, iou: float = 0.45, bucket: float | None = None) -
         gone = dropped if gone is None else gone.unionByName(dropped)
         rest = open_pairs.join(dropped.withColumnRenamed("id", "weak"), "weak", "left_anti").join(dropped.withColumnRenamed("id", "strong"), "strong", "left_anti")
         open_pairs = cut(rest)
-    return boxes if gone is None else boxes.join(gone, "id", "left_anti")
+    return gone
 
 
 def map_boxes(boxes: DataFrame, geo: tuple[float, float, float, float, float, float]) -> DataFrame:

@@ -56,7 +56,10 @@ def test_suppression_equals_the_sequential_rule(spark):
     for i in range(120):
         x, y = map(float, rng.uniform(0, 60, 2))
         boxes.append((i, x, y, x + 12, y + 10, float(np.round(rng.uniform(), 1)), int(i % 2)))
-    kept = {r.id for r in detect.suppress(spark.createDataFrame(boxes, BOX), 0.4, 16.0).collect()}
+    # All in one group, by components, and (the largest ones) in rounds.
+    found = [{r.id for r in detect.suppress(spark.createDataFrame(boxes, BOX), 0.4, 16.0, most).collect()} for most in (1 << 20, 40, 4)]
+    kept = found[0]
+    assert found[0] == found[1] == found[2]
 
     def iou(a, b):
         w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
@@ -193,3 +196,13 @@ def test_wide_windows_cost_no_more(spark):
         return min(best)
 
     assert seconds(50) <= 1.3 * seconds(2)
+
+
+def test_a_long_chain_of_boxes_needs_no_round_a_link(spark):
+    import time
+
+    # Each box overlaps the next by more than the limit; confidences fall along the chain.
+    boxes = [(i, 4.0 * i, 0.0, 4.0 * i + 10, 10.0, 1.0 - i / 2000, 0) for i in range(1000)]
+    began = time.time()
+    kept = sorted(r.id for r in detect.suppress(spark.createDataFrame(boxes, BOX), 0.4).select("id").collect())
+    assert kept == list(range(0, 1000, 2)) and time.time() - began < 15
