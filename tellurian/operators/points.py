@@ -96,17 +96,22 @@ def _rater(neighbours: int, reach: float) -> Callable[[pd.DataFrame], pd.DataFra
     return rate
 
 
+#: Rounds go on with a wider reach while more than this share of the points is unanswered; the rest is searched for tile by tile.
+SPARSE_SHARE = 1 / 64
+
+
 def outliers(points: DataFrame, bucket: float, neighbours: int = 8, multiplier: float = 2.0) -> DataFrame:
     """(id, mean_distance, is_outlier): mean distance in space to the nearest points, against the cloud's.
 
     A round sends the points to each square tile of the plane that they lie within
     ``bucket`` of; a query is answered where its neighbours are all nearer than
-    that.  The others go into the next round, with tiles and reach eight times as
-    wide, until one tile holds everything: a sparse part costs more rounds, not
-    every point.  A point that has no other at all is an outlier.
+    that.  While many are left, the next round has tiles and reach eight times as
+    wide; the few in sparse parts then look for the tiles that can hold their
+    neighbours, see :func:`_nearest_tiles`, and only those tiles' points move.  A
+    point that has no other at all is an outlier.
     """
     p = cut(points.select("id", "x", "y", "z").where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"))
-    x0, x1, y0, y1, z0, z1 = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.min("z"), F.max("z")).first()
+    n, x0, x1, y0, y1, z0, z1 = p.agg(F.count("id"), F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.min("z"), F.max("z")).first()
     done = None
     asked, reach = p.select("id"), bucket
     while True:
@@ -121,14 +126,77 @@ def outliers(points: DataFrame, bucket: float, neighbours: int = 8, multiplier:
         part = rated.where("settled").select("id", F.when(~F.isnan("mean_distance"), F.col("mean_distance")).alias("mean_distance"))
         done = part if done is None else done.unionByName(part)
         asked, reach = rated.where("NOT settled").select("id"), reach * 8
-        if whole or asked.isEmpty():
+        left = 0 if whole else asked.count()
+        if left <= n * SPARSE_SHARE:
             break
+    if left:
+        # Tiles as small as the first round's, so that a lone point moves no more than the rim of the cloud.
+        side = _tile_side(p, 4 * bucket, bucket)
+        done = done.unionByName(_sparse_distances(p, p.join(asked, "id", "left_semi"), side, neighbours))
     mean, std = done.agg(F.avg("mean_distance"), F.stddev_samp("mean_distance")).first()
     limit = float("inf") if mean is None else mean + multiplier * (std or 0.0)
     found = points.select("id").join(done, "id", "left")
     return found.select("id", "mean_distance", (F.col("mean_distance").isNull() | (F.col("mean_distance") > limit)).alias("is_outlier"))
 
 
+_BOX = ("x0", "x1", "y0", "y1", "z0", "z1")
+
+
+def _nearest_tiles(p: DataFrame, queries: DataFrame, side: float, neighbours: int) -> DataFrame:
+    """(id, x, y, z, tx, ty): the tiles that can hold one of the ``neighbours`` nearest points of each query.
+
+    Tiles carry their count and the box of their points, and four of them make one
+    of the next level.  From the top down, a query keeps the tiles that are no
+    farther off than the distance within which it is sure to find enough points,
+    that is the farthest corners of the nearest tiles with as many; the tiles it
+    keeps are replaced by those they are made of.
+    """
+    tile = lambda n: F.floor(F.col(n) / side)
+    ends = [f(n).alias(f"{n}{k}") for n in "xyz" for k, f in ((0, F.min), (1, F.max))]
+    base = cut(p.groupBy(tile("x").alias("tx"), tile("y").alias("ty")).agg(F.count(F.lit(1)).alias("n"), *ends))
+    a, b, c, d = base.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
+    top = max(b - a, d - c, 1).bit_length()
+    at = lambda k: [F.shiftright(F.col(n), k).alias(n) for n in ("tx", "ty")]
+    level = lambda k: base.groupBy(*at(k)).agg(F.sum("n").alias("n"), *[(F.min if m[1] == "0" else F.max)(m).alias(m) for m in _BOX])
+    # At the top at most two tiles each way.
+    found = queries.select("id", "x", "y", "z").join(F.broadcast(level(top)), F.lit(True))
+    for k in range(top, -1, -1):
+        out = lambda n: F.greatest(F.col(f"{n}0") - F.col(n), F.col(n) - F.col(f"{n}1"), F.lit(0.0))
+        far = lambda n: F.greatest(F.abs(F.col(n) - F.col(f"{n}0")), F.abs(F.col(n) - F.col(f"{n}1")))
+        length = lambda f: F.sqrt(sum((f(n) * f(n) for n in "xyz"), F.lit(0.0)))
+        d = found.withColumns({"near": length(out), "far": length(far)})
+        # The query itself is one of the points.
+        held = F.sum("n").over(Window.partitionBy("id").orderBy("far").rangeBetween(Window.unboundedPreceding, 0))
+        bound = F.min(F.when(F.col("held") > neighbours, F.col("far"))).over(Window.partitionBy("id"))
+        kept = d.withColumn("held", held).withColumn("bound", bound).where(F.col("bound").isNull() | (F.col("near") <= F.col("bound"))).select("id", "x", "y", "z", "tx", "ty")
+        if k == 0:
+            return cut(kept)
+        parts = level(k - 1).withColumns({"px": F.shiftright("tx", 1), "py": F.shiftright("ty", 1)})
+        found = cut(kept.select("id", "x", "y", "z", F.col("tx").alias("px"), F.col("ty").alias("py")).join(parts, ["px", "py"]).drop("px", "py"))
+    return found
+
+
+def _sparse_distances(p: DataFrame, queries: DataFrame, side: float, neighbours: int) -> DataFrame:
+    """(id, mean_distance) of queries, each against the points of its own few tiles."""
+    wanted = _nearest_tiles(p, queries, side, neighbours)
+    held = p.withColumns({"tx": F.floor(F.col("x") / side), "ty": F.floor(F.col("y") / side)}).join(wanted.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
+
+    def near(asked: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        ids, at = met["id"].to_numpy(), met[["x", "y", "z"]].to_numpy()
+        for q in asked.itertuples():
+            far = np.sqrt(((at - (q.x, q.y, q.z)) ** 2).sum(axis=1))[ids != q.id]
+            best = np.partition(far, neighbours - 1)[:neighbours] if len(far) > neighbours else far
+            rows += [(q.id, float(v)) for v in best]
+        return pd.DataFrame(rows, columns=["id", "far"]).astype({"id": "int64", "far": "float64"})
+
+    best = wanted.groupBy("tx", "ty").cogroup(held.groupBy("tx", "ty")).applyInPandas(near, "id long, far double")
+    # A few distances from each of a query's tiles.
+    first = best.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("far")), 1, neighbours).alias("far"))
+    mean = F.aggregate("far", F.lit(0.0), lambda total, v: total + v) / F.size("far")
+    return queries.select("id").join(first, "id", "left").select("id", mean.alias("mean_distance"))
+
+
 #: Progressive morphological filters by preset.
 PMF_PRESETS = {
     "pmf_archaeology_fine": {"max_window_size": 20, "slope": 0.15, "max_distance": 0.5, "initial_distance": 0.15, "cell_size": 0.5},

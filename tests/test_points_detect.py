@@ -206,3 +206,20 @@ def test_a_long_chain_of_boxes_needs_no_round_a_link(spark):
     began = time.time()
     kept = sorted(r.id for r in detect.suppress(spark.createDataFrame(boxes, BOX), 0.4).select("id").collect())
     assert kept == list(range(0, 1000, 2)) and time.time() - began < 15
+
+
+def test_stray_points_move_the_rim_of_the_cloud_only(spark):
+    rng = np.random.default_rng(7)
+    n = 40_000
+    xyz = np.vstack([np.c_[rng.uniform(0, 200, (n, 2)), rng.normal(0, 0.3, n)], [[2000, 40, 0], [100, 100, 900], [-3000, -10, 5]]])
+    p = cloud(spark, xyz)
+    stray = p.where(f"id >= {n}")
+    side = 4.0
+    tiles = points._nearest_tiles(p, stray.where(f"id = {n}"), side, 8).select("tx", "ty").distinct()
+    moved = p.selectExpr("id", f"floor(x / {side}) AS tx", f"floor(y / {side}) AS ty").join(tiles, ["tx", "ty"], "left_semi").count()
+    assert 9 <= moved < 0.02 * n
+    got = {r.id: r.mean_distance for r in points.outliers(p, 4.0).collect()}
+    for i in (n, n + 1, n + 2, 0, 17):
+        far = np.sort(np.sqrt(((xyz - xyz[i]) ** 2).sum(axis=1)))[1:9]
+        assert got[i] == pytest.approx(far.mean())
+    assert {r.id for r in points.outliers(p, 4.0).where("is_outlier").collect()} >= {n, n + 1, n + 2}
