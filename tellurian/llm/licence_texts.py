@@ -99,3 +99,30 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved."),
     ("Proprietary", "All rights reserved."),
 )
+
+#: The titles under which the whole texts of public licences stand, by SPDX name.
+TITLES: tuple[tuple[str, str], ...] = (
+    ("GPL-1.0", "GNU General Public License Version 1, February 1989"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU Library General Public License Version 2, June 1991"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("GFDL-1.1", "GNU Free Documentation License Version 1.1, March 2000"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("MPL-1.0", "Mozilla Public License Version 1.0"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Apache-1.1", "The Apache Software License, Version 1.1"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("Artistic-1.0", "The Artistic License"),
+    ("Artistic-2.0", "The Artistic License 2.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+)

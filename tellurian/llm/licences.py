@@ -19,6 +19,14 @@ bounds of both shares must reach T^2.  Passages that fail are left out before
 anything moves, which loses none.  The others' terms are counted, weighed and
 compared with all templates.
 
+*Titles.*  The whole text of a public licence stands under a title that names it and
+its version.  A licence file is judged by the cosine of its first line, or first
+two, to those titles: at ``TITLE`` or more the title names the file, whatever its
+passages resemble.  Where the head names a licence and a version that no title
+has, the file has none: its text is then a licence that is not known, and what it
+shares with others says nothing.  Only files without such a head are declared by
+their passages.
+
 *Inheritance.*  A file without a licence of its own takes that of the licence
 file in its nearest ancestor directory: distinct directories are unfolded into
 their ancestors, joined to the licence files' directories, and the deepest wins.
@@ -35,11 +43,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellurian.llm.licence_texts import TEMPLATES
+from tellurian.llm.licence_texts import TEMPLATES, TITLES
 from tellurian.llm.store import materialise
 
 THRESHOLD = 0.5
 MOST_IDF = 8.0
+#: Cosine of a head to the title that names it, and the terms that a head has at most.
+TITLE = 0.9
+HEAD_TERMS = 40
+#: A head that is the title of a licence with its version, and words that a title has not.
+TITLED = r"^\W*(\w+[\s,-]+){1,8}licen[cs]e\W+(v|version)\W*[0-9][0-9.]*(\W.{0,30})?$"
+STATED = r"\b(under|licen[cs]ed|this|is|by|see|identifier)\b"
 #: Declares nothing where another licence stands beside it.
 WEAKEST = "Proprietary"
 TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
@@ -168,14 +182,36 @@ def best_matches(found: DataFrame, counts: DataFrame, total: int, rows: list[dic
     )
 
 
+def heads(low: Column) -> Column:
+    """The first line that has a term, and the first two together; longer ones than a title are left out."""
+    lines = F.slice(F.filter(F.split(F.left(low, F.lit(1 << 12)), "\n"), lambda x: F.rlike(x, F.lit("[a-z0-9]"))), 1, 2)
+    both = F.array(F.get(lines, F.lit(0)), F.array_join(lines, " "))
+    return F.filter(both, lambda x: x.isNotNull() & (F.size(terms(x)).between(1, HEAD_TERMS)))
+
+
+def title_of(head: Column, rows: list[dict[str, float]], weight: dict[str, float]) -> Column:
+    """struct(cosine, k) of the nearest title to an array of heads; a head's terms count once, an unknown one weighs the most."""
+    idfs = F.create_map(*[F.lit(x) for w in sorted(weight) for x in (w, weight[w])])
+    of = lambda t: F.coalesce(F.try_element_at(idfs, t), F.lit(MOST_IDF))
+    shares = [F.create_map(*[F.lit(x) for w in sorted(r) for x in (w, r[w])]) for r in rows]
+    total = lambda ts, f: F.aggregate(ts, F.lit(0.0), lambda a, t: a + f(t))
+
+    def nearest(x: Column) -> Column:
+        ts = F.array_distinct(terms(x))
+        norm = F.sqrt(total(ts, lambda t: of(t) * of(t)))
+        return F.array_max(F.array(*[F.struct((total(ts, lambda t, s=s: of(t) * F.coalesce(F.try_element_at(s, t), F.lit(0.0))) / norm).alias("cosine"), F.lit(-k).alias("k")) for k, s in enumerate(shares)]))
+
+    return F.array_max(F.transform(head, nearest))
+
+
 def scan(
     files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text",
-    templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
+    templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, titles: Sequence[tuple[str, str]] = TITLES,
 ) -> DataFrame:
     """doc_id, path, licence, licences, cosine, origin, licence_dir: one row per file.
 
-    ``origin`` is ``own`` where a passage of the file reaches the threshold with a
-    template, ``inherited`` where an ancestor directory (the nearest, its own
+    ``origin`` is ``own`` where a licence file has a known title or a passage of the
+    file reaches the threshold with a template, ``inherited`` where an ancestor directory (the nearest, its own
     included) holds a licence file that does, else ``none`` with null licence.
     ``licences`` are all that a file's passages reach, each passage counting for
     its nearest template; ``licence`` is the nearest of them, a bare reservation
@@ -192,7 +228,8 @@ def scan(
     given = files.select(F.col(f"`{id_col}`").alias("doc_id"), path.alias("path"), F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("low"))
     counts = materialise(term_counts(given.select("low")), "licence-terms")
     vocabulary = sorted({w for _, t in templates for w in re.findall(TERM, t.lower())})
-    of = {r.t: r.df for r in counts.where(F.col("t").isin("", *vocabulary)).collect()}  # at most the templates' terms
+    title_terms = sorted({w for _, t in titles for w in re.findall(TERM, t.lower())})
+    of = {r.t: r.df for r in counts.where(F.col("t").isin("", *vocabulary, *title_terms)).collect()}  # at most the templates' terms
     total = of.pop("", 0)
     rows = template_weights(of, total, templates)
     telling = sorted(telling_terms(rows, threshold))
@@ -203,10 +240,20 @@ def scan(
     common = [sorted(r.t for r in others if low <= idf(r.df, total) < high) for low, high in zip((0.0, *COMMON), COMMON, strict=False)]
     weight = {w: idf(of.get(w, 0), total) for w in vocabulary}
     candidates = likely(F.filter(read, lambda ts: F.exists(ts, lambda t: t.isin(telling))), weight, common, rows, threshold)
-    found = given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", folder.alias("dir"), "is_licence", candidates.alias("candidates"))
+    head = F.when(F.col("is_licence"), heads(F.col("low")))
+    title = title_of(head, template_weights(of, total, titles), {w: idf(of.get(w, 0), total) for w in title_terms}) if titles else F.lit(None).cast("struct<cosine: double, k: int>")
+    titled = F.coalesce(F.exists(head, lambda x: F.rlike(x, F.lit(TITLED)) & ~F.rlike(x, F.lit(STATED))), F.lit(False))
+    found = given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", folder.alias("dir"), "is_licence", candidates.alias("candidates"), title.alias("title"), titled.alias("titled"))
     found = materialise(found, "licence-passages")
     best = best_matches(found.where(F.size("candidates") > 0), counts, total, rows, [n for n, _ in templates], threshold)
-    rated = materialise(found.select("row", "doc_id", "path", "dir", "is_licence").join(best, "row", "left"), "licence-files")
+    named = F.coalesce(F.col("title.cosine") >= TITLE, F.lit(False))
+    by_title = F.element_at(F.lit([n for n, _ in titles] or [""]), 1 - F.col("title.k"))
+    rated = found.select("row", "doc_id", "path", "dir", "is_licence", "title", "titled").join(best, "row", "left")
+    rated = materialise(rated.select(
+        "row", "doc_id", "path", "dir", "is_licence", F.when(named, by_title).when(~F.col("titled"), F.col("own")).alias("own"),
+        F.when(named, F.round("title.cosine", 9)).otherwise(F.col("cosine")).alias("cosine"),
+        F.when(named, F.array(by_title)).when(~F.col("titled"), F.col("licences")).alias("licences"),
+    ), "licence-files")
     declared = rated.where("is_licence AND own IS NOT NULL").groupBy(F.col("dir").alias("licence_dir")).agg(F.max(F.struct("cosine", "own")).alias("d"))
     declared = declared.select("licence_dir", F.col("d.own").alias("licence"))
     parts = F.split("dir", "/")

@@ -237,3 +237,41 @@ def test_licence_query_reads_all_documents(spark):
     assert q.count() == docs.count()
     mentions = docs.where("text LIKE '%Licensed under the Apache License, Version 2.0.%'").select("doc_id")
     assert mentions.join(q.where("licence = 'Apache-2.0' AND origin = 'own'"), "doc_id").count() == mentions.count()
+
+
+BODY = "Everyone is permitted to copy and distribute verbatim copies of this license document. " * 3 + "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files to deal in the Software without restriction."
+
+
+def named(spark, texts):
+    files = spark.createDataFrame([(i, f"p{i}/LICENSE", t, "x") for i, t in enumerate(texts)], "doc_id long, path string, text string, licence string")
+    return {r.doc_id: (r.licence, r.origin) for r in licences.scan(files).collect()}
+
+
+def test_titles_name_whole_licence_texts(spark):
+    from tellurian.llm.licence_texts import TITLES
+
+    # As the texts stand: title and version on lines of their own or on one, indented, with a rule below.
+    shown = [t.replace(" Version", "\n   Version", 1).upper() if k % 2 else f"   {t}\n========" for k, (_, t) in enumerate(TITLES)]
+    got = named(spark, [f"\n\n  {t}\n\n{BODY}" for t in shown])
+    assert [got[i][0] for i in range(len(TITLES))] == [n for n, _ in TITLES]
+
+
+def test_titles_that_nearly_fit_name_nothing(spark):
+    heads = ["GNU GENERAL PUBLIC LICENSE\n  Version 4, 1 May 2031", "Acme Public License, version 7", "Mozilla Public License Version 3.5", "MIT License", "Released under the Apache License, Version 2.0.", "Some notes on how we chose", "x" * 5000]
+    got = named(spark, [f"{h}\n\n{BODY}" for h in heads])
+    assert [got[i] for i in range(3)] == [(None, "none")] * 3
+    assert got[3] == ("MIT", "own") and got[4][0] == "Apache-2.0" and got[5] == ("MIT", "own") and got[6] == ("MIT", "own")
+    # Other files are not judged by their first lines.
+    other = spark.createDataFrame([(1, "a/notes.txt", f"GNU General Public License Version 4\n\n{BODY}"), (2, None, None)], "doc_id long, path string, text string")
+    assert {r.doc_id: r.licence for r in licences.scan(other).collect()} == {1: "MIT", 2: None}
+
+
+def test_licence_texts_of_this_system(spark):
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    want = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    if not all((folder / n).exists() for n in want):
+        pytest.skip("no folder of licence texts here")
+    got = named(spark, [(folder / n).read_text("latin1") for n in want])
+    assert [got[i] for i in range(len(want))] == [(n, "own") for n in want.values()]
