@@ -179,7 +179,7 @@ def mstp_sparse(spark, d):
 # --- horizons -----------------------------------------------------------------------------------
 
 
-@query(f"SELECT * FROM ({o.ray_values(16, 10, 9)}) t(k, dr, dc, dist)")
+@query(f"SELECT k::INT AS k, dr::INT AS dr, dc::INT AS dc, round(dist, 9) AS dist FROM ({o.ray_samples(16, 10)})")
 def ray_geometry(spark, d):
     return horizon.ray_table(spark, 16, 10).withColumn("dist", F.round("dist", 9))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 
-from tellurian.operators.horizon import ANISOTROPIC_SLACK, annulus, rays
 from tellurian.sources.surfaces import ctes
 
 _CELLS = ", m AS (SELECT avg(z) AS mean, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM {t}), f AS MATERIALIZED (SELECT r, c, z, coalesce(z, mean) AS f FROM {t}, m)"
@@ -76,14 +75,28 @@ def mstp(surface: str, local: int, meso: int, broad: int) -> str:
     return ctes(surface) + _CELLS.format(t=surface) + _position(local, meso, broad) + " SELECT * FROM pos"
 
 
-def ray_values(directions: int, radius: int, digits: int = 17) -> str:
-    return "VALUES " + ", ".join(f"({k}, {r}, {c}, {round(d, digits)!r}::DOUBLE)" for k, ray in enumerate(rays(directions, radius)) for r, c, d in ray)
+def ray_samples(directions: int, radius: int) -> str:
+    """(k, dr, dc, dist): samples at every third of a cell from distance 1 on, each cell with the first that falls into it."""
+    turn = f"(2 * pi() / {directions} * k.range)"
+    return f"""SELECT k, dr, dc, min(s) AS dist FROM (SELECT k.range AS k, round_even(-cos({turn}) * s, 0)::BIGINT AS dr, round_even(sin({turn}) * s, 0)::BIGINT AS dc, s
+        FROM range({directions}) k, (SELECT 1 + i.range / 3.0::DOUBLE AS s FROM range({(radius - 1) * 3 + 1}) i)) WHERE dr <> 0 OR dc <> 0 GROUP BY k, dr, dc"""
+
+
+def ring_samples(low: float, high: float, step: float, angle: float) -> str:
+    """(dr, dc, dist): a sample for every radius from ``low`` to ``high`` in each of the evenly spaced directions."""
+    turn = f"(2 * pi() * t.range / ceil(360 / {angle}::DOUBLE))"
+    radii = f"(SELECT {low}::DOUBLE + i.range * {step}::DOUBLE AS dist FROM range(ceil(({high}::DOUBLE + {step}::DOUBLE - {low}::DOUBLE) / {step}::DOUBLE)::BIGINT) i)"
+    return f"SELECT round_even(-dist * cos({turn}), 0)::BIGINT AS dr, round_even(dist * sin({turn}), 0)::BIGINT AS dc, dist FROM range(ceil(360 / {angle}::DOUBLE)::BIGINT) t, {radii} WHERE dist > 0"
+
+
+#: An anisotropic horizon is confirmed by a sample that falls short of it by the sine of two degrees at most.
+_SLACK = math.sin(math.radians(2))
 
 
 def _tops(name: str, directions: int, radius: int, floor: float, sign: int = 1) -> str:
     """name(r, c, k, top): the highest sine along each ray."""
     return f""", {name} AS MATERIALIZED (SELECT a.r, a.c, k, greatest(max({sign} * (coalesce(b.f, mean) - a.f) / sqrt((coalesce(b.f, mean) - a.f) * (coalesce(b.f, mean) - a.f) + dist * dist)), {floor}::DOUBLE) AS top
-        FROM f a CROSS JOIN m CROSS JOIN ({ray_values(directions, radius)}) o(k, dr, dc, dist) LEFT JOIN f b ON b.r = a.r - dr AND b.c = a.c - dc GROUP BY a.r, a.c, k)"""
+        FROM f a CROSS JOIN m CROSS JOIN ({ray_samples(directions, radius)}) o(k, dr, dc, dist) LEFT JOIN f b ON b.r = a.r - dr AND b.c = a.c - dc GROUP BY a.r, a.c, k)"""
 
 
 def sky_view(surface: str, directions: int, radius: int) -> str:
@@ -97,10 +110,10 @@ def anisotropic(surface: str, directions: int, radius: int, azimuth: float, weig
 
 def _settled(name: str, directions: int, radius: int, ahead: int, slack: float) -> str:
     """name(r, c, k, top): the horizon along each ray that single spikes do not make, by a walk over its samples."""
-    values = ", ".join(f"({k}, {i}, {r}, {c}, {d!r}::DOUBLE)" for k, ray in enumerate(rays(directions, radius)) for i, (r, c, d) in enumerate(ray))
+    samples = f"SELECT k, row_number() OVER (PARTITION BY k ORDER BY dist) - 1, dr, dc, dist FROM ({ray_samples(directions, radius)})"
     dz = "(coalesce(b.f, mean) - a.f)"
     return f""", {name}_s AS MATERIALIZED (SELECT *, max(s) OVER (PARTITION BY r, c, k ORDER BY i ROWS BETWEEN 1 FOLLOWING AND {ahead} FOLLOWING) AS behind, count(*) OVER (PARTITION BY r, c, k) AS n FROM (
-        SELECT a.r, a.c, k, i, {dz} / sqrt({dz} * {dz} + dist * dist) AS s FROM f a CROSS JOIN m CROSS JOIN (VALUES {values}) o(k, i, dr, dc, dist) LEFT JOIN f b ON b.r = a.r - dr AND b.c = a.c - dc)),
+        SELECT a.r, a.c, k, i, {dz} / sqrt({dz} * {dz} + dist * dist) AS s FROM f a CROSS JOIN m CROSS JOIN ({samples}) o(k, i, dr, dc, dist) LEFT JOIN f b ON b.r = a.r - dr AND b.c = a.c - dc)),
     {name}_w(r, c, k, i, n, top, resume) AS (SELECT DISTINCT r, c, k, 0, n, 0.0::DOUBLE, 0 FROM {name}_s UNION ALL
         SELECT w.r, w.c, w.k, w.i + 1, w.n, CASE WHEN s > top AND resume <= w.i AND (w.i + {ahead} >= w.n OR behind >= s - {slack!r}::DOUBLE) THEN s ELSE top END,
             CASE WHEN s > top AND resume <= w.i AND NOT (w.i + {ahead} >= w.n OR coalesce(behind >= s - {slack!r}::DOUBLE, false)) THEN w.i + {ahead} + 1 ELSE resume END
@@ -114,7 +127,7 @@ def sky_view_noise(surface: str, directions: int, radius: int, noise: int) -> st
 
 def anisotropic_noise(surface: str, directions: int, radius: int, azimuth: float, weight: float, noise: int) -> str:
     w = f"(1 + {weight}::DOUBLE * cos(2 * pi() * k / {directions} - radians({azimuth}::DOUBLE)))"
-    return ctes(surface) + _CELLS.format(t=surface) + _settled("t", directions, radius, noise - 1, ANISOTROPIC_SLACK) + f" SELECT t.r, t.c, round(sum({w} * (1 - top)) / sum({w}), 6) AS asvf FROM t GROUP BY t.r, t.c"
+    return ctes(surface) + _CELLS.format(t=surface) + _settled("t", directions, radius, noise - 1, _SLACK) + f" SELECT t.r, t.c, round(sum({w} * (1 - top)) / sum({w}), 6) AS asvf FROM t GROUP BY t.r, t.c"
 
 
 def openness(surface: str, directions: int, radius: int, negative: bool) -> str:
@@ -122,7 +135,7 @@ def openness(surface: str, directions: int, radius: int, negative: bool) -> str:
 
 
 def _dominance(name: str, low: float, high: float, step: float, angle: float, observer: float) -> str:
-    values = "VALUES " + ", ".join(f"({r}, {c}, {d!r}::DOUBLE)" for r, c, d in annulus(low, high, step, angle))
+    values = ring_samples(low, high, step, angle)
     return f""", {name}_q AS MATERIALIZED (SELECT r, c, z, greatest(least(r + dr, r1), r0) AS r2, greatest(least(c + dc, c1), c0) AS c2, dist FROM f, m, ({values}) o(dr, dc, dist)),
     {name} AS MATERIALIZED (SELECT q.r, q.c, degrees(avg(atan((q.z + {observer}::DOUBLE - b.z) / dist))) AS v FROM {name}_q q JOIN f b ON b.r = q.r2 AND b.c = q.c2 GROUP BY q.r, q.c)"""
 
