@@ -20,6 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tellurian.functions.records import recipe_errors
 from tellurian.functions.text import redact
 from tellurian.operators.grid import from_nodata, to_nodata
 from tellurian.operators.lineage import cut
@@ -154,6 +155,32 @@ def write_sidecar(record: DataFrame, output: str) -> str | None:
     return path
 
 
+def read_recipes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, landscape, recipe, errors): the recipe files at a path or in a folder, with what is wrong with each.
+
+    ``errors`` is empty for a recipe that can be run; a file that is not JSON has
+    one error and nothing else.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("recipe"))
+    broken = F.try_parse_json("recipe").isNull()
+    named = lambda field: F.when(~broken, F.get_json_object("recipe", f"$.{field}"))
+    errors = F.when(broken, F.array(F.lit("recipe: not JSON"))).otherwise(recipe_errors(F.col("recipe")))
+    return whole.select("path", named("name").alias("name"), named("landscape_type").alias("landscape"), "recipe", errors.alias("errors"))
+
+
+def read_recipe(spark: SparkSession, path: str) -> dict:
+    """The recipe in one file; an error that lists what is wrong with it, or if there is none."""
+    try:
+        found = read_recipes(spark, path).limit(2).collect()
+    except AnalysisException as error:
+        raise FileNotFoundError(f"No recipe at {path}") from error
+    if len(found) != 1:
+        raise ValueError(f"{path} is not one recipe file")
+    if found[0].errors:
+        raise ValueError("; ".join(found[0].errors))
+    return json.loads(found[0].recipe)
+
+
 def read_sidecar(spark: SparkSession, path: str) -> dict:
     """The record at this path or beside this output; an error if there is none or it is none of ours."""
     found = path if path.endswith(".provenance.json") else sidecar_path(path)

@@ -77,3 +77,17 @@ def test_streaming_ingest(spark, tmp_path):
     q = tiles.ingest(spark, str(tmp_path / "in"), "x double, y double, z double", str(tmp_path / "out"), str(tmp_path / "cp"), 1.0)
     q.awaitTermination(120)
     assert {(r.r, r.c, r.z) for r in tiles.current(spark, str(tmp_path / "out")).collect()} == {(0, 0, 3.0), (9, 9, 1.0)}
+
+
+def test_recipe_files(spark, tmp_path):
+    good = records.recipe_json({"svf": {"enabled": True, "radius": 10}}, "fort", landscape="coastal")
+    for name, text in (("good", good), ("cut", good[:-5]), ("list", "[1, 2]"), ("old", good.replace("1.0.0", "one"))):
+        (tmp_path / f"{name}.json").write_text(text)
+    found = {r.path.rsplit("/", 1)[1]: r for r in files.read_recipes(spark, str(tmp_path)).collect()}
+    assert (found["good.json"].name, found["good.json"].landscape, list(found["good.json"].errors)) == ("fort", "coastal", [])
+    assert list(found["cut.json"].errors) == ["recipe: not JSON"] and found["cut.json"].name is None
+    assert list(found["list.json"].errors) == ["recipe: object expected"] and len(found["old.json"].errors) == 1
+    assert files.read_recipe(spark, f"{tmp_path}/good.json") == json.loads(good)
+    for name, error in (("none", FileNotFoundError), ("cut", ValueError), ("old", ValueError)):
+        with pytest.raises(error):
+            files.read_recipe(spark, f"{tmp_path}/{name}.json")
