@@ -6,7 +6,6 @@ import importlib
 import json
 import math
 import re
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
