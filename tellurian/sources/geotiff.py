@@ -486,10 +486,18 @@ class GeoTiffSource(DataSource):
         return GeoTiffWriter(dict(self.options), schema, overwrite)
 
 
-def register(spark: SparkSession) -> None:
-    """Makes the format known to a session, and lets filters reach it."""
+def register(spark: SparkSession, source: type[DataSource] = GeoTiffSource) -> None:
+    """Makes a format known to a session, and lets filters reach it.
+
+    Spark looks formats up in the session that is active in the calling thread, so
+    that threads other than the one which made the session must be told of it.
+    """
+    SparkSession._get_j_spark_session_class(spark._jvm).setActiveSession(spark._jsparkSession)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(GeoTiffSource)
+    known = getattr(spark, "_tellurian_formats", set())
+    if source.name() not in known:
+        spark.dataSource.register(source)
+        spark._tellurian_formats = known | {source.name()}
 
 
 def read_geotiff(spark: SparkSession, path: str, level: int = 0) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-from tellurian.sources.geotiff import open_path
+from tellurian.sources.geotiff import open_path, register
 
 #: Bytes of records to a partition, and records decoded at a time.
 READ_BYTES = 64 << 20
@@ -147,6 +147,5 @@ class LasSource(DataSource):
 
 def read_las(spark: SparkSession, path: str, partition_bytes: int = READ_BYTES) -> DataFrame:
     """Points (path, x, y, z, classification) of a LAS file or a folder of them."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(LasSource)
+    register(spark, LasSource)
     return spark.read.format("las").option("partition_bytes", partition_bytes).load(path)

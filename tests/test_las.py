@@ -78,3 +78,14 @@ def test_files_that_are_no_las(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     (tmp_path / "empty/a.las").write_bytes(files.las_bytes(*[np.zeros(0)] * 4))
     assert las.read_las(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_any_thread_may_read(spark, tmp_path):
+    from threading import Thread
+
+    (tmp_path / "a.las").write_bytes(files.las_bytes(np.arange(9.0), np.arange(9.0), np.arange(9.0), np.zeros(9, int)))
+    found = []
+    threads = [Thread(target=lambda: found.append(las.read_las(spark, str(tmp_path)).count())) for _ in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert found == [9, 9, 9]
