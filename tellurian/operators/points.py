@@ -32,7 +32,7 @@ def grid_geometry(points: DataFrame, cellsize: float) -> tuple[float, float, int
 
 
 #: A tile is made smaller until the densest one has no more points than this.
-TILE_POINTS = 1 << 20
+TILE_POINTS = 1 << 18
 
 
 def _tile_side(points: DataFrame, side: float, least: float) -> float:
@@ -51,9 +51,15 @@ def grid_idw(points: DataFrame, cellsize: float, radius: float | None = None, ne
     and looked up there by rings of buckets, so that a cell meets about as many
     points as it uses and not all of its neighbourhood.  Every tile also gets a
     marker without coordinates, and so answers for its cells even without points.
+    Where so many points crowd that a halo would outgrow memory, cells are asked
+    in rounds instead, see :func:`_crowded_idw`.
     """
     left, top, rows, cols = grid_geometry(points, cellsize)
     reach = radius or 5.0 * cellsize
+    heaviest = points.groupBy(F.floor(F.col("x") / reach), F.floor(F.col("y") / reach)).count().agg(F.max("count")).first()[0]
+    # A tile no wider than the reach meets sixteen such squares with its halo.
+    if 16 * heaviest > TILE_POINTS:
+        return _crowded_idw(points, cellsize, (left, top, rows, cols), reach, nearest, smoothing, heaviest)
     tile = max(1, int(_tile_side(points, tile * cellsize, cellsize) / cellsize))
     place = lambda v: F.floor(v / cellsize / tile)
     span = lambda v, n: F.sequence(F.greatest(place(v - reach), F.lit(0)), F.least(place(v + reach), F.lit((n - 1) // tile)))
@@ -78,6 +84,41 @@ def grid_idw(points: DataFrame, cellsize: float, radius: float | None = None, ne
     return made.select("r", "c", F.when(~F.isnan("z"), F.col("z")).alias("z"))
 
 
+def _crowded_idw(points: DataFrame, cellsize: float, geometry: tuple[float, float, int, int], reach: float, nearest: int, smoothing: float, heaviest: int) -> DataFrame:
+    """:func:`grid_idw` of a cloud with ``heaviest`` points in a square as wide as the reach, with no tile held anywhere.
+
+    A round takes the points within a small distance of each centre, of which
+    ranks let no more than ``nearest`` through; cells that find as many are
+    settled, the others are asked again with twice the distance.
+    """
+    left, top, rows, cols = geometry
+    p = points.select("x", "y", "z").where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    p = p.withColumns({"own_r": F.floor((top - F.col("y")) / cellsize), "own_c": F.floor((F.col("x") - left) / cellsize)})
+    cells = points.sparkSession.range(rows).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))).alias("c"))
+    dx, dy = F.col("x") - (left + (F.col("c") + 0.5) * cellsize), F.col("y") - (top - (F.col("r") + 0.5) * cellsize)
+    rank = F.row_number().over(Window.partitionBy("r", "c").orderBy("d2", "z", "x", "y"))
+    weight = 1.0 / (F.col("d2") + smoothing * smoothing)
+    # About four times as many points as are wanted, in the heaviest square.
+    near = min(reach, cellsize / 2, reach * float(np.sqrt(4 * nearest / np.pi / heaviest)))
+    done, asked = None, None
+    while True:
+        if asked is None:
+            met = p.select("x", "y", "z", F.col("own_r").alias("r"), F.col("own_c").alias("c"))
+        else:
+            steps = F.sequence(*(F.lit(k * int(near / cellsize + 0.5 + 1e-9)).cast("long") for k in (-1, 1)))
+            around = asked.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
+            met = p.join(around.select("r", "c", (F.col("r") + F.col("dr")).alias("own_r"), (F.col("c") + F.col("dc")).alias("own_c")), ["own_r", "own_c"])
+        best = met.withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= near * near).withColumn("rank", rank).where(F.col("rank") <= nearest)
+        rated = cut(best.groupBy("r", "c").agg((F.sum(weight * F.col("z")) / F.sum(weight)).alias("z"), F.count(F.lit(1)).alias("n")))
+        settled = rated.where(F.col("n") >= nearest) if near < reach else rated
+        done = settled if done is None else done.unionByName(settled)
+        asked = cut((cells if asked is None else asked).join(settled, ["r", "c"], "left_anti"))
+        if near >= reach or asked.isEmpty():
+            break
+        near = min(reach, near * 2)
+    return cells.join(done.select("r", "c", "z"), ["r", "c"], "left").select("r", F.col("c").cast("int").alias("c"), "z")
+
+
 def _rater(neighbours: int, reach: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Mean distances of a tile's own queries; settled are those whose neighbours are all within ``reach``."""
 

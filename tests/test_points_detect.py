@@ -249,3 +249,19 @@ def test_stray_points_move_the_rim_of_the_cloud_only(spark):
         far = np.sort(np.sqrt(((xyz - xyz[i]) ** 2).sum(axis=1)))[1:9]
         assert got[i] == pytest.approx(far.mean())
     assert {r.id for r in points.outliers(p, 4.0).where("is_outlier").collect()} >= {n, n + 1, n + 2}
+
+
+def test_crowded_clouds_are_gridded_without_tiles(spark, monkeypatch):
+    """Crowded cells, sparse ones and empty ones find the same points in rounds as in tiles, and no tile reaches Python."""
+    rng = np.random.default_rng(11)
+    xy = np.vstack([rng.uniform(0, 8, (3000, 2)), rng.uniform(8, 30, (60, 2)), [[60.0, 60.0]], rng.integers(0, 9, (200, 2)).astype(float)])
+    p = cloud(spark, np.c_[xy, rng.normal(0, 1, len(xy))])
+    for radius, nearest in ((None, 12), (0.7, 3)):
+        tiles = {(r.r, r.c): r.z for r in points.grid_idw(p, 2.0, radius, nearest).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(points, "TILE_POINTS", 100)
+            d = points.grid_idw(p, 2.0, radius, nearest)
+            assert "Pandas" not in d._jdf.queryExecution().executedPlan().toString()
+            rounds = {(r.r, r.c): r.z for r in d.collect()}
+        assert tiles.keys() == rounds.keys() and any(v is None for v in tiles.values())
+        assert all(rounds[k] == (None if v is None else pytest.approx(v)) for k, v in tiles.items())
