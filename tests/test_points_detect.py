@@ -265,3 +265,13 @@ def test_crowded_clouds_are_gridded_without_tiles(spark, monkeypatch):
             rounds = {(r.r, r.c): r.z for r in d.collect()}
         assert tiles.keys() == rounds.keys() and any(v is None for v in tiles.values())
         assert all(rounds[k] == (None if v is None else pytest.approx(v)) for k, v in tiles.items())
+
+
+def test_ground_surface_of_a_crowded_cloud_holds_no_tile(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    p = cloud(spark, np.c_[rng.uniform(0, 12, (900, 2)), rng.normal(0, 0.1, 900)])
+    whole = {(r.r, r.c): r.z for r in points.ground_surface(p, 2.0).collect()}
+    monkeypatch.setattr(points, "TILE_POINTS", 100)
+    d = points.ground_surface(p, 2.0)
+    assert "Pandas" not in d._jdf.queryExecution().executedPlan().toString()
+    assert {(r.r, r.c): r.z for r in d.collect()} == pytest.approx(whole)
