@@ -6,6 +6,8 @@ import importlib
 import json
 import math
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +28,16 @@ LANDSCAPES = ("flat_agricultural", "forested", "upland_steep", "coastal", "custo
 
 
 def recipe_errors(doc: Column) -> Column:
-    """Array of complaints about a recipe's JSON text; empty if it is valid."""
+    """Array of complaints about a recipe's JSON text; empty if it is valid.
+
+    Each look-up parses the text anew, so that a field is looked up once, and only
+    where the text has its name; names with escapes may be written otherwise.
+    The text itself is made once, however it is made.
+    """
+    return F.get(F.transform(F.array(doc), _recipe_errors), F.lit(0))
+
+
+def _recipe_errors(doc: Column) -> Column:
     field = lambda path: F.get_json_object(doc, path)
     version, algorithms = field("$.recipe_version"), field("$.algorithms")
     object_like = lambda c: F.ltrim(c).startswith("{")
@@ -37,14 +48,15 @@ def recipe_errors(doc: Column) -> Column:
         F.when(algorithms.isNotNull() & ~object_like(algorithms), "algorithms: object expected"),
         F.when((field("$.landscape_type") != "") & ~field("$.landscape_type").isin(*LANDSCAPES), F.concat(F.lit("landscape_type: unknown "), field("$.landscape_type"))),
     ]
+    # What is not given compares as null, which is no complaint.
+    named = lambda *names: doc.contains("\\") | reduce(and_, [doc.contains(n) for n in names])
     for name, parameters in RECIPE_PARAMETERS.items():
-        given = field(f"$.algorithms.{name}")
-        errors.append(F.when(given.isNotNull() & ~object_like(given), f"{name}: object expected"))
-        errors.append(F.when(field(f"$.algorithms.{name}.enabled").isNotNull() & ~field(f"$.algorithms.{name}.enabled").isin("true", "false"), f"{name}.enabled: true or false expected"))
+        checks = [(named(name), ~object_like(field(f"$.algorithms.{name}")), f"{name}: object expected")]
+        checks.append((named(name, "enabled"), ~field(f"$.algorithms.{name}.enabled").isin("true", "false"), f"{name}.enabled: true or false expected"))
         for parameter, kind in parameters.items():
-            value = field(f"$.algorithms.{name}.{parameter}")
             form = r"^-?\d+$|^true$|^false$" if kind == "int" else r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$|^true$|^false$"
-            errors.append(F.when(value.isNotNull() & ~value.rlike(form), f"{name}.{parameter}: {'whole number' if kind == 'int' else 'number'} expected"))
+            checks.append((named(name, parameter), ~field(f"$.algorithms.{name}.{parameter}").rlike(form), f"{name}.{parameter}: {'whole number' if kind == 'int' else 'number'} expected"))
+        errors += [F.when(there, F.when(wrong, text)) for there, wrong, text in checks]
     whole = F.array_compact(F.array(*errors))
     return F.when(object_like(F.coalesce(doc, F.lit(""))), whole).otherwise(F.array(F.lit("recipe: object expected")))
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 import json
 import zipfile
 from io import BytesIO
@@ -91,3 +92,17 @@ def test_recipe_files(spark, tmp_path):
     for name, error in (("none", FileNotFoundError), ("cut", ValueError), ("old", ValueError)):
         with pytest.raises(error):
             files.read_recipe(spark, f"{tmp_path}/{name}.json")
+
+
+def test_recipe_fields_are_looked_up_only_where_they_are_named(spark):
+    docs = ['{"recipe_version": "1.0.0", "algorithms": {"svf": {"num_directions": "many", "enabled": 3}, "slope": 4}}', r'{"recipe_version": "1.0.0", "algorithms": {"\u0073vf": {"num_directions": 1.5}}}', "[]", None,
+            '{"recipe_version": "1.0.0", "algorithms": {}, "note": "svf num_directions enabled"}', '{"recipe_version": "1.0.0", "algorithms": {"svf": {"search_radius": 1e1}, "svf": {"enabled": null}}}']
+    d = spark.createDataFrame(list(enumerate(docs)), "id int, doc string")
+    got = {r.id: r.errors for r in d.select("id", records.recipe_errors(F.col("doc")).alias("errors")).collect()}
+    assert got == {
+        0: ["svf.enabled: true or false expected", "svf.num_directions: whole number expected", "slope: object expected"], 1: ["svf.num_directions: whole number expected"],
+        2: ["recipe: object expected"], 3: ["recipe: object expected"], 4: [], 5: [],
+    }
+    many = spark.range(100_000, numPartitions=1).select(records.recipe_errors(F.concat(F.lit(docs[0][:-1] + ', "n": '), "id", F.lit("}"))).alias("errors"))
+    began = time.time()
+    assert many.where(F.size("errors") == 3).count() == 100_000 and time.time() - began < 12
