@@ -148,13 +148,20 @@ def outliers(points: DataFrame, bucket: float, neighbours: int = 8, multiplier:
     ``bucket`` of; a query is answered where its neighbours are all nearer than
     that.  While many are left, the next round has tiles and reach eight times as
     wide; the few in sparse parts then look for the tiles that can hold their
-    neighbours, see :func:`_nearest_tiles`, and only those tiles' points move.  A
+    neighbours, see :func:`_nearest_tiles`, and only those tiles' points move.  In a
+    crowd the first reach is halved until a tile and its halo fit into memory, and
+    no wider one that would not is tried.  A
     point that has no other at all is an outlier.
     """
     p = cut(points.select("id", "x", "y", "z").where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"))
     n, x0, x1, y0, y1, z0, z1 = p.agg(F.count("id"), F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.min("z"), F.max("z")).first()
     done = None
-    asked, reach = p.select("id"), bucket
+    # In a crowd the neighbours are near; a tile as wide as the reach has nine such squares with its halo.
+    crowded = lambda reach: 9 * ((p.groupBy(F.floor(F.col("x") / reach), F.floor(F.col("y") / reach)).count().agg(F.max("count")).first()[0]) or 0) > TILE_POINTS
+    first = bucket
+    while first > bucket / 1024 and crowded(first):
+        first /= 2
+    asked, reach = p.select("id"), first
     while True:
         whole = x0 is None or reach >= np.hypot(np.hypot(x1 - x0, y1 - y0), z1 - z0)
         side = _tile_side(p, 4 * reach, reach)
@@ -168,11 +175,11 @@ def outliers(points: DataFrame, bucket: float, neighbours: int = 8, multiplier:
         done = part if done is None else done.unionByName(part)
         asked, reach = rated.where("NOT settled").select("id"), reach * 8
         left = 0 if whole else asked.count()
-        if left <= n * SPARSE_SHARE:
+        if left <= n * SPARSE_SHARE or (first < bucket and crowded(reach)):
             break
     if left:
         # Tiles as small as the first round's, so that a lone point moves no more than the rim of the cloud.
-        side = _tile_side(p, 4 * bucket, bucket)
+        side = _tile_side(p, 4 * first, first)
         done = done.unionByName(_sparse_distances(p, p.join(asked, "id", "left_semi"), side, neighbours))
     mean, std = done.agg(F.avg("mean_distance"), F.stddev_samp("mean_distance")).first()
     limit = float("inf") if mean is None else mean + multiplier * (std or 0.0)

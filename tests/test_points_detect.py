@@ -275,3 +275,16 @@ def test_ground_surface_of_a_crowded_cloud_holds_no_tile(spark, monkeypatch):
     d = points.ground_surface(p, 2.0)
     assert "Pandas" not in d._jdf.queryExecution().executedPlan().toString()
     assert {(r.r, r.c): r.z for r in d.collect()} == pytest.approx(whole)
+
+
+def test_outliers_of_a_crowd_meet_small_tiles(spark, monkeypatch):
+    """No tile holds more points than the bound while the neighbours are near; mean distances are those of all pairs."""
+    rng = np.random.default_rng(13)
+    xyz = np.vstack([np.c_[rng.uniform(0, 8, (1500, 2)), rng.normal(0, 0.1, 1500)], np.c_[rng.uniform(0, 8, (12, 2)), np.full(12, 60.0)]])
+    monkeypatch.setattr(points, "TILE_POINTS", 600)
+    reaches, rater = [], points._rater
+    monkeypatch.setattr(points, "_rater", lambda k, reach: reaches.append(reach) or rater(k, reach))
+    got = {r.id: r.mean_distance for r in points.outliers(cloud(spark, xyz), 4.0).collect()}
+    assert max(reaches) < 4.0
+    far = np.sort(np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2)), axis=1)[:, 1:9].mean(axis=1)
+    assert all(got[i] == pytest.approx(far[i]) for i in range(len(xyz)))
