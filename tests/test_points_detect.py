@@ -2,8 +2,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tellurian.operators import detect, points
+from tellurian.operators import detect, graph, points
 
 
 def cloud(spark, xyz):
@@ -189,6 +190,36 @@ def test_shapes_with_holes_and_diagonal_contacts(spark, monkeypatch):
     assert detect.shapes(d.where("label = 9"), 1.0, 1).count() == 0
 
 
+def test_shapes_of_any_tiling_and_rounds_that_hold_no_ring_of_one_tile(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    labels = {(r - 7, c): int(rng.choice([0, 1, 1, 2])) for r in range(30) for c in range(22)}
+    # One band that winds through all tiles, and a frame around everything.
+    labels |= {(r - 7, c + 30): int(r % 4 == 0 or c == (20 if r % 8 < 4 else 0)) for r in range(30) for c in range(21)}
+    labels |= {(r - 9, c - 2): 2 for r in range(34) for c in range(58) if r in (0, 33) or c in (0, 57)}
+    d = spark.createDataFrame([(r, c, k, 0.5) for (r, c), k in labels.items()], "r long, c int, label int, confidence double")
+    cuts = []
+    real = detect.cut
+    monkeypatch.setattr(detect, "cut", lambda df: cuts.append(df) or real(df))
+    seen = lambda found: sorted((x.class_id, x.cell_count, x.holes, x.wkt) for x in found.collect())
+    whole = seen(detect.shapes(d, 1.0, 1, tile=1000))
+    # A ring of more than 64 corners took seven rounds; its chains lie in the four tiles that meet at the origin.
+    assert max(g[3].count(",") for g in whole) > 64 and len(cuts) <= 4 + 3, "rounds grow with the tiles that a ring passes through"
+    assert sorted((k, n) for k, n, *_ in whole) == sorted((k, len(cells)) for k, cells in regions_of(labels))
+    assert seen(detect.shapes(d, 1.0, 1, tile=5)) == whole
+
+
+def test_components_by_blocks_leave_the_rounds_what_joins_blocks(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(200) if i % 50 != 49] + [(49, 50), (310, 305), (305, 301), (400, 7), (500, 490)]
+    d = spark.createDataFrame(edges, "a long, b long")
+    want = {r.node: r.root for r in graph.components(d).collect()}
+    rounds = []
+    real = graph.components
+    monkeypatch.setattr(graph, "components", lambda e: rounds.append(e.count()) or real(e))
+    got = graph.block_components(d, lambda n: F.floor(n / 10)).collect()
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+    assert rounds[0] < len(edges) / 5
+
+
 def test_openings_of_any_tiling_equal_a_loop(spark):
     rng = np.random.default_rng(4)
     z = rng.normal(0, 3, (23, 31))
